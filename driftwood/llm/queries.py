@@ -5,10 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwood.llm.decontaminate import contamination
 from driftwood.llm.line_dedup import line_dedup
+from driftwood.llm.near_dedup import near_duplicates
 from driftwood.sources.tables import table
 
 
+#: Words of a text in DuckDB: A-Z lower-cased, then runs of letters, digits and all beyond ASCII.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    out = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=10, k=5)
+    ids = F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",")
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)
+), hits AS (SELECT doc_id, i, n, item_id FROM doc_windows JOIN item_windows USING (n, k)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = near_duplicates(table(spark, folder, "documents"), threshold=0.8, k=5)
+    return out.select("doc_id", "class_id", "class_docs")
+
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+shingles AS (
+  SELECT doc_id, s, count(*) AS c FROM (
+    SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM d WHERE len(w) > 0)
+  ) GROUP BY ALL
+), sizes AS (SELECT doc_id, sum(c) AS total FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS o FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 10 * o >= 8 * (p.total + q.total - o)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_docs FROM classes
+"""
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup(table(spark, folder, "documents").select("doc_id", "text"), min_docs=10, min_chars=1, keep="none")
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -34,8 +87,12 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES = {
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_line_dedup": op8_line_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES = {
+    "op7_benchmark_decontamination": OP7_SQL,
+    "op10_minhash_near_dedup": OP10_SQL,
     "op8_line_dedup": OP8_SQL,
 }
