@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from driftwood.llm.decontaminate import contamination
 from driftwood.llm.line_dedup import line_dedup
 from driftwood.llm.near_dedup import near_duplicates
+from driftwood.llm.quality_rules import quality
+from driftwood.llm.sentence_pieces import encoded
 from driftwood.sources.tables import table
 
 
@@ -15,6 +17,15 @@ from driftwood.sources.tables import table
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded(table(spark, folder, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     out = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=10, k=5)
     ids = F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",")
@@ -87,6 +98,8 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_sentencepiece": op3_sentencepiece,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
