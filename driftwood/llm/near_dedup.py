@@ -14,10 +14,13 @@ limit of about m ln m / weight, beyond which no component is open (else the
 limit is doubled), so a text costs m ln m points beside one look at each shingle.
 
 Texts with the same words are one node. Nodes that agree in a band are compared
-with the band's first node, which joins large groups of copies; then all pairs
-of a band's nodes that are not yet in one group are compared, so that none is
-lost. Every pair is verified by its exact multiset overlap. Groups are the
-connected components of the verified links.
+with the band's first node, which joins large groups of copies. Then the nodes
+of a band that are not yet in one group are compared with each other, in blocks
+of bounded size within tasks, so that no link is lost and no table of pairs is
+made. A sketch of four bits of each component travels with the nodes; pairs whose
+sketches differ more than texts at the threshold do (by five standard deviations)
+are left out. All others are verified by their exact multiset overlap. Groups
+are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ from driftwood.sources.workspace import written
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold of 0.8 shares no band with a probability of (1 - 0.8**5)**36 = 6e-7.
 BANDS, ROWS = 36, 5
+#: Components in one 64-bit word of a sketch.
+NIBBLES = 16
+#: Rows with sketches, and bytes of text, in a block of nodes that one task compares with another block.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 4 << 20
 
 
 def shingle_counts(spans: bytes_.Spans, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,12 +113,16 @@ def _signed(k: int, bands: int, rows: int):
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)).copy()
             for i in range(rows):
                 key = bytes_.mix(key ^ sig[:, :, i])
+            low = np.zeros((n, -(-bands * rows // NIBBLES) * NIBBLES), np.uint64)
+            low[:, : bands * rows] = bytes_.mix(sig.reshape(n, -1)) & np.uint64(15)
+            low = low.reshape(n, -1, NIBBLES) << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4))
+            sketch = np.bitwise_or.reduce(low, axis=2).view(np.int64)
             some = spans.counts > 0
             bounds = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))])
             nodes = _digests(spans, off)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(key[some].ravel().view(np.int64)))],
-                ["doc_id", "text_hash", "node", "bands"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(key[some].ravel().view(np.int64))), pa.array(list(sketch), pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "node", "bands", "sketch"],
             )
 
     return run
@@ -149,6 +160,115 @@ def _verify(k: int, threshold: float):
     return run
 
 
+def _most_apart(components: int, threshold: float) -> int:
+    """Components in which sketches of two texts at the threshold differ at most, but for one pair in millions."""
+    expected = (1 - threshold) * 15 / 16
+    return math.ceil(components * expected + 5 * math.sqrt(components * expected * (1 - expected)))
+
+
+def _alike(a: str, b: str, components: int, threshold: float):
+    words, most = -(-components // NIBBLES), _most_apart(components, threshold)
+    nibbles = "bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)"
+    return F.expr(" + ".join(nibbles.format(x=f"({a}[{i}] ^ {b}[{i}])") for i in range(words)) + f" <= {most}")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(x).to_numpy() for x in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for x in cols:
+            new[1:] |= x[1:] != x[:-1]
+        new[0] = last is not None and last != tuple(x[0] for x in cols)
+        at = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if new[a] and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+        last = tuple(x[-1] for x in cols)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _codes(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each row as a number, and the rows outside of the key's largest group."""
+    root = run.column("root").combine_chunks().dictionary_encode()
+    main = run.column("main")[0].as_py()
+    number = {x: i for i, x in enumerate(root.dictionary.to_pylist())}
+    group = root.indices.to_numpy()
+    return group, np.flatnonzero(group != number.get(main, -1))
+
+
+def _with_alike(components: int, threshold: float):
+    """(key, node) of rows that have an alike row of another group in their key."""
+    most = _most_apart(components, threshold)
+    one = np.uint64(0x1111111111111111)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes = [], []
+        for rows in _runs(batches, ["key", "lo", "hi"]):
+            group, outside = _codes(rows)
+            sketch = rows.column("sketch").combine_chunks()
+            sketch = sketch.values.to_numpy()[sketch.offsets[0].as_py() :].view(np.uint64).reshape(rows.num_rows, -1) if rows.num_rows else None
+            good = np.zeros(rows.num_rows, bool)
+            for x in outside.tolist():
+                d = sketch ^ sketch[x]
+                d = (d | (d >> np.uint64(1)) | (d >> np.uint64(2)) | (d >> np.uint64(3))) & one
+                alike = (np.bitwise_count(d).sum(axis=1) <= most) & (group != group[x])
+                if alike.any():
+                    good |= alike
+                    good[x] = True
+            if good.any():
+                keys.append(rows.column("key").to_numpy()[good])
+                nodes += rows.column("node").take(pa.array(np.flatnonzero(good))).to_pylist()
+            if len(nodes) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes, pa.binary())], ["key", "node"])
+                keys, nodes = [], []
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes, pa.binary())], ["key", "node"])
+
+    return run
+
+
+def _linked(k: int, threshold: float):
+    """Links between rows of different groups in their key, as many as join these groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ["key", "lo", "hi"]):
+            n = rows.num_rows
+            group, outside = _codes(rows)
+            data, off = bytes_.texts(rows.column("text").combine_chunks())
+            doc, h, count = shingle_counts(bytes_.words(data, off), k)
+            # one element for each shingle and occurrence: the overlap of multisets is that of these sets
+            first = np.cumsum(count) - count
+            nth = np.arange(count.sum()) - np.repeat(first, count)
+            doc = np.repeat(doc, count)
+            _, element = np.unique(bytes_.mix(np.repeat(h, count) + nth.astype(np.uint64)), return_inverse=True)
+            size, own = np.bincount(doc, minlength=n), np.searchsorted(doc, np.arange(n + 1))
+            holders = doc[np.argsort(element, kind="stable")]
+            many = np.bincount(element)
+            start = np.cumsum(many) - many
+            node, links = rows.column("node").to_pylist(), []
+            for x in outside.tolist():
+                e = element[own[x] : own[x + 1]]
+                at = np.repeat(start[e] - (np.cumsum(many[e]) - many[e]), many[e]) + np.arange(many[e].sum())
+                shared = np.bincount(holders[at], minlength=n)
+                for y in np.flatnonzero((shared >= threshold * (size + size[x] - shared) - 1e-9) & (shared > 0) & (group != group[x])).tolist():
+                    if group[y] != group[x]:
+                        links.append((min(node[x], node[y]), max(node[x], node[y])))
+                        group = np.where(group == group[y], group[x], group)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of the connected components of links (a, b), a <> b; root is the smallest node, and no row is its own.
 
@@ -181,31 +301,53 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     doc_id counts as larger than all others.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
-    signed = written(docs.mapInArrow(_signed(k, bands, rows), "doc_id long, text_hash long, node binary, bands array<long>"), "signatures")
+    signed = written(docs.mapInArrow(_signed(k, bands, rows), "doc_id long, text_hash long, node binary, bands array<long>, sketch array<long>"), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = written(signed.where("node is not null").groupBy("node").agg(F.min(row).alias("row"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(signed.where("node is not null").groupBy("node").agg(F.min(row).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    alike = lambda a, b: _alike(a, b, bands * rows, threshold)
 
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = written(keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = written(keys.join(buckets, "key"), "members")
+    def starred(keyed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Rows (key, node, sketch ...) of keys that two nodes have, with the key's first node; and the alike pairs of node and first node."""
+        first = keyed.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        members = written(keyed.join(first, "key").select(*keyed.columns, "n", F.col("first.node").alias("leader"), F.col("first.sketch").alias("lead_sketch")), name)
+        return members, members.where("node <> leader").where(alike("sketch", "lead_sketch")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        ends = written(some.join(nodes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash")), "pair-nodes")
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+        return written(docs.join(small(ends, ends.count()), same).select("node", "text").dropDuplicates(["node"]), "pair-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.distinct(), "pairs")
-        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash")), "pair-nodes")
-        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
-        texts = written(docs.join(small(ends, ends.count()), same).select("node", "text").dropDuplicates(["node"]), "pair-texts")
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(k, threshold), "a binary, b binary"), "links")
 
-    links = verified(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    def blocks(some: DataFrame, n, value: str) -> DataFrame:
+        """Rows dealt to every pair of their key's n blocks that holds their own, sorted by it."""
+        own = some.withColumns({"blocks": n.cast("int")}).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least("own", y).alias("lo"), F.greatest("own", y).alias("hi")))
+        dealt = own.select("key", "node", "root", "main", value, F.explode(pair).alias("pair")).select("key", "pair.lo", "pair.hi", "node", "root", "main", value)
+        return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def apart(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        """Members, but for first nodes, of keys whose nodes are in several groups, with the key's largest group."""
+        grouped = members.where("n > 2").join(roots, "node", "left").select("key", "node", "sketch", "leader", "n", F.coalesce("root", "node").alias("root"))
+        sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+        return written(grouped.join(main, "key").where("node <> leader"), name)
+
+    members, pairs = starred(nodes.select("node", "sketch", F.explode("bands").alias("key")), "members")
+    links = verified(pairs)
     roots = components(links)
-    grouped = members.where("n > 2").join(roots, "node", "left").select("key", "node", "leader", F.coalesce("root", "node").alias("root"))
-    sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = written(grouped.join(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1"), "key").where("node <> leader"), "mixed-buckets")
-    apart = mixed.where("root <> main").select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    cross = mixed.join(apart, "key").where("root <> root_b and (root = main or node < b)").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    more = verified(cross)
-    if not more.isEmpty():
+
+    mixed = apart(members, roots, "mixed")
+    nearer = written(blocks(mixed, F.ceil(F.col("n") / BLOCK_ROWS), "sketch").mapInArrow(_with_alike(bands * rows, threshold), "key long, node binary").distinct(), "nearer")
+    texts = texts_of(nearer.select("node").distinct())
+    close = mixed.join(nearer, ["key", "node"]).join(texts, "node")
+    close = written(close.join(close.groupBy("key").agg(F.sum(F.octet_length("text")).alias("bytes")), "key"), "close") if not nearer.isEmpty() else None
+    if close is not None:
+        more = written(blocks(close, F.ceil(F.col("bytes") / BLOCK_BYTES), "text").mapInArrow(_linked(k, threshold), "a binary, b binary").distinct(), "links")
         roots = components(links.unionAll(more))
 
     rooted = signed.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
