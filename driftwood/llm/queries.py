@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwood.llm.chat_format import chat_digests, chat_segments
 from driftwood.llm.decontaminate import contamination
+from driftwood.llm.license_scan import LICENSE_RULES, SENTENCES, license_scan
 from driftwood.llm.line_dedup import line_dedup
 from driftwood.llm.near_dedup import near_duplicates
 from driftwood.llm.quality_rules import quality
 from driftwood.llm.sentence_pieces import encoded
+from driftwood.llm.token_counts import section_tokens
+from driftwood.llm.url_filters import host_of, path_of, url_filtered
 from driftwood.sources.tables import table
 
 
@@ -22,10 +26,112 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP1_SQL = None
+
+
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return section_tokens(table(spark, folder, "documents"), rule="first")
+
+
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(table(spark, folder, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Captures are the pages, fetched on a day of 2024 that follows from the id. The list is made of their hosts and top
+    folders: a third of these is added, taken off and added again on days that follow from a digest of the key."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")))
+    top = F.concat(host_of(F.col("url")), F.lit("/"), F.split(path_of(F.col("url")), "/")[1])
+    key = pages.select(F.explode(F.array(host_of(F.col("url")), F.regexp_replace(host_of(F.col("url")), "^[^.]*[.]", ""), top)).alias("key")).where("key <> ''").distinct()
+    digit = lambda i: F.conv(F.substring(F.md5("key"), i, 2), 16, 10).cast("int")
+    key = key.where(digit(1) % 3 == 0)
+    days = [("add", digit(3)), ("remove", digit(3) + digit(5) / 2), ("add", digit(3) + digit(5) / 2 + digit(7) / 4)]
+    entry = F.explode(F.array(*(F.struct(F.lit(a).alias("action"), F.date_add(F.lit("2024-01-01").cast("date"), d.cast("int")).alias("day")) for a, d in days))).alias("e")
+    out = url_filtered(captures, key.select("key", entry).select("key", "e.day", "e.action"))
+    return out.select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "n_active", "entry", "blocked")
+
+
+_HOST = r"lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_PATH = r"regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)"
+_HEX = "('0x' || substr(md5(key), {}, 2))::INT"
+OP4_SQL = f"""
+WITH c AS (SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 366)::INT AS fetched, {_HOST} AS host, {_PATH} AS path FROM pages),
+parts AS (SELECT *, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM c),
+keys AS (
+  SELECT DISTINCT key FROM (SELECT unnest([host, regexp_replace(host, '^[^.]*[.]', ''), host || '/' || string_split(path, '/')[2]]) AS key FROM c)
+  WHERE key <> '' AND {_HEX.format(1)} % 3 = 0
+), entries AS (
+  SELECT key, 'add' AS action, DATE '2024-01-01' + {_HEX.format(3)} AS day FROM keys
+  UNION ALL SELECT key, 'remove', DATE '2024-01-01' + floor({_HEX.format(3)} + {_HEX.format(5)} / 2)::INT FROM keys
+  UNION ALL SELECT key, 'add', DATE '2024-01-01' + floor({_HEX.format(3)} + {_HEX.format(5)} / 2 + {_HEX.format(7)} / 4)::INT FROM keys
+), dated AS (SELECT key, day, max(action) AS action FROM entries GROUP BY key, day),
+held AS (SELECT key, action, day AS since, lead(day) OVER (PARTITION BY key ORDER BY day) AS until FROM dated),
+cover AS (
+  SELECT page_id, url, fetched, unnest(list_distinct(list_concat(
+    list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], '.')),
+    list_transform(range(1, len(p) + 1), lambda i: host || '/' || array_to_string(p[1:i], '/'))))) AS key
+  FROM parts WHERE host <> ''
+), hits AS (
+  SELECT page_id, count(*) AS n_active, first(c.key ORDER BY length(c.key) DESC, c.key) AS entry
+  FROM cover c JOIN held h ON c.key = h.key AND h.action = 'add' AND fetched >= since AND (until IS NULL OR fetched < until) GROUP BY page_id
+)
+SELECT page_id, url, fetched::VARCHAR AS fetched, coalesce(n_active, 0) AS n_active, entry, n_active IS NOT NULL AS blocked FROM c LEFT JOIN hits USING (page_id)
+"""
+
+
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    extra = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 1, "user", extra), (-1, 2, "assistant", extra)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_digests(chat_segments(rows))
+
+
+_ESCAPED = "replace({}, '\\', '\\\\')"
+for _x in ("<|turn|>", "<|says|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_x}', '{_x[0]}\\{_x[1:]}')"
+OP5_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 1, 'user', '</s>[INST] ok [/INST]'), (-1, 2, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS prev FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + 24)::BIGINT AS formatted_chars,
+       bool_and(prev || '>' || role IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user')) AS valid
+FROM t GROUP BY conv_id
+"""
+
+
+def op6_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    out = license_scan(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
+_LEFT, _FOUND = "'|' || array_to_string(ids, '||') || '|'", []
+for _name, _run in LICENSE_RULES:
+    _mark = "|" + "||".join(_run) + "|"
+    _FOUND.append(f"CASE WHEN contains({_LEFT}, '{_mark}') THEN {LICENSE_RULES.index((_name, _run))} END")
+    _LEFT = f"replace({_LEFT}, '{_mark}', '-')"
+OP6_SQL = f"""
+WITH known(sentence, id) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in SENTENCES.items())}),
+rules(pos, license) AS (VALUES {", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(LICENSE_RULES))}),
+cut AS (
+  SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS pos
+  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM documents)
+), hits AS (
+  SELECT doc_id, pos, id FROM cut JOIN known
+  ON trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) = sentence
+), seqs AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM hits GROUP BY doc_id),
+found AS (SELECT doc_id, ids, unnest([{", ".join(_FOUND)}]) AS pos FROM seqs),
+names AS (SELECT doc_id, license, min(pos) AS pos FROM found JOIN rules USING (pos) GROUP BY doc_id, license),
+lists AS (SELECT doc_id, string_agg(license, ',' ORDER BY pos) AS licenses FROM names GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ids), 0)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
+FROM documents d LEFT JOIN seqs USING (doc_id) LEFT JOIN lists USING (doc_id)
+"""
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     out = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=10, k=5)
     ids = F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",")
@@ -99,12 +205,19 @@ FROM marked GROUP BY doc_id
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_counts": op2_token_counts,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_url_filters": op4_url_filters,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_license_scans": op6_license_scans,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES = {
+    "op4_url_filters": OP4_SQL,
+    "op5_chat_formatting": OP5_SQL,
+    "op6_license_scans": OP6_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
     "op8_line_dedup": OP8_SQL,
