@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwood.llm.chat_format import chat_digests, chat_segments
 from driftwood.llm.decontaminate import contamination
+from driftwood.llm.html_extract import main_text
 from driftwood.llm.license_scan import LICENSE_RULES, SENTENCES, license_scan
 from driftwood.llm.line_dedup import line_dedup
 from driftwood.llm.near_dedup import near_duplicates
@@ -26,7 +27,57 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-OP1_SQL = None
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_GAPS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: The votes of quality_rules.RULES in SQL, in their order.
+_VOTES = [
+    "CASE WHEN n_words < 10 THEN -1 WHEN n_words >= 50 THEN 1 ELSE 0 END",
+    "CASE WHEN n_symbols * 12 > word_chars THEN -1 WHEN n_symbols * 50 <= word_chars THEN 1 ELSE 0 END",
+    "CASE WHEN n_dup_lines * 10 > n_lines * 3 THEN -1 WHEN n_dup_lines = 0 AND n_lines > 1 THEN 1 ELSE 0 END",
+    "CASE WHEN n_repeat_words * 5 > n_words THEN -1 WHEN n_repeat_words * 20 <= n_words THEN 1 ELSE 0 END",
+    "CASE WHEN n_upper * 5 > word_chars * 2 THEN -1 WHEN n_upper * 5 <= word_chars THEN 1 ELSE 0 END",
+    "CASE WHEN word_chars < n_words * 2 OR word_chars > n_words * 14 THEN -1 WHEN word_chars >= n_words * 3 AND word_chars <= n_words * 10 THEN 1 ELSE 0 END",
+    "CASE WHEN n_exclaims * 4 > n_words THEN -1 WHEN n_exclaims * 20 <= n_words THEN 1 ELSE 0 END",
+    "CASE WHEN n_distinct * 5 < n_words AND n_words BETWEEN 50 AND 2000 THEN -1 WHEN n_distinct * 5 >= n_words * 2 THEN 1 ELSE 0 END",
+]
+_R = len(_VOTES)
+_SUM = "list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].n * {}))"
+_RATE = "least(0.999, greatest(0.02, (" + _SUM + " + 1) / (" + _SUM + " + 2)))"
+_GOOD = ", ".join(_RATE.format(f"CASE WHEN p[i].v[{j}] = 1 THEN q[i] ELSE 0 END", f"CASE WHEN p[i].v[{j}] <> 0 THEN q[i] ELSE 0 END") for j in range(1, _R + 1))
+_BAD = ", ".join(_RATE.format(f"CASE WHEN p[i].v[{j}] = -1 THEN 1 - q[i] ELSE 0 END", f"CASE WHEN p[i].v[{j}] <> 0 THEN 1 - q[i] ELSE 0 END") for j in range(1, _R + 1))
+_PI = "least(0.999, greatest(0.02, (" + _SUM.format("q[i]") + " + 1) / (" + _SUM.format("1") + " + 2)))"
+_LOGIT = f"list_sum(list_transform(range(1, {_R + 1}), lambda j: CASE x.v[j] WHEN 1 THEN ln(m.good[j] / (1 - m.bad[j])) WHEN -1 THEN ln((1 - m.good[j]) / m.bad[j]) ELSE 0 END))"
+_GUESS = "list_transform(p, lambda x: 1 / (1 + exp(-(ln(m.pi / (1 - m.pi)) + " + _LOGIT + "))))"
+OP1_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: translate(x, {_GAPS}, '') <> '') AS l, length(translate(t, {_GAPS}, '')) AS word_chars
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c
+  FROM (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5))
+), repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM windows WHERE c > 1) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, word_chars, len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, length(t) - length(translate(t, '{_UP}', '')) AS n_upper,
+         length(t) - length(replace(t, '!', '')) AS n_exclaims, len(list_distinct(w)) AS n_distinct, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN repeats USING (doc_id)
+), voted AS (SELECT *, [{", ".join(_VOTES)}] AS v FROM m),
+counted AS (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v),
+patterns AS (SELECT list(struct_pack(v := v, n := n) ORDER BY v) AS p FROM counted),
+em(t, p, q) AS (
+  SELECT 0, p, {_GUESS} FROM (SELECT p, struct_pack(pi := 0.9::DOUBLE, good := list_transform(range({_R}), lambda z: 0.95::DOUBLE), bad := list_transform(range({_R}), lambda z: 0.7::DOUBLE)) AS m FROM patterns)
+), em_run(t, p, q) AS (
+  SELECT t, p, q FROM em
+  UNION ALL
+  SELECT t + 1, p, {_GUESS} FROM (SELECT t, p, struct_pack(pi := {_PI}, good := [{_GOOD}], bad := [{_BAD}]) AS m FROM em_run WHERE t < 25)
+), scored AS (SELECT unnest(p).v AS v, unnest(q) AS posterior FROM em_run WHERE t = 25)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND posterior >= 0.5 AS kept
+FROM voted JOIN scored USING (v)
+"""
 
 
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,6 +208,10 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = near_duplicates(table(spark, folder, "documents"), threshold=0.8, k=5)
     return out.select("doc_id", "class_id", "class_docs")
@@ -212,9 +267,11 @@ QUERIES = {
     "op6_license_scans": op6_license_scans,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_line_dedup": op8_line_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLES = {
+    "op1_quality_rules": OP1_SQL,
     "op4_url_filters": OP4_SQL,
     "op5_chat_formatting": OP5_SQL,
     "op6_license_scans": OP6_SQL,
