@@ -4,6 +4,8 @@ Each rule votes good (1), bad (-1) or abstains (0) on a text. Expectation-
 maximisation over the counts of vote patterns estimates, for every rule, how
 often its votes are right on good and on bad texts, and the share of good texts;
 a text is kept if its posterior probability of being good is at least a half.
+The model is fitted on the texts that pass the base conditions, as the others are
+rejected anyway; what is left to tell apart are the kinds of junk that these miss.
 There are at most 3**rules patterns however large the corpus is, so the
 iterations run inside one row of one task, and the posteriors join back by
 pattern as a table of that bounded size.
@@ -39,7 +41,9 @@ def _rules() -> dict[str, Column]:
     if not RULES:
         c = F.col
         RULES["length"] = _vote(c("n_words") < 10, c("n_words") >= 50)
-        RULES["symbols"] = _vote(c("n_symbols") * 12 > c("word_chars"), c("n_symbols") * 50 <= c("word_chars"))
+        RULES["symbols"] = _vote(c("n_symbols") * 20 > c("word_chars"), c("n_symbols") * 100 <= c("word_chars"))
+        RULES["symbol_words"] = _vote(c("n_symbols") * 5 > c("n_words"), c("n_symbols") * 50 <= c("n_words"))
+        RULES["symbols_to_marks"] = _vote((c("n_symbols") > c("n_marks") * 2) & (c("n_symbols") > 2), c("n_symbols") * 4 <= c("n_marks"))
         RULES["line_repeats"] = _vote(c("n_dup_lines") * 10 > c("n_text_lines") * 3, (c("n_dup_lines") == 0) & (c("n_text_lines") > 1))
         RULES["word_repeats"] = _vote(c("n_repeat_words") * 5 > c("n_words"), c("n_repeat_words") * 20 <= c("n_words"))
         RULES["capitals"] = _vote(c("n_upper") * 5 > c("word_chars") * 2, c("n_upper") * 5 <= c("word_chars"))
@@ -58,7 +62,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+", -1), "").alias("words"),
         F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0).alias("lines"),
         F.length(F.translate("text", SPACE, "")).alias("word_chars"),
-        less(F.col("text"), SYMBOLS).alias("n_symbols"), less(F.col("text"), UPPER).alias("n_upper"), less(F.col("text"), "!").alias("n_exclaims"),
+        less(F.col("text"), SYMBOLS).alias("n_symbols"), less(F.col("text"), UPPER).alias("n_upper"), less(F.col("text"), "!").alias("n_exclaims"), less(F.col("text"), ".,").alias("n_marks"),
     )
     n = F.size("words")
     # equal windows have equal hashes: only a text with an equal pair of hashes can repeat a window
@@ -79,7 +83,7 @@ def measured(docs: DataFrame) -> DataFrame:
         lambda a: a["words"],
     )
     base = base.withColumn("repeated", repeated).drop("sorted").withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("repeated")
-    return base.withColumns({x: F.col(x).cast("long") for x in ("word_chars", "n_symbols", "n_upper", "n_exclaims")})
+    return base.withColumns({x: F.col(x).cast("long") for x in ("word_chars", "n_symbols", "n_upper", "n_exclaims", "n_marks")})
 
 
 def _posteriors(patterns: DataFrame, rules: int) -> DataFrame:
@@ -116,17 +120,19 @@ def quality(docs: DataFrame) -> DataFrame:
     n_symbols, n_dup_lines, n_repeat_words (words inside windows of five words
     that the text has twice or more), base_failed (fewer than 10 words, or more
     than a fifth of the words repeat), posterior, and kept (not base_failed and
-    a posterior of at least 0.5). Null and empty texts have no words and fail.
+    a posterior of at least 0.5; that is null if no text that passed the base
+    conditions has the same votes). Null and empty texts have no words and fail.
     Every row has its result, repeated rows too; an empty table gives none.
     """
     rules = _rules()
     code = sum(((vote + 1) * 3**j for j, vote in enumerate(rules.values())), F.lit(0))
     rows = written(measured(docs).withColumn("pattern", code.cast("int")), "quality")
-    posteriors = _posteriors(rows.groupBy("pattern").agg(F.count("*").alias("n")), len(rules))
     base_failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    return rows.join(F.broadcast(posteriors), "pattern").select(
+    posteriors = _posteriors(rows.where(~base_failed).groupBy("pattern").agg(F.count("*").alias("n")), len(rules))
+    kept = ~base_failed & (F.coalesce("posterior", F.lit(0.0)) >= 0.5)
+    return rows.join(F.broadcast(posteriors), "pattern", "left").select(
         "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), "posterior", (~base_failed & (F.col("posterior") >= 0.5)).alias("kept"),
+        base_failed.alias("base_failed"), "posterior", kept.alias("kept"),
     )
 
 

@@ -32,7 +32,9 @@ _GAPS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 #: The votes of quality_rules.RULES in SQL, in their order.
 _VOTES = [
     "CASE WHEN n_words < 10 THEN -1 WHEN n_words >= 50 THEN 1 ELSE 0 END",
-    "CASE WHEN n_symbols * 12 > word_chars THEN -1 WHEN n_symbols * 50 <= word_chars THEN 1 ELSE 0 END",
+    "CASE WHEN n_symbols * 20 > word_chars THEN -1 WHEN n_symbols * 100 <= word_chars THEN 1 ELSE 0 END",
+    "CASE WHEN n_symbols * 5 > n_words THEN -1 WHEN n_symbols * 50 <= n_words THEN 1 ELSE 0 END",
+    "CASE WHEN n_symbols > n_marks * 2 AND n_symbols > 2 THEN -1 WHEN n_symbols * 4 <= n_marks THEN 1 ELSE 0 END",
     "CASE WHEN n_dup_lines * 10 > n_lines * 3 THEN -1 WHEN n_dup_lines = 0 AND n_lines > 1 THEN 1 ELSE 0 END",
     "CASE WHEN n_repeat_words * 5 > n_words THEN -1 WHEN n_repeat_words * 20 <= n_words THEN 1 ELSE 0 END",
     "CASE WHEN n_upper * 5 > word_chars * 2 THEN -1 WHEN n_upper * 5 <= word_chars THEN 1 ELSE 0 END",
@@ -61,10 +63,10 @@ WITH RECURSIVE w AS (
 ), m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, word_chars, len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, length(t) - length(translate(t, '{_UP}', '')) AS n_upper,
-         length(t) - length(replace(t, '!', '')) AS n_exclaims, len(list_distinct(w)) AS n_distinct, coalesce(n_repeat_words, 0) AS n_repeat_words
+         length(t) - length(replace(t, '!', '')) AS n_exclaims, length(t) - length(translate(t, '.,', '')) AS n_marks, len(list_distinct(w)) AS n_distinct, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN repeats USING (doc_id)
 ), voted AS (SELECT *, [{", ".join(_VOTES)}] AS v FROM m),
-counted AS (SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v),
+counted AS (SELECT v, count(*)::DOUBLE AS n FROM voted WHERE NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) GROUP BY v),
 patterns AS (SELECT list(struct_pack(v := v, n := n) ORDER BY v) AS p FROM counted),
 em(t, p, q) AS (
   SELECT 0, p, {_GUESS} FROM (SELECT p, struct_pack(pi := 0.9::DOUBLE, good := list_transform(range({_R}), lambda z: 0.95::DOUBLE), bad := list_transform(range({_R}), lambda z: 0.7::DOUBLE)) AS m FROM patterns)
@@ -75,8 +77,8 @@ em(t, p, q) AS (
 ), scored AS (SELECT unnest(p).v AS v, unnest(q) AS posterior FROM em_run WHERE t = 25)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND posterior >= 0.5 AS kept
-FROM voted JOIN scored USING (v)
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(posterior, 0) >= 0.5 AS kept
+FROM voted LEFT JOIN scored USING (v)
 """
 
 
