@@ -1,0 +1,190 @@
+"""Operators on the tiny tables of FIXTURES.md."""
+
+from __future__ import annotations
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from driftwood.operators import contracts, corpus, drift, graph, leases, spans
+from driftwood.operators import tables as t
+from driftwood.streaming import streams
+
+NODES = [("a::1", "a", None, "benign", 1, 1, "h1"), ("a::f", "a", "f", "structural", 3, 6, "h2"), ("a::g", "a", "g", "structural", 8, 20, "h3"), ("b::p", "b", "p", "external", 1, 4, "h4"), ("c::q", "c", "q", "structural", 1, 2, "h5")]
+
+
+@pytest.fixture(scope="module")
+def nodes(spark):
+    return spark.createDataFrame(NODES, "node_id string, file string, name string, kind string, line_start int, line_end int, content_hash string")
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "a"), ("c", "b")], "src string, dst string")
+
+
+@pytest.mark.parametrize(
+    ("start", "depth", "way", "want"),
+    [("a", 1, "forward", "a0 b1"), ("a", 2, "forward", "a0 b1 c2"), ("a", 9, "forward", "a0 b1 c2"), ("b", 1, "reverse", "b0 a1 c1"), ("b", 2, "reverse", "b0 a1 c1 d2"), ("a", 1, "both", "a0 b1 d1")],
+)
+def test_bfs(spark, edges, start, depth, way, want):
+    got = graph.bounded_bfs(edges, spark.createDataFrame([(start,)], "node string"), depth, way)
+    assert {f"{r.node}{r.hop}" for r in got.collect()} == set(want.split())
+
+
+def test_ttl_and_spans(spark, nodes, rows):
+    ask = spark.createDataFrame([("a::f",), ("a::g",), ("zz",)], "node_id string")
+    assert rows(leases.lease_ttl(ask, nodes)) == [("a::f", 36), ("a::g", 54), ("zz", 30)]
+    for bucket in (None, 4):
+        hit = lambda a, b, bucket=bucket: {r.node_id for r in spans.span_targets(spark.createDataFrame([("a", a, b)], "file string, line_start int, line_end int"), nodes, bucket).collect()}
+        assert hit(6, 8) == {"a::f", "a::g"} and hit(7, 7) == set()
+
+
+def test_occurrences(spark, rows):
+    texts = spark.createDataFrame([(1, "aaa"), (2, "x\none two three\nfour five"), (3, None), (4, "")], "doc_id long, text string")
+    needles = spark.createDataFrame([(7, "aa"), (8, "wo three\nfour fi"), (9, ""), (10, None)], "item_id long, text string")
+    assert rows(spans.occurrence_scan(texts, needles)) == [(1, 7, 1, 1, 1), (1, 7, 2, 1, 1), (2, 8, 8, 2, 3)]
+
+
+def test_impact(spark, nodes, edges, rows):
+    changed = spark.createDataFrame([("b", "me")], "file string, agent string")
+    held = spark.createDataFrame([("a::g", "other")], "node_id string, holder string")
+    assert rows(graph.impact_set(changed, edges, nodes, held, 2)) == [("a::f", "a", 1), ("c::q", "c", 1)]
+
+
+@pytest.mark.parametrize(
+    ("held", "asked", "members"),
+    [("n2B", "An2", ""), ("n1A n2B", "An2 Bn1", "AB"), ("n1A n2B n3C", "An2 Bn3 Cn1", "ABC"), ("n1A n2B n3C", "An2 Bn3", ""), ("n1A", "An1", "")],
+)
+def test_wait_cycles(spark, held, asked, members):
+    holders = spark.createDataFrame([(x[:2], x[2]) for x in held.split()], "node_id string, holder string")
+    intents = spark.createDataFrame([(x[0], x[1:]) for x in asked.split()], "agent string, node_id string")
+    assert {r.node for r in graph.wait_cycles(leases.wait_for_edges(intents, holders)).collect()} == set(members)
+
+
+def test_victim_and_queue(spark, rows):
+    m = spark.createDataFrame([(1, "A", 100), (1, "B", 0), (2, "A", 0), (2, "B", 0)], "cycle long, agent string, priority int")
+    assert rows(leases.cycle_victim(m)) == [(1, "B"), (2, "A")]
+    q = spark.createDataFrame([(1, "n", "low", 0), (2, "n", "high", 100), (3, "n", "late", 0)], "id long, node string, agent string, priority int")
+    p = leases.queue_position(q)
+    assert {r.agent: r.position for r in p.collect()} == {"high": 0, "low": 1, "late": 2}
+    ask = spark.createDataFrame([("absent", "n"), ("late", "n")], "agent string, node string")
+    assert rows(leases.best_position(ask, p)) == [("absent", 0), ("late", 2)]
+
+
+LOG = [(0, "A", "acquire"), (10, "B", "acquire"), (12, "A", "acquire"), (42, "B", "acquire"), (43, "B", "acquire"), (50, "A", "release"), (51, "B", "release"), (52, "A", "acquire"), (90, "A", "release")]
+OUT = ["grant", "block", "reenter", "block", "grant_after_expiry", "noop", "release", "grant"]
+
+
+@pytest.fixture(scope="module")
+def log(spark):
+    return spark.createDataFrame([(r, s, i, {"A": 1, "B": 2}[a], op) for r in (1, 2) for i, (s, a, op) in enumerate(LOG)], "resource long, sec long, event_id long, agent long, op string")
+
+
+@pytest.mark.parametrize(("evict", "last"), [("eager", "noop"), ("lazy", "release")])
+def test_replay(log, evict, last):
+    got = leases.lease_replay(log, 30, evict).where("resource = 1").orderBy("event_id").collect()
+    assert [r.outcome for r in got] == [*OUT, last]
+
+
+def test_stream_equals_replay(spark, log, rows, tmp_path):
+    log.coalesce(1).write.parquet(str(tmp_path / "log"))
+    live = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
+    assert rows(streams.drained(streams.lease_stream(live, 30))) == rows(leases.lease_replay(log, 30))
+
+
+def test_index_stream(spark, rows, tmp_path):
+    spark.createDataFrame([("f", 1, "change", "a"), ("f", 2, "change", "b\nc"), ("g", 3, "change", "x"), ("g", 4, "unlink", None)], "file string, seq long, event string, text string").coalesce(1).write.parquet(str(tmp_path / "c"))
+    live = spark.readStream.schema("file string, seq long, event string, text string").parquet(str(tmp_path / "c"))
+    segment = lambda x: corpus.segment_lines(x, "file").select("file", "node_id")
+    for part in ("a", "b"):
+        streams.index_stream(live, str(tmp_path / "index"), segment, str(tmp_path / "state")).awaitTermination()
+        if part == "a":
+            assert rows(spark.read.parquet(str(tmp_path / "index" / "v0"))) == [("f", "f::1"), ("f", "f::2")]
+            spark.createDataFrame([("f", 5, "unlink", None), ("h", 6, "change", "q")], "file string, seq long, event string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
+    assert rows(spark.read.parquet(str(tmp_path / "index" / "v1"))) == [("h", "h::1")]
+
+
+@pytest.mark.parametrize(
+    ("now", "own", "want"),
+    [("x1 y2 z9", "", ""), ("x1 yH", "", "y"), ("x1", "", "y"), ("x1 yH", "y", ""), ("xH y2", "x", "x")],
+)
+def test_drift(spark, now, own, want):
+    base = spark.createDataFrame([("A", "x", "x", "h1"), ("A", "x", "y", "h2")], "agent string, lease_node string, node_id string, content_hash string")
+    current = spark.createDataFrame([(x[0], "h" + x[1]) for x in now.split()], "node_id string, content_hash string")
+    seen = spark.createDataFrame([("A", x) for x in own.split()], "agent string, node_id string")
+    assert {r.node_id for r in drift.snapshot_drift(base, current, seen).collect()} == set(want.split())
+
+
+def test_merkle(spark, nodes, rows):
+    leaf = lambda *h: hashlib.sha256("".join(h).encode()).hexdigest()
+    root = leaf(leaf("h1", "h2", "h3"), leaf("h4"), leaf("h5"))
+    n = nodes.withColumn("all", F.lit(1))
+    assert rows(drift.merkle_root(n, ["all"], order="line_start")) == [(1, root)]
+    assert rows(drift.merkle_root(n.where("false"), ["all"], order="line_start")) == []
+    ids = spark.createDataFrame([("b::p",), ("nope",)], "node_id string")
+    assert rows(drift.merkle_of_nodes(n, ids, ["all"], order="line_start")) == [(1, leaf(leaf("h4")))]
+
+
+@pytest.mark.parametrize(
+    ("required", "actual", "ok"),
+    [("x:int", "x:int y:str", True), ("x:int y:str", "x:int", False), ("$:int", "$:float", False), ("$:bool", "$:int", False), ("$:ARRAY $.[]:VOID", "$:ARRAY $.[]:int", True), ("$:ARRAY $.[]:int", "$:ARRAY $.[]:VOID", False)],
+)
+def test_superset(spark, required, actual, ok):
+    frame = lambda x: spark.createDataFrame([("e", *y.split(":")) for y in x.split()], "entity string, path string, type string")
+    assert contracts.superset_check(frame(required), frame(actual)).first().satisfied is ok
+
+
+def test_structure(spark, rows):
+    got = contracts.infer_structure(spark.createDataFrame([("e", '{"a": [1, "x"], "b": {"c": true}}'), ("e", "not json"), ("f", None)], "e string, j string"), "e", "j")
+    assert rows(got) == [("e", "$", "OBJECT"), ("e", "$.a", "ARRAY"), ("e", "$.a.[]", "BIGINT"), ("e", "$.b", "OBJECT"), ("e", "$.b.c", "BOOLEAN")]
+
+
+FILES = [
+    ("pkg/net.py", "import requests\n\ndef get(u):\n    return requests.get(u)\n"),
+    ("pkg/alias.py", "import subprocess as sp\n\ndef run(c):\n    return sp.run(c)\n\ndef twice(c):\n    run(c)\n    return run(c)\n"),
+    ("pkg/cls.py", "import socket\n\nclass K:\n    def open(self):\n        return socket.create_connection(1)\n    def use(self):\n        return self.open()\n    @property\n    def v(self):\n        return 1\n    @v.setter\n    def v(self, x):\n        pass\n"),
+    ("pkg/user.py", "from .net import get as fetch\n\ndef page(u):\n    return fetch('x', 3)\n\ndef pure(a):\n    return a + 1\n"),
+    ("pkg/pure.py", "def f(a):\n    return g(1, b='z')\n\ndef g(a, b):\n    return a\n"),
+    ("pkg/bad.py", "def f(:\n"),
+    ("pkg/empty.py", "# nothing\n"),
+]
+
+
+def test_code(spark, rows):
+    files = spark.createDataFrame(FILES, "path string, source string")
+    records = corpus.parsed(files).cache()
+    assert {r.path: r.name for r in records.where("record = 'status'").collect()} == {p: "syntax_error" if "bad" in p else "ok" for p, _ in FILES}
+    ids = {r.node_id for r in corpus.code_nodes(records).collect()}
+    assert {"pkg/cls.py::K.v", "pkg/cls.py::K.v#2"} <= ids and not any("empty" in x or "bad" in x for x in ids)
+    assert ("pkg/alias.py", "sp", "subprocess") in rows(corpus.import_aliases(records))
+    assert rows(corpus.bound_symbols(records, files)) == [("pkg/user.py", "fetch", "pkg/net.py", "get")]
+    inside = {"pkg/net.py::get", "pkg/alias.py::run", "pkg/alias.py::twice", "pkg/cls.py::K.open", "pkg/cls.py::K.use"}
+    assert {r.node_id for r in corpus.external_functions(records).collect()} == inside
+    assert {r.node_id for r in corpus.external_functions(records, files).collect()} == inside | {"pkg/user.py::page"}
+    asked = spark.createDataFrame([("g",), ("run",)], "name string")
+    assert rows(corpus.call_site_args(asked, records)) == [("g", "pkg/pure.py", "([1], {'b': 'z'})")]
+
+
+def test_scan(spark, rows, tmp_path):
+    for path, source in [*FILES[:1], ("venv/x.py", "1"), ("pkg/note.txt", "n")]:
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(source)
+    assert rows(t.corpus_scan(spark, str(tmp_path))) == [FILES[0]]
+
+
+def test_tables(spark, rows):
+    r = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (2, 5, "c")], "k long, seq long, v string")
+    assert rows(t.upsert_last_wins(r, ["k"], ["seq"])) == [(1, 2, None), (2, 5, "c")]
+    assert rows(t.append_first_wins(r, ["k"], ["seq"])) == [(1, 1, "a"), (2, 5, "c")]
+    names = spark.createDataFrame([("K_.f",), ("kx.g",), ("top",)], "name string")
+    ask = spark.createDataFrame([("K_",), ("top",), ("k%",)], "prefix string")
+    assert rows(t.prefix_exists(names, ask)) == [("K_",)]
+    assert rows(t.prefix_exists(names.where("name <> 'K_.f'"), ask, like_compat=True)) == [("K_",)]
+
+
+def test_stop_fans_out(spark):
+    log = spark.createDataFrame([(1, 0, 0, 5, "acquire"), (2, 1, 1, 5, "acquire"), (9, 2, 2, 5, "stop"), (1, 3, 3, 6, "acquire")], "resource long, sec long, event_id long, agent long, op string")
+    got = leases.lease_replay(leases.agent_release_fanout(log), 30)
+    assert {(r.resource, r.event_id, r.outcome) for r in got.collect()} == {(1, 0, "grant"), (2, 1, "grant"), (1, 2, "release"), (2, 2, "release"), (1, 3, "grant")}
