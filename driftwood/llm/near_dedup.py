@@ -306,19 +306,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.min(row).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     alike = lambda a, b: _alike(a, b, bands * rows, threshold)
 
-    def starred(keyed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Rows (key, node, sketch ...) of keys that two nodes have, with the key's first node; and the alike pairs of node and first node."""
-        first = keyed.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        members = written(keyed.join(first, "key").select(*keyed.columns, "n", F.col("first.node").alias("leader"), F.col("first.sketch").alias("lead_sketch")), name)
-        return members, members.where("node <> leader").where(alike("sketch", "lead_sketch")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-
     def texts_of(some: DataFrame) -> DataFrame:
         ends = written(some.join(nodes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash")), "pair-nodes")
         same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
         return written(docs.join(small(ends, ends.count()), same).select("node", "text").dropDuplicates(["node"]), "pair-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.distinct(), "pairs")
+        sketch = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+        close = pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").where(alike("sketch_a", "sketch_b"))
+        pairs = written(close.select("a", "b"), "pairs")
         texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(k, threshold), "a binary, b binary"), "links")
@@ -332,13 +328,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
 
     def apart(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """Members, but for first nodes, of keys whose nodes are in several groups, with the key's largest group."""
-        grouped = members.where("n > 2").join(roots, "node", "left").select("key", "node", "sketch", "leader", "n", F.coalesce("root", "node").alias("root"))
+        grouped = members.where("n > 2").join(roots, "node", "left").select("key", "node", "leader", "n", F.coalesce("root", "node").alias("root"))
         sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("size"))
         main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-        return written(grouped.join(main, "key").where("node <> leader"), name)
+        return written(grouped.join(main, "key").where("node <> leader").join(nodes.select("node", "sketch"), "node"), name)
 
-    members, pairs = starred(nodes.select("node", "sketch", F.explode("bands").alias("key")), "members")
-    links = verified(pairs)
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    members = written(keys.join(shared, "key"), "members")
+    links = verified(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
     roots = components(links)
 
     mixed = apart(members, roots, "mixed")
