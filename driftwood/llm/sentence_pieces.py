@@ -163,6 +163,28 @@ class Search:
         return self.ids
 
 
+def _within_window(p: Pieces, text: str) -> list[int]:
+    """The search over a stretch that fits in one window of a BPE model: the same survivors, and nothing to commit early."""
+    ids, known_fits, longest = p.ids, p._fits, p.longest
+    left, back = [""] * (len(text) + 1), [0] * (len(text) + 1)
+    for end in range(1, len(text) + 1):
+        for start in range(max(0, end - longest), end):
+            piece = text[start:end]
+            if piece in ids:
+                fits = known_fits.get((left[start], piece))
+                if fits or (fits is None and p.fits(left[start], piece)):
+                    left[end], back[end] = piece, start
+                    break
+        else:
+            back[end] = end - 1  # outside of the vocabulary: nothing merges with it
+    out, end = [], len(text)
+    while end:
+        known = ids.get(text[back[end] : end])
+        out += [known] if known is not None else p.of_char(text[back[end] : end])[::-1]
+        end = back[end]
+    return out[::-1]
+
+
 class _Memory(dict):
     """Ids, as bytes, of stretches of text."""
 
@@ -175,6 +197,8 @@ class _Memory(dict):
         if p.tied and MARK + MARK in stretch:  # runs of marks have equal scores, where merges depend on their order
             lead = len(stretch) - len(stretch.lstrip(MARK))
             ids = [x for part in _merged_run(p, stretch, lead) for x in ([p.ids[part]] if part in p.ids else p.of_char(part))]
+        elif p.bpe and len(stretch) <= LONGEST:
+            ids = _within_window(p, stretch)
         else:
             search = Search(p)
             search.feed(stretch)
