@@ -34,7 +34,7 @@ from driftwood.llm import bytes_
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches that a worker remembers, and the longest that is.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 700_000, 64
 UNIGRAM, BPE = 1, 2
 
 
@@ -73,13 +73,19 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """What the merges of a BPE model make of a short text: the best-scored neighbours first, leftmost of equals."""
-        parts = list(text)
-        while True:
-            best = max(((self.score[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
-            if best is None:
-                return parts
-            k = -best[1]
+        parts, ids, score = list(text), self.ids, self.score
+        none = float("-inf")
+        worth = lambda x: score[i] if (i := ids.get(x)) is not None else none
+        pairs = [worth(parts[k] + parts[k + 1]) for k in range(len(parts) - 1)]  # of each part with the next
+        while pairs and (best := max(pairs)) > none:
+            k = pairs.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = worth(parts[k] + parts[k + 1])
+            if k:
+                pairs[k - 1] = worth(parts[k - 1] + parts[k])
+        return parts
 
     def fits(self, a: str, b: str) -> bool:
         """Whether a BPE model leaves b to the right of a."""
