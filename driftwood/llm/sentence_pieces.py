@@ -21,6 +21,7 @@ remembered, within a bound.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -58,6 +59,7 @@ class Pieces:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.longest = max(map(len, self.ids), default=1)
+        self.sizes = self._sizes_by_ending()
         self.text = [b"" if p.type == kinds.CONTROL else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         self.text[self.unknown] = " ⁇ ".encode()
         for b, i in self.byte.items():
@@ -71,6 +73,22 @@ class Pieces:
         self.tied = self.bpe and len(set(marks)) < len(marks)
         self._fits: dict[tuple[str, str], bool] = {}
 
+    def _sizes_by_ending(self) -> dict[str, tuple[int, ...]]:
+        """For up to three last characters, the lengths that pieces ending so may have, longest first."""
+        found: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if piece[-3:] not in found:
+                found[piece[-3:]] = {k for k in (1, 2) if piece[-k:] in self.ids and k <= len(piece)}
+            found[piece[-3:]].add(len(piece))
+        return {ending: tuple(sorted(sizes, reverse=True)) for ending, sizes in found.items()}
+
+    def sizes_at(self, text: str, end: int) -> tuple[int, ...]:
+        """The lengths that a piece may have which ends there, longest first."""
+        for start in range(max(0, end - 3), end):
+            if (sizes := self.sizes.get(text[start:end])) is not None:
+                return sizes
+        return ()
+
     def merged(self, text: str) -> list[str]:
         """What the merges of a BPE model make of a short text: the best-scored neighbours first, leftmost of equals."""
         parts, ids, score = list(text), self.ids, self.score
@@ -169,25 +187,34 @@ class Search:
         return self.ids
 
 
+def _survivor(p: Pieces, text: str, left: list[str | None], end: int) -> str:
+    """The last piece of the survivor at a place, noted in ``left``; '' after a character outside of the vocabulary."""
+    ids, known_fits = p.ids, p._fits
+    for size in p.sizes.get(text[max(0, end - 3) : end]) or p.sizes_at(text, end):
+        start = end - size
+        if start >= 0 and (piece := text[start:end]) in ids:
+            if (before := left[start]) is None:
+                before = _survivor(p, text, left, start)
+            fits = known_fits.get((before, piece))
+            if fits or (fits is None and p.fits(before, piece)):
+                left[end] = piece
+                return piece
+    left[end] = ""
+    return ""
+
+
 def _within_window(p: Pieces, text: str) -> list[int]:
-    """The search over a stretch that fits in one window of a BPE model: the same survivors, and nothing to commit early."""
-    ids, known_fits, longest = p.ids, p._fits, p.longest
-    left, back = [""] * (len(text) + 1), [0] * (len(text) + 1)
-    for end in range(1, len(text) + 1):
-        for start in range(max(0, end - longest), end):
-            piece = text[start:end]
-            if piece in ids:
-                fits = known_fits.get((left[start], piece))
-                if fits or (fits is None and p.fits(left[start], piece)):
-                    left[end], back[end] = piece, start
-                    break
-        else:
-            back[end] = end - 1  # outside of the vocabulary: nothing merges with it
+    """The search over a stretch that fits in one window of a BPE model: the same survivors, and nothing to commit early.
+
+    It starts from the end and finds the survivors of those places only that a path to the end asks for.
+    """
+    left: list[str | None] = ["", *[None] * len(text)]
     out, end = [], len(text)
     while end:
-        known = ids.get(text[back[end] : end])
-        out += [known] if known is not None else p.of_char(text[back[end] : end])[::-1]
-        end = back[end]
+        if (piece := left[end]) is None:
+            piece = _survivor(p, text, left, end)
+        out += [p.ids[piece]] if piece else p.of_char(text[end - 1])[::-1]
+        end -= len(piece) or 1
     return out[::-1]
 
 
@@ -209,7 +236,7 @@ class _Memory(dict):
             search = Search(p)
             search.feed(stretch)
             ids = search.finish()
-        out = np.array(ids, np.int32).tobytes()
+        out = array("i", ids).tobytes()
         if len(stretch) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
