@@ -97,9 +97,10 @@ def _rewrite(min_chars: int, twice: Broadcast, bits: int, confirmed: Broadcast |
         for batch, data, off in bytes_.slices(batches):
             all_lines, keys, passed = _suspected(data, off, min_chars, twice, bits)
             doc, ids = bytes_.owners(keys.first), batch.column("doc_id").to_pylist()
-            digests = np.array([hashlib.md5(keys.lowered(i)).digest() for i in passed.tolist()], "S16")
+            found = [hashlib.md5(keys.lowered(i)).digest() for i in passed.tolist()]
             if confirmed is not None:
                 known, first = confirmed.value
+                digests = np.array(found, "S16")
                 at = np.searchsorted(known, digests)
                 hit = np.zeros(len(digests), bool)
                 ok = at < len(known)
@@ -107,8 +108,9 @@ def _rewrite(min_chars: int, twice: Broadcast, bits: int, confirmed: Broadcast |
                 firsts = first[at[hit]].tolist() if keep_first else []
                 hits = list(zip(passed[hit].tolist(), digests[hit].tolist(), firsts or [None] * int(hit.sum()), strict=True))
             else:
-                own = [{np.bytes_(x["digest"]): x["first"] for x in row or ()} for row in batch.column("confirmed").to_pylist()]
-                hits = [(i, d, own[doc[i]][d]) for i, d in zip(passed.tolist(), digests, strict=True) if d in own[doc[i]]]
+                # plain bytes on both sides: numpy's strip trailing NULs
+                own = [{x["digest"]: x["first"] for x in row or ()} for row in batch.column("confirmed").to_pylist()]
+                hits = [(i, d, own[doc[i]][d]) for i, d in zip(passed.tolist(), found, strict=True) if d in own[doc[i]]]
             dropped, spared = np.zeros(len(doc), bool), set()
             for i, digest, first_id in hits:
                 if keep_first and first_id == ids[doc[i]] and (doc[i], digest) not in spared:

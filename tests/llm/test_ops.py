@@ -149,6 +149,19 @@ def test_line_dedup(spark, limit, keep):
     assert got == want
 
 
+@pytest.mark.parametrize("keep", ["first", "none"])
+def test_line_dedup_joins_all_digests(spark, keep):
+    keys = [f"line {i}" for i in range(4000)]
+    assert sum(hashlib.md5(k.encode()).digest()[-1] == 0 for k in keys) > 5
+    rows = [(i, "\n".join([*keys[i % 4 * 1000 : i % 4 * 1000 + 1000], f"own {i}"])) for i in range(12)]
+    want = {i: text if keep == "first" and i < 4 else f"own {i}" for i, text in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for limit in (1_000_000, -1):
+        got = line_dedup.line_dedup(docs, 2, 1, keep, limit).collect()
+        assert {r.doc_id: r.text for r in got} == want
+        assert sum(r.n_dropped for r in got) == (8000 if keep == "first" else 12000)
+
+
 def test_pieces_are_those_of_the_library():
     import sentencepiece
 
