@@ -1,12 +1,15 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences and normalised; a table maps known sentences to
+Texts are normalised with marks where lines and sentences end; known sentences
+are found between two marks, wrapped over lines or not. A table maps them to
 identifiers, and what remains of a text is the sequence of its identifiers.
 Ordered rules, the most specific first, match runs of that sequence.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +43,99 @@ LICENSE_RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-4.0", ("cc-by-ref",)),
     ("proprietary", ("reserved",)),
 ]
+_GNU = "~ free software you can redistribute it and or modify it under the terms of the gnu %s public license as published by the free software foundation either version %s of the license or at your option any later version"
+_ENDORSE = "may be used to endorse or promote products derived from this software without specific prior written permission"
+_GRANT, _NOTICE = list(SENTENCES)[:2]
+_APACHE, _APACHE_USE = "licensed under the apache license version 2 0 the license", "you may not use this file except in compliance with the license"
+#: SPDX names by their normalised form ("GPL-2.0+" and "GPL-2.0" have the same).
+SPDX: dict[str, str] = {
+    re.sub("[^a-z0-9]+", " ", x.lower()): x
+    for x in (
+        "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "Zlib", "Unlicense", "0BSD", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "MPL-2.0", "EPL-2.0",
+        *(f"{x}{y}" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for y in ("", "-only", "-or-later")),
+    )
+}
+#: More sentences, which OP6_SQL does not have. Several identifiers stand between commas; "*" is any 1 to 200 characters, "v." may end a sentence, and after "~" a name may come before it.
+MORE_SENTENCES: dict[str, str] = {
+    f"{_GRANT} {_NOTICE}": "mit-grant,mit-notice",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    f"{_APACHE} {_APACHE_USE}": "apache2-ref,apache2-use",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2-copy",
+    _GNU % ("general", "2"): "gpl2-grant",
+    _GNU % ("general", "3"): "gpl3-grant",
+    _GNU % ("library general", "2"): "lgpl2-grant",
+    _GNU % ("lesser general", "2"): "lgpl2-grant",
+    _GNU % ("lesser general", "2 1"): "lgpl21-grant",
+    _GNU % ("lesser general", "3"): "lgpl3-grant",
+    _GNU % ("affero general", "3"): "agpl3-grant",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertising",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement *": "bsd-advertising",
+    f"neither the name of * nor the names of * {_ENDORSE}": "bsd-name",
+    f"the name of * may not {_ENDORSE[4:]}": "bsd-name",
+    **{f"permission to use copy modify {x} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant" for x in ("and", "and or")},
+    "this source code form is subject to the terms of the mozilla public license v. 2 0": "mpl2-ref",
+    **{f"if a copy of the mpl was not distributed with this file you can obtain one at {x} mozilla org mpl 2 0": "mpl2-copy" for x in ("http", "https")},
+    **{f"spdx license identifier {x}": f"spdx-{x.replace(' ', '-')}" for x in SPDX},
+    **{f"spdx license identifier {x} or {y}": f"spdx-{x.replace(' ', '-')},spdx-{y.replace(' ', '-')}" for x, y in (("mit", "apache 2 0"), ("apache 2 0", "mit"))},
+}
+_BSD = ("bsd-grant", "bsd-source", "bsd-binary")
+#: Their rules. The line "All rights reserved" above a BSD text belongs to it.
+MORE_RULES: list[tuple[str, tuple[str, ...]]] = [
+    *((name, (*before, *run)) for name, run in (("BSD-4-Clause", (*_BSD, "bsd-advertising", "bsd-name")), ("BSD-3-Clause", (*_BSD, "bsd-name")), ("BSD-2-Clause", _BSD)) for before in (("reserved",), ())),
+    ("ISC", ("isc-grant",)),
+    ("AGPL-3.0-or-later", ("agpl3-grant",)),
+    ("LGPL-3.0-or-later", ("lgpl3-grant",)),
+    ("LGPL-2.1-or-later", ("lgpl21-grant",)),
+    ("LGPL-2.0-or-later", ("lgpl2-grant",)),
+    ("GPL-2.0-or-later", ("gpl2-grant",)),
+    ("MPL-2.0", ("mpl2-ref", "mpl2-copy")),
+    ("MPL-2.0", ("mpl2-ref",)),
+    *((name, (f"spdx-{x.replace(' ', '-')}",)) for x, name in SPDX.items()),
+]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _pattern(sentence: str) -> str:
+    """A regular expression for a sentence: a line may end between any two of its words."""
+    words = sentence.removeprefix("~ ").split(" ")
+    gaps = ["[ \\n.]" if x in ("v.", "*") or y == "*" else "[ \\n]" for x, y in zip(words, words[1:], strict=False)]
+    parts = ["[a-z0-9 \\n.]{1,200}?" if x == "*" else x if x.isalnum() else re.escape(x.removesuffix(".")) for x in words]
+    return "".join(p + g for p, g in zip(parts, [*gaps, ""], strict=True))
+
+
 def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
-    Sentences end at \\n or after . ! ? and blanks; A-Z is lower-cased and every
-    run of other characters than a-z and 0-9 is one blank.
+    A sentence stands between two marks: both ends of the text, every \\n, and
+    . ! ? before white space; those after "~" only end at one. Line ends (also empty lines, and the comment words
+    rem, dnl, @c and a capital C before a line) may be inside it as well. A-Z is
+    lower-cased and every run of other characters than a-z and 0-9 is one blank.
+    Sentences do not overlap; of those that start at one place the longest counts.
     """
-    known = F.create_map(*(F.lit(x) for pair in (sentences or SENTENCES).items() for x in pair))
-    cut = F.split(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "([.!?])[ \t\r]+", "$1\n"), "\n")
-    plain = F.transform(cut, lambda x: F.trim(F.regexp_replace(F.translate(x, UPPER, LOWER), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(plain, lambda x: F.element_at(known, x)), lambda x: x.isNotNull())
+    table = sentences or (SENTENCES | MORE_SENTENCES)
+    longest = sorted(table, key=lambda x: ("*" in x, -len(x.split(" "))))
+    known = F.create_map(*(F.lit(x) for k, v in table.items() if "*" not in k for x in (k.removeprefix("~ ").replace("v. ", "v "), v)))
+    whole, part = ("|".join(_pattern(x) for x in longest if x.startswith("~ ") is y) for y in (False, True))
+    any_of = f"(?:(?<![^\\n.])(?:{whole}){f'|(?<![a-z0-9])(?:{part})' if part else ''})(?![^\\n.])"
+
+    x = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(?m)^[ \t]*+(?:C|REM|rem|dnl|@c)(?:[ \t]+|$)", "")
+    x = F.regexp_replace(F.translate(x, UPPER + "\x01", LOWER + " "), r"[.!?](?=[ \t\r\n])", "\x01")
+    x = F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9\n\x01]+", " "), r" ?\n[ \n]*+", "\n")
+    x = F.regexp_replace(x, r"[ \n]?\x01[ \n\x01]*+", ".")
+    found = F.regexp_extract_all(F.trim(x), F.lit(any_of), F.lit(0))
+
+    def ids(s: Column) -> Column:
+        plain = F.translate(s, "\n.", "  ")
+        names = F.element_at(known, plain)
+        for k in longest:
+            if "*" in k:
+                names = F.coalesce(names, F.when(F.rlike(s, F.lit(f"^(?:{_pattern(k)})$")), F.lit(table[k])))
+        return F.split(names, ",")
+
+    return F.flatten(F.transform(found, ids))
 
 
 def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
@@ -65,7 +148,7 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
     taken out for later rules. Null and empty texts have none; every row has
     its result, repeated rows too.
     """
-    rules = LICENSE_RULES if rules is None else rules
+    rules = MORE_RULES + LICENSE_RULES if rules is None else rules
     rows = docs.select(F.col("doc_id").cast("long"), sentence_ids(F.col("text"), sentences).alias("sentence_ids"))
     # ids between bars; a taken run leaves a gap that no later run crosses
     left = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))

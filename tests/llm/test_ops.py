@@ -261,6 +261,69 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: [], 3: ["MIT", "CC-BY-NC-4.0"], 4: [], 5: [], 6: []}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS"."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD = """Copyright (c) 2020, Acme Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of Acme Inc. nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission."""
+ISC = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+LGPL = GPL.replace("This program", "Libfoo").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+
+
+@pytest.mark.parametrize("mark", ["", "// ", " * ", "# ", "REM ", "C     ", "\r"])
+def test_licenses_over_lines(spark, mark):
+    if mark == "\r":
+        prefixed = lambda x: x.replace("\n", "\r\n")
+    else:
+        prefixed = lambda x: "\n".join((mark + y).rstrip(" ") for y in x.split("\n"))
+    want = [
+        (MIT, "mit-grant,mit-notice", "MIT"), (APACHE, "apache2-ref,apache2-use,apache2-copy", "Apache-2.0"), (GPL, "gpl3-grant", "GPL-3.0-or-later"), (LGPL, "lgpl21-grant", "LGPL-2.1-or-later"),
+        (BSD, "reserved,bsd-grant,bsd-source,bsd-binary,bsd-name", "BSD-3-Clause"), (BSD[: BSD.index("3. ")], "reserved,bsd-grant,bsd-source,bsd-binary", "BSD-2-Clause"), (ISC, "isc-grant", "ISC"), (MPL, "mpl2-ref,mpl2-copy", "MPL-2.0"),
+        ("SPDX-License-Identifier: GPL-2.0-only\nint x;", "spdx-gpl-2-0-only", "GPL-2.0-only"), ("All rights\nreserved seats.", "", ""), ("Not all rights reserved.", "", ""), (f"{MIT}\n\n{MIT}", "mit-grant,mit-notice,mit-grant,mit-notice", "MIT"),
+    ]
+    docs = spark.createDataFrame([(i, prefixed(x)) for i, (x, *_) in enumerate(want)] + [(100 + i, " ".join(x.split())) for i, x in ((0, MIT[MIT.index("Permission") :]), (2, GPL))], "doc_id long, text string")
+    got = {r.doc_id: (",".join(r.sentence_ids), ",".join(r.licenses), r.n_sentences) for r in license_scan(docs).collect()}
+    for i, (_, ids, names) in enumerate(want):
+        assert got[i] == (ids, names, len(ids.split(",")) if ids else 0)
+        if i in (0, 2):
+            assert got[100 + i][:2] == (ids, names)
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     return spark.read.parquet(f"{FOLDER}/pages.parquet")
