@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwood.sources.workspace import written
+
 #: In a required structure this type matches any other.
 UNKNOWN = "VOID"
 
 
-def infer_structure(rows: DataFrame, entity: str, json_col: str, depth: int = 3) -> DataFrame:
-    """(entity, path, type), distinct, of JSON values down to ``depth`` levels. '$' is the value itself, '[]' a list's first element."""
-    level = rows.select(F.col(entity).alias("entity"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null")
-    out = None
-    for i in range(depth + 1):
-        kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
-        found = level.select("entity", "path", kind.alias("type")).distinct()
-        out = found if out is None else out.unionAll(found)
-        if i < depth:
-            items = F.expr(
-                "CASE WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN map_entries(try_cast(v AS map<string, variant>)) "
-                "WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN array(named_struct('key', '[]', 'value', try_variant_get(v, '$[0]', 'variant'))) END"
-            )
-            level = level.select("entity", "path", F.explode(items).alias("x")).select("entity", F.concat_ws(".", "path", "x.key").alias("path"), F.col("x.value").alias("v")).where("v is not null")
+def infer_structure(rows: DataFrame, entity: str, json_col: str, depth: int | None = None) -> DataFrame:
+    """(entity, path, type), distinct, of JSON values down to ``depth`` levels (None: all). '$' is the value itself, '[]' a list's first element.
+
+    Each round opens the objects and lists of one level; those inside them are
+    written for the next round. Only emptiness reaches the driver.
+    """
+    kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+    level = rows.select(F.col(entity).alias("entity"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null").withColumn("type", kind)
+    out, i = level.select("entity", "path", "type").distinct(), 0
+    while depth is None or i < depth:
+        i += 1
+        items = F.expr(
+            "CASE WHEN type = 'OBJECT' THEN map_entries(try_cast(v AS map<string, variant>)) "
+            "WHEN type = 'ARRAY' THEN array(named_struct('key', '[]', 'value', try_variant_get(v, '$[0]', 'variant'))) END"
+        )
+        inner = level.select("entity", "path", F.explode(items).alias("x")).select("entity", F.concat_ws(".", "path", "x.key").alias("path"), F.col("x.value").alias("v")).where("v is not null").withColumn("type", kind)
+        out = out.unionAll(inner.select("entity", "path", "type").distinct())
+        level = written(inner.where("type IN ('OBJECT', 'ARRAY')"), "structure")
+        if level.isEmpty():
+            break
     return out.distinct()
 
 

@@ -141,6 +141,17 @@ def test_structure(spark, rows):
     assert rows(got) == [("e", "$", "OBJECT"), ("e", "$.a", "ARRAY"), ("e", "$.a.[]", "BIGINT"), ("e", "$.b", "OBJECT"), ("e", "$.b.c", "BOOLEAN")]
 
 
+def test_structure_has_no_last_level(spark):
+    def shape(x):
+        return contracts.infer_structure(spark.createDataFrame([("e", x), ("f", '{"k": 1}')], "e string, j string"), "e", "j")
+
+    deep = '{"a": {"b": {"c": {"d": [[{"x": %s}]]}}}}'
+    got = {(r.entity, r.path): r.type for r in shape(deep % "1").collect()}
+    assert got["e", "$.a.b.c.d.[].[].x"] == "BIGINT" and got["f", "$.k"] == "BIGINT" and len(got) == 10
+    checks = [contracts.superset_check(shape(deep % "1"), shape(x)).where("entity = 'e'").first() for x in (deep % "1", deep % '"1"', deep.replace("x", "y") % "1")]
+    assert [(c.n_missing, c.n_mismatched, c.satisfied) for c in checks] == [(0, 0, True), (0, 1, False), (1, 0, False)]
+
+
 FILES = [
     ("pkg/net.py", "import requests\n\ndef get(u):\n    return requests.get(u)\n"),
     ("pkg/alias.py", "import subprocess as sp\n\ndef run(c):\n    return sp.run(c)\n\ndef twice(c):\n    run(c)\n    return run(c)\n"),
