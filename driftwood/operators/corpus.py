@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from driftwood.operators.graph import propagate_labels
 
 #: Modules whose calls are effects outside of the program; a parameter of direct_external.
-EXTERNAL = ("requests", "urllib", "http", "socket", "subprocess", "sqlite3", "smtplib", "ftplib", "boto3", "redis")
+EXTERNAL = (
+    "requests", "httpx", "aiohttp", "urllib", "urllib3", "socket", "smtplib", "ftplib", "psycopg2", "asyncpg", "pymysql", "sqlalchemy", "pymongo", "redis", "elasticsearch",
+    "boto3", "botocore", "openai", "anthropic", "subprocess",
+)
 PARSED = "path string, record string, name string, a string, b string, level int, position int, line_start int, line_end int, content_hash string"
 
 

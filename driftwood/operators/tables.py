@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Folder names that a scan leaves out; a parameter of the scans.
-SKIPPED = (".git", ".venv", "venv", "node_modules", "__pycache__", "build", "dist")
+SKIPPED = (".git", ".venv", "venv", ".env", "env", "site-packages", ".tox", "node_modules", "__pycache__", "build", "dist")
 
 
 def corpus_scan_df(files: DataFrame, skip_parts: tuple[str, ...] = SKIPPED, suffix: str = "") -> DataFrame:

@@ -199,3 +199,14 @@ def test_stop_fans_out(spark):
     log = spark.createDataFrame([(1, 0, 0, 5, "acquire"), (2, 1, 1, 5, "acquire"), (9, 2, 2, 5, "stop"), (1, 3, 3, 6, "acquire")], "resource long, sec long, event_id long, agent long, op string")
     got = leases.lease_replay(leases.agent_release_fanout(log), 30)
     assert {(r.resource, r.event_id, r.outcome) for r in got.collect()} == {(1, 0, "grant"), (2, 1, "grant"), (1, 2, "release"), (2, 2, "release"), (1, 3, "grant")}
+
+
+def test_default_lists(spark):
+    modules = "requests httpx aiohttp urllib urllib3 socket smtplib ftplib psycopg2 asyncpg pymysql sqlalchemy pymongo redis elasticsearch boto3 botocore openai anthropic subprocess".split()
+    assert sorted(corpus.EXTERNAL) == sorted(modules)
+    source = "import sqlite3\n" + "".join(f"import {m}\n" for m in modules) + "def own():\n    return sqlite3.connect(1)\n" + "".join(f"def f_{m}():\n    return {m}.call(1)\n" for m in modules)
+    records = corpus.parsed(spark.createDataFrame([("a.py", source)], "path string, source string"))
+    assert {r.node_id for r in corpus.external_functions(records).collect()} == {f"a.py::f_{m}" for m in modules}
+    folders = ".venv venv .env env site-packages __pycache__ .git node_modules .tox build dist".split()
+    files = spark.createDataFrame([(f"{x}/a.py",) for x in [*folders, "kept"]], "path string")
+    assert [r.path for r in t.corpus_scan_df(files).collect()] == ["kept/a.py"]
