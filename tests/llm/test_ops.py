@@ -261,6 +261,16 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: [], 3: ["MIT", "CC-BY-NC-4.0"], 4: [], 5: [], 6: []}
 
 
+def test_short_and_streaming_search_agree():
+    pieces = sentence_pieces.Pieces(sentence_pieces.MODEL)
+    rng = random.Random(8)
+    for n in [*range(60, 69)] * 12 + [1, 2, 15, 16, 17, 32, 33]:
+        word = sentence_pieces.MARK + "".join(rng.choice("etaoinshrdlu漢é0.") for _ in range(n - 1))
+        search = sentence_pieces.Search(pieces)
+        search.feed(word)
+        assert list(search.finish()) == list(sentence_pieces._within_window(pieces, word))
+
+
 MIT = """MIT License
 
 Copyright (c) 2020 A. Person
