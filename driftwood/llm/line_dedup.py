@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwood.llm import bloom, bytes_
+from driftwood.llm.rows import unused
 from driftwood.sources.workspace import written
 
-#: Bits of a shard's once-seen filter (2 MB).
-SHARD_BITS = 24
+#: Bits of a shard's first once-seen filter (2 MB), and the most that those of one shard may have together (256 MB).
+SHARD_BITS, SHARD_MOST = 24, 31
 #: Confirmed keys that may be broadcast (16-byte digest and 8-byte first id each).
 BROADCAST_KEYS = 1_000_000
 
@@ -57,14 +58,24 @@ def _line_hashes(min_chars: int):
 
 
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    once = np.zeros(1 << (SHARD_BITS - 6), np.uint64)
+    """Hashes found before. When a filter is full a larger one is added, so that what a shard holds follows its lines.
+
+    Beyond the last filter's size more hashes are suspected by chance, and confirmed or not like all others.
+    """
+    filters, keys = [np.zeros(1 << (SHARD_BITS - 6), np.uint64)], 0
+    bits = SHARD_BITS
     for batch in batches:
         h, many = batch.column("h").to_numpy(), batch.column("many").to_numpy(zero_copy_only=False)
         h, at, n = np.unique(h, return_inverse=True, return_counts=True)
         twice = n > 1
         twice[at[many]] = True
-        twice |= bloom.held(once, h, SHARD_BITS)
-        bloom.put(once, h, SHARD_BITS)
+        for i, once in enumerate(filters):
+            twice |= bloom.held(once, h, SHARD_BITS + i)
+        bloom.put(filters[-1], h, bits)
+        keys += len(h)
+        if keys * bloom.BITS_PER_KEY > 1 << bits and bits < SHARD_MOST - 1:
+            bits, keys = bits + 1, 0
+            filters.append(np.zeros(1 << (bits - 6), np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(h[twice])], ["h"])
 
 
@@ -90,15 +101,15 @@ def _candidates(min_chars: int, twice: Broadcast, bits: int):
     return run
 
 
-def _rewrite(min_chars: int, twice: Broadcast, bits: int, confirmed: Broadcast | None, keep_first: bool, names: list[str]):
-    """Drops confirmed lines. Without a broadcast, each row brings its own digests and first ids."""
+def _rewrite(min_chars: int, twice: Broadcast, bits: int, confirmed: Broadcast | str, keep_first: bool, names: list[str]):
+    """Drops confirmed lines. Without a broadcast, each row brings its own digests and first ids in the column ``confirmed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in bytes_.slices(batches):
             all_lines, keys, passed = _suspected(data, off, min_chars, twice, bits)
             doc, ids = bytes_.owners(keys.first), batch.column("doc_id").to_pylist()
             found = [hashlib.md5(keys.lowered(i)).digest() for i in passed.tolist()]
-            if confirmed is not None:
+            if not isinstance(confirmed, str):
                 known, first = confirmed.value
                 digests = np.array(found, "S16")
                 at = np.searchsorted(known, digests)
@@ -109,7 +120,7 @@ def _rewrite(min_chars: int, twice: Broadcast, bits: int, confirmed: Broadcast |
                 hits = list(zip(passed[hit].tolist(), digests[hit].tolist(), firsts or [None] * int(hit.sum()), strict=True))
             else:
                 # plain bytes on both sides: numpy's strip trailing NULs
-                own = [{x["digest"]: x["first"] for x in row or ()} for row in batch.column("confirmed").to_pylist()]
+                own = [{x["digest"]: x["first"] for x in row or ()} for row in batch.column(confirmed).to_pylist()]
                 hits = [(i, d, own[doc[i]][d]) for i, d in zip(passed.tolist(), found, strict=True) if d in own[doc[i]]]
             dropped, spared = np.zeros(len(doc), bool), set()
             for i, digest, first_id in hits:
@@ -142,7 +153,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str
     keep="none": all lines of such a key go. keep="first": the first such line
     in the row with the smallest doc_id stays (in each of them, if rows repeat
     a doc_id; rows with a null doc_id are never first unless all are null, and
-    then each keeps its first).
+    then each keeps its first). Columns may have any names.
 
     Every row counts as a document, repeated rows too. A null or empty text has
     one empty line and comes back as ''. An empty table gives an empty table.
@@ -168,10 +179,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str
         sent = docs.sparkSession.sparkContext.broadcast((digests[order], first[order]))
         return docs.mapInArrow(_rewrite(min_chars, twice, bits, sent, keep == "first", names), schema)
 
-    keyed = docs.withColumn("__text", F.md5(F.coalesce("text", F.lit(""))))
-    seen = keyed.select(F.col("__text").alias("doc_id"), "text").mapInArrow(_candidates(min_chars, twice, bits), "key string, doc_id string")
-    own = (
-        seen.select(F.unhex(F.md5("key")).alias("digest"), F.col("doc_id").alias("__text")).distinct().join(confirmed, "digest")
-        .groupBy("__text").agg(F.collect_list(F.struct("digest", "first")).alias("confirmed"))
+    own, key = unused("confirmed", docs), unused("text_digest", docs)
+    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
+    seen = keyed.select(F.col(key).alias("doc_id"), "text").mapInArrow(_candidates(min_chars, twice, bits), "key string, doc_id string")
+    each = (
+        seen.select(F.unhex(F.md5("key")).alias("digest"), F.col("doc_id").alias(key)).distinct().join(confirmed, "digest")
+        .groupBy(key).agg(F.collect_list(F.struct("digest", "first")).alias(own))
     )
-    return keyed.join(own, "__text", "left").drop("__text").mapInArrow(_rewrite(min_chars, twice, bits, None, keep == "first", names), schema)
+    return keyed.join(each, key, "left").drop(key).mapInArrow(_rewrite(min_chars, twice, bits, own, keep == "first", names), schema)
