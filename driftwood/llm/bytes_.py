@@ -9,6 +9,7 @@ what decides is compared exactly by the operators.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +27,17 @@ SPACE = (_BYTE == 0x20) | ((_BYTE >= 0x09) & (_BYTE <= 0x0D))
 _WEIGHT = LOWER.astype(np.uint64) + np.uint64(1)
 
 _BASE = 0x9E3779B97F4A7C15
-_power = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_power["up"]) < n:
-        size = max(n, SLICE + 1)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _power[key] = np.multiply.accumulate(x)
-    return _power["up"], _power["down"]
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for the bytes of a slice (16 MB in all, however long texts are)."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(SLICE + 1, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,13 +81,35 @@ class Spans:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A hash of each span's bytes with A-Z lower-cased."""
-        up, down = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        weighted = _WEIGHT[self.data]
-        weighted *= up[: len(self.data)]
+        """A hash of each span's bytes with A-Z lower-cased. Works on runs of spans of SLICE bytes, so a long text takes no more memory."""
+        out, at = np.empty(len(self.starts), np.uint64), 0
+        while at < len(out):
+            base = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, base + SLICE, "right")))
+            if self.ends[at] - base > SLICE:
+                out[at] = self._long(int(base), int(self.ends[at]))
+                at += 1
+                continue
+            total, down = self._sums(base, self.ends[to - 1]), _powers()[1]
+            out[at:to] = (total[self.ends[at:to] - base] - total[self.starts[at:to] - base]) * down[self.starts[at:to] - base]
+            at = to
+        return mix(out)
+
+    def _sums(self, a: int, b: int) -> np.ndarray:
+        """Sums of byte weights times powers of the base, over [a, a), [a, a + 1) ... [a, b)."""
+        total = np.zeros(b - a + 1, np.uint64)
+        weighted = _WEIGHT[self.data[a:b]]
+        weighted *= _powers()[0][: b - a]
         np.cumsum(weighted, out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        return total
+
+    def _long(self, a: int, b: int) -> np.uint64:
+        """The sum of one span of more than SLICE bytes, slice by slice."""
+        total, scale, step = 0, 1, pow(_BASE, SLICE, 1 << 64)
+        for x in range(a, b, SLICE):
+            total += scale * int(self._sums(x, min(x + SLICE, b))[-1])
+            scale = scale * step % (1 << 64)
+        return np.uint64(total % (1 << 64))
 
     def lowered(self, i: int) -> bytes:
         return LOWER[self.data[self.starts[i] : self.ends[i]]].tobytes()
@@ -119,11 +142,17 @@ def lines(data: np.ndarray, off: np.ndarray) -> Spans:
 
 def stripped(spans: Spans) -> Spans:
     """The spans without white space at both ends."""
-    solid = np.flatnonzero(~SPACE[spans.data])
-    a, b = np.searchsorted(solid, spans.starts), np.searchsorted(solid, spans.ends)
-    full = b > a
-    starts, ends = spans.starts.copy(), spans.starts.copy()
-    starts[full], ends[full] = solid[a[full]], solid[b[full] - 1] + 1
+    space = SPACE[spans.data]
+    edge = np.diff(space.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    run, run_end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # runs of white space
+    starts, ends = spans.starts.copy(), spans.ends.copy()
+    if len(run):
+        i = np.searchsorted(run, starts, "right") - 1
+        led = (i >= 0) & (run_end[i] > starts)
+        starts[led] = np.minimum(run_end[i[led]], ends[led])
+        i = np.searchsorted(run, ends, "left") - 1
+        trailed = (i >= 0) & (run_end[i] >= ends)
+        ends[trailed] = np.maximum(run[i[trailed]], starts[trailed])
     return Spans(spans.data, starts, ends, spans.first)
 
 
