@@ -118,27 +118,35 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, k: int = 5) ->
     inside any occurrence of a window), item_ids (array of bigint, those with
     an occurring window, sorted as strings) and hits (array of start and n: the
     windows, by word). Null and empty texts have no words. Null item ids take
-    part in n_hit but are not listed. Repeated rows are each returned.
+    part in n_hit but are not listed. Repeated rows are each returned. An empty
+    table of docs gives none, an empty table of items no hits; windows that
+    several items share count for each of them. A very long text is one row,
+    hashed slice by slice.
     """
     if not 1 <= k <= n:
         raise ValueError("k lies between 1 and n")
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     prints = written(items.mapInArrow(_item_fingerprints(n, k), "h long, n int"), "item-fingerprints")
-    windows = written(items.mapInArrow(_item_windows(n), "digest binary, item_id long").groupBy("digest").agg(F.collect_set("item_id").alias("items")), "item-windows")
+    windows = written(items.mapInArrow(_item_windows(n), "digest binary, item_id long").distinct(), "item-windows")
+    digests = written(windows.select("digest").distinct(), "item-digests")
     short = sorted(r["n"] for r in prints.where(F.col("n") < n).select("n").distinct().collect())  # n - 1 values at most
     known, bits = bloom.shared_filter(prints, "h", prints.count())
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
     found = written(docs.mapInArrow(_doc_candidates(n, k, short, known, bits), "doc_id long, text_hash long, n_words long, at array<int>, n array<int>, digest array<binary>"), "contamination-candidates")
     key = [F.col("doc_id").eqNullSafe(F.col("hit_id")), F.col("text_hash") == F.col("hit_hash")]
-    hits = (
+    places = (
         found.where(F.size("at") > 0)
         .select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.explode(F.arrays_zip("at", "n", "digest")).alias("x"))
         .select("hit_id", "hit_hash", F.struct(F.col("x.at").alias("start"), F.col("x.n").alias("n")).alias("hit"), F.col("x.digest").alias("digest"))
-        .join(small(windows, windows.count()), "digest")
-        .groupBy("hit_id", "hit_hash")
-        .agg(F.array_sort(F.collect_set("hit")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"))
     )
+    places = written(places.join(small(digests, digests.count()), "digest"), "item-hits")
+    # which items: their ids join the few digests that occur, never as arrays in a broadcast
+    ids = places.select("hit_id", "hit_hash", "digest").distinct().join(small(windows, windows.count()), "digest").where("item_id is not null")
+    ids = ids.groupBy("hit_id", "hit_hash").agg(F.collect_set("item_id").alias("ids"))
+    ids = ids.withColumnsRenamed({"hit_id": "id_id", "hit_hash": "id_hash"})
+    hits = places.groupBy("hit_id", "hit_hash").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    hits = hits.join(ids, F.col("hit_id").eqNullSafe(F.col("id_id")) & (F.col("hit_hash") == F.col("id_hash")), "left").drop("id_id", "id_hash")
     covered = F.aggregate(
         "hits",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("words")),
