@@ -42,6 +42,22 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.where("action = 'add'").select("key", F.col("day").alias("since"), "until")
 
 
+def month_of(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
+
+
+def by_month(held: DataFrame, first: int, last: int) -> DataFrame:
+    """Intervals, once for every month from first to last in which they hold.
+
+    A capture then meets a key's intervals of its month only, 31 at most as there
+    is one entry a day, however long the key's history is; and a key that covers
+    very many captures is spread over the months.
+    """
+    a, b = F.greatest(month_of(F.col("since")), F.lit(first)), F.least(month_of(F.date_sub("until", 1)), F.lit(last))
+    months = F.when(a <= b, F.sequence(a, b))
+    return held.select("key", "since", "until", F.explode(months).alias("month"))
+
+
 def url_filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """Every capture with the list entries active when it was fetched.
 
@@ -50,13 +66,15 @@ def url_filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     action. Returns page_id, url, fetched, n_active, entry (the longest active
     key, of equals the first; null if none) and blocked. A capture with a null
     or unreadable url or no fetch date matches nothing. Repeated rows are each
-    returned; other columns are ignored.
+    returned; other columns are ignored. An empty list blocks nothing, and no
+    captures give no rows. Urls may be of any length.
     """
     captures = captures.select("page_id", "url", "fetched")
-    held = written(intervals(entries), "list-intervals")
-    cover = captures.distinct().select("url", "fetched", F.explode(keys_of(F.col("url"))).alias("key"))
+    cover = captures.distinct().where("fetched is not null").select("url", "fetched", F.explode(keys_of(F.col("url"))).alias("key"), month_of(F.col("fetched")).alias("month"))
+    first, last = captures.agg(F.min(month_of(F.col("fetched"))), F.max(month_of(F.col("fetched")))).first()
+    held = written(by_month(intervals(entries), first or 0, last or 0), "list-intervals")
     active = (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
-    hits = cover.distinct().join(small(held, held.count()), "key").where(active).groupBy("url", "fetched").agg(
+    hits = cover.distinct().join(small(held, held.count()), ["key", "month"]).where(active).groupBy("url", "fetched").agg(
         F.count("*").alias("n_active"), F.min(F.struct((-F.length("key")).alias("size"), "key"))["key"].alias("entry"),
     )
     hits = hits.withColumnsRenamed({"url": "hit_url", "fetched": "hit_day"})
