@@ -15,7 +15,7 @@ limit is doubled), so a text costs m ln m points beside one look at each shingle
 
 Texts with the same words are one node. Nodes that agree in a band are compared
 with the band's first node, which joins large groups of copies. Then the nodes
-of a band that are not yet in one group are compared with each other, in blocks
+of a band outside of its largest group are compared with all of it, in blocks
 of bounded size within tasks, so that no link is lost and no table of pairs is
 made. A sketch of four bits of each component travels with the nodes; pairs whose
 sketches differ more than texts at the threshold do (by five standard deviations)
@@ -45,6 +45,8 @@ BANDS, ROWS = 36, 5
 NIBBLES = 16
 #: Rows with sketches, and bytes of text, in a block of nodes that one task compares with another block.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 4 << 20
+#: What names a pair of blocks: the band key, a block of its rows, and a block of those outside of its largest group.
+CELL = ["key", "block", "outer"]
 
 
 def shingle_counts(spans: bytes_.Spans, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,13 +198,10 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _codes(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The group of each row as a number, and the rows outside of the key's largest group."""
-    root = run.column("root").combine_chunks().dictionary_encode()
-    main = run.column("main")[0].as_py()
-    number = {x: i for i, x in enumerate(root.dictionary.to_pylist())}
-    group = root.indices.to_numpy()
-    return group, np.flatnonzero(group != number.get(main, -1))
+def _codes(run: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The group of each row as a number, the rows to be compared, and those that they are compared with."""
+    probe = run.column("probe").to_numpy()
+    return run.column("root").combine_chunks().dictionary_encode().indices.to_numpy(), np.flatnonzero(probe), np.flatnonzero(~probe)
 
 
 def _with_alike(components: int, threshold: float):
@@ -212,17 +211,17 @@ def _with_alike(components: int, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes = [], []
-        for rows in _runs(batches, ["key", "lo", "hi"]):
-            group, outside = _codes(rows)
+        for rows in _runs(batches, CELL):
+            group, probes, base = _codes(rows)
             sketch = rows.column("sketch").combine_chunks()
-            sketch = sketch.values.to_numpy()[sketch.offsets[0].as_py() :].view(np.uint64).reshape(rows.num_rows, -1) if rows.num_rows else None
-            good = np.zeros(rows.num_rows, bool)
-            for x in outside.tolist():
-                d = sketch ^ sketch[x]
+            sketch = sketch.values.to_numpy()[sketch.offsets[0].as_py() :].view(np.uint64).reshape(rows.num_rows, -1)
+            good, others, other_group = np.zeros(rows.num_rows, bool), sketch[base], group[base]
+            for x in probes.tolist():
+                d = others ^ sketch[x]
                 d = (d | (d >> np.uint64(1)) | (d >> np.uint64(2)) | (d >> np.uint64(3))) & one
-                alike = (np.bitwise_count(d).sum(axis=1) <= most) & (group != group[x])
+                alike = (np.bitwise_count(d).sum(axis=1) <= most) & (other_group != group[x])
                 if alike.any():
-                    good |= alike
+                    good[base[alike]] = True
                     good[x] = True
             if good.any():
                 keys.append(rows.column("key").to_numpy()[good])
@@ -240,9 +239,9 @@ def _linked(k: int, threshold: float):
     """Links between rows of different groups in their key, as many as join these groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ["key", "lo", "hi"]):
+        for rows in _runs(batches, CELL):
             n = rows.num_rows
-            group, outside = _codes(rows)
+            group, probes, base = _codes(rows)
             data, off = bytes_.texts(rows.column("text").combine_chunks())
             doc, h, count = shingle_counts(bytes_.words(data, off), k)
             # one element for each shingle and occurrence: the overlap of multisets is that of these sets
@@ -251,11 +250,13 @@ def _linked(k: int, threshold: float):
             doc = np.repeat(doc, count)
             _, element = np.unique(bytes_.mix(np.repeat(h, count) + nth.astype(np.uint64)), return_inverse=True)
             size, own = np.bincount(doc, minlength=n), np.searchsorted(doc, np.arange(n + 1))
-            holders = doc[np.argsort(element, kind="stable")]
-            many = np.bincount(element)
+            among = np.isin(doc, base)
+            held = element[among]
+            holders = doc[among][np.argsort(held, kind="stable")]
+            many = np.bincount(held, minlength=int(element.max(initial=-1)) + 1)
             start = np.cumsum(many) - many
             node, links = rows.column("node").to_pylist(), []
-            for x in outside.tolist():
+            for x in probes.tolist():
                 e = element[own[x] : own[x + 1]]
                 at = np.repeat(start[e] - (np.cumsum(many[e]) - many[e]), many[e]) + np.arange(many[e].sum())
                 shared = np.bincount(holders[at], minlength=n)
@@ -298,7 +299,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     rows) and first (boolean: this row is the class's smallest by doc_id, then
     text_hash; rows repeating both are the same document and all first).
     Texts without words (null, empty) are each a class of their own. A null
-    doc_id counts as larger than all others.
+    doc_id counts as larger than all others. Ties: of equal band members the
+    smallest node leads, and of equal groups the one with the largest root is
+    the key's main one; neither changes the classes. An empty table gives an
+    empty table; a very long text is one row, hashed slice by slice.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
     signed = written(docs.mapInArrow(_signed(k, bands, rows), "doc_id long, text_hash long, node binary, bands array<long>, sketch array<long>"), "signatures")
@@ -319,18 +323,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(k, threshold), "a binary, b binary"), "links")
 
-    def blocks(some: DataFrame, n, value: str) -> DataFrame:
-        """Rows dealt to every pair of their key's n blocks that holds their own, sorted by it."""
-        own = some.withColumns({"blocks": n.cast("int")}).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
-        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least("own", y).alias("lo"), F.greatest("own", y).alias("hi")))
-        dealt = own.select("key", "node", "root", "main", value, F.explode(pair).alias("pair")).select("key", "pair.lo", "pair.hi", "node", "root", "main", value)
-        return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    def blocks(some: DataFrame, inner, outer, value: str) -> DataFrame:
+        """Rows of a key in ``inner`` blocks, each with every one of the ``outer`` blocks of rows outside of its largest group.
+
+        Rows of that group are linked with each other, so only outsiders are
+        compared: n rows with o outsiders make n * outer + o * inner rows.
+        """
+        own = some.withColumns({"inner": F.greatest(inner, F.lit(1)).cast("int"), "outers": F.greatest(outer, F.lit(1)).cast("int"), "place": F.hash("node")})
+        cell = lambda block, outer, probe: F.struct(block.cast("int").alias("block"), outer.cast("int").alias("outer"), F.lit(probe).alias("probe"))
+        base = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda y: cell(F.pmod("place", "inner"), y, False))
+        probes = F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda x: cell(x, F.pmod("place", "outers"), True))
+        dealt = own.select("key", "node", "root", value, F.explode(F.when(F.col("root") == F.col("main"), base).otherwise(F.concat(base, probes))).alias("cell"))
+        return dealt.select("key", "cell.*", "node", "root", value).repartition(*CELL).sortWithinPartitions(*CELL)
 
     def apart(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-        """Members, but for first nodes, of keys whose nodes are in several groups, with the key's largest group."""
-        grouped = members.where("n > 2").join(roots, "node", "left").select("key", "node", "leader", "n", F.coalesce("root", "node").alias("root"))
+        """Members, but for first nodes, of keys whose nodes are in several groups, with the key's largest group, its rows and those outside of that group."""
+        grouped = members.where("n > 2").join(roots, "node", "left").select("key", "node", "leader", F.coalesce("root", "node").alias("root"))
         sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("groups"), F.sum("size").alias("n"), (F.sum("size") - F.max("size")).alias("outside")).where("groups > 1")
         return written(grouped.join(main, "key").where("node <> leader").join(nodes.select("node", "sketch"), "node"), name)
 
     keys = nodes.select("node", F.explode("bands").alias("key"))
@@ -340,12 +350,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     roots = components(links)
 
     mixed = apart(members, roots, "mixed")
-    nearer = written(blocks(mixed, F.ceil(F.col("n") / BLOCK_ROWS), "sketch").mapInArrow(_with_alike(bands * rows, threshold), "key long, node binary").distinct(), "nearer")
+    nearer = written(blocks(mixed, F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("outside") / BLOCK_ROWS), "sketch").mapInArrow(_with_alike(bands * rows, threshold), "key long, node binary").distinct(), "nearer")
     texts = texts_of(nearer.select("node").distinct())
     close = mixed.join(nearer, ["key", "node"]).join(texts, "node")
-    close = written(close.join(close.groupBy("key").agg(F.sum(F.octet_length("text")).alias("bytes")), "key"), "close") if not nearer.isEmpty() else None
+    size = F.octet_length("text")
+    sizes = close.groupBy("key").agg(F.sum(size).alias("bytes"), F.sum(F.when(F.col("root") != F.col("main"), size).otherwise(0)).alias("outer_bytes"))
+    close = written(close.join(sizes, "key"), "close") if not nearer.isEmpty() else None
     if close is not None:
-        more = written(blocks(close, F.ceil(F.col("bytes") / BLOCK_BYTES), "text").mapInArrow(_linked(k, threshold), "a binary, b binary").distinct(), "links")
+        more = written(blocks(close, F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("outer_bytes") / BLOCK_BYTES), "text").mapInArrow(_linked(k, threshold), "a binary, b binary").distinct(), "links")
         roots = components(links.unionAll(more))
 
     rooted = signed.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
