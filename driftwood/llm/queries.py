@@ -33,8 +33,6 @@ _GAPS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _VOTES = [
     "CASE WHEN n_words < 10 THEN -1 WHEN n_words >= 50 THEN 1 ELSE 0 END",
     "CASE WHEN n_symbols * 20 > word_chars THEN -1 WHEN n_symbols * 100 <= word_chars THEN 1 ELSE 0 END",
-    "CASE WHEN n_symbols * 5 > n_words THEN -1 WHEN n_symbols * 50 <= n_words THEN 1 ELSE 0 END",
-    "CASE WHEN n_symbols > n_marks * 2 AND n_symbols > 2 THEN -1 WHEN n_symbols * 4 <= n_marks THEN 1 ELSE 0 END",
     "CASE WHEN n_dup_lines * 10 > n_lines * 3 THEN -1 WHEN n_dup_lines = 0 AND n_lines > 1 THEN 1 ELSE 0 END",
     "CASE WHEN n_repeat_words * 5 > n_words THEN -1 WHEN n_repeat_words * 20 <= n_words THEN 1 ELSE 0 END",
     "CASE WHEN n_upper * 5 > word_chars * 2 THEN -1 WHEN n_upper * 5 <= word_chars THEN 1 ELSE 0 END",
@@ -44,9 +42,9 @@ _VOTES = [
 ]
 _R = len(_VOTES)
 _SUM = "list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].n * {}))"
-_RATE = "least(0.999, greatest(0.02, (" + _SUM + " + 1) / (" + _SUM + " + 2)))"
-_GOOD = ", ".join(_RATE.format(f"CASE WHEN p[i].v[{j}] = 1 THEN q[i] ELSE 0 END", f"CASE WHEN p[i].v[{j}] <> 0 THEN q[i] ELSE 0 END") for j in range(1, _R + 1))
-_BAD = ", ".join(_RATE.format(f"CASE WHEN p[i].v[{j}] = -1 THEN 1 - q[i] ELSE 0 END", f"CASE WHEN p[i].v[{j}] <> 0 THEN 1 - q[i] ELSE 0 END") for j in range(1, _R + 1))
+_RATE = "least(0.999, greatest({}, (" + _SUM + " + 1) / (" + _SUM + " + 2)))"
+_GOOD = ", ".join(_RATE.format(0.99, f"CASE WHEN p[i].v[{j}] = 1 THEN q[i] ELSE 0 END", f"CASE WHEN p[i].v[{j}] <> 0 THEN q[i] ELSE 0 END") for j in range(1, _R + 1))
+_BAD = ", ".join(_RATE.format(0.02, f"CASE WHEN p[i].v[{j}] = -1 THEN 1 - q[i] ELSE 0 END", f"CASE WHEN p[i].v[{j}] <> 0 THEN 1 - q[i] ELSE 0 END") for j in range(1, _R + 1))
 _PI = "least(0.999, greatest(0.02, (" + _SUM.format("q[i]") + " + 1) / (" + _SUM.format("1") + " + 2)))"
 _LOGIT = f"list_sum(list_transform(range(1, {_R + 1}), lambda j: CASE x.v[j] WHEN 1 THEN ln(m.good[j] / (1 - m.bad[j])) WHEN -1 THEN ln((1 - m.good[j]) / m.bad[j]) ELSE 0 END))"
 _GUESS = "list_transform(p, lambda x: 1 / (1 + exp(-(ln(m.pi / (1 - m.pi)) + " + _LOGIT + "))))"
@@ -63,13 +61,13 @@ WITH RECURSIVE w AS (
 ), m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, word_chars, len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, length(t) - length(translate(t, '{_UP}', '')) AS n_upper,
-         length(t) - length(replace(t, '!', '')) AS n_exclaims, length(t) - length(translate(t, '.,', '')) AS n_marks, len(list_distinct(w)) AS n_distinct, coalesce(n_repeat_words, 0) AS n_repeat_words
+         length(t) - length(replace(t, '!', '')) AS n_exclaims, len(list_distinct(w)) AS n_distinct, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN repeats USING (doc_id)
 ), voted AS (SELECT *, [{", ".join(_VOTES)}] AS v FROM m),
 counted AS (SELECT v, count(*)::DOUBLE AS n FROM voted WHERE NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) GROUP BY v),
 patterns AS (SELECT list(struct_pack(v := v, n := n) ORDER BY v) AS p FROM counted),
 em(t, p, q) AS (
-  SELECT 0, p, {_GUESS} FROM (SELECT p, struct_pack(pi := 0.9::DOUBLE, good := list_transform(range({_R}), lambda z: 0.95::DOUBLE), bad := list_transform(range({_R}), lambda z: 0.7::DOUBLE)) AS m FROM patterns)
+  SELECT 0, p, {_GUESS} FROM (SELECT p, struct_pack(pi := 0.9::DOUBLE, good := list_transform(range({_R}), lambda z: 0.99::DOUBLE), bad := list_transform(range({_R}), lambda z: 0.3::DOUBLE)) AS m FROM patterns)
 ), em_run(t, p, q) AS (
   SELECT t, p, q FROM em
   UNION ALL
