@@ -8,9 +8,11 @@ choice over the whole tree has the highest likelihood, so that no kept node
 stands below one that was left out.
 
 Training pages are composed from the words of a bounded sample of pages in many
-random layouts (semantic tags or classes, with menus, headers, footers, sidebars,
-notices, adverts, forms, comments); the composer knows which nodes are the
-article, so labels need no template of the pages themselves.
+random layouts (with menus, headers, footers, sidebars, notices, adverts, forms,
+comments); the composer knows which nodes are the article, so labels need no
+template of the pages themselves. Parts stand in semantic tags, in elements with
+telling names, or in ones whose names say nothing; the article may also stand in
+nested boxes, straight in the body, or be a fragment without a page around it.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from driftwood.llm import bytes_
 from driftwood.sources.workspace import written
 
 #: Pages whose words are used, and training pages composed from each. The most that the fit sees.
-TRAIN_PAGES, LAYOUTS = 300, 3
+TRAIN_PAGES, LAYOUTS = 300, 4
 
 # What HTML defines about elements, and words that sites use for the parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,7 +41,10 @@ RAW = frozenset("script style template noscript iframe noembed noframes xmp".spl
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
+}
 TAG_GROUPS = {
     "nav": "nav menu", "header": "header hgroup", "footer": "footer", "aside": "aside", "form": "form input button select label fieldset textarea option legend",
     "article": "article main", "p": "p", "heading": "h1 h2 h3 h4 h5 h6", "list": "ul ol li dl dt dd", "table": "table tbody thead tr td th", "link": "a",
@@ -53,7 +58,7 @@ WORD_GROUPS = {
 }
 _TAG_GROUP = {t: i for i, x in enumerate(TAG_GROUPS.values()) for t in x.split()}
 _WORD_GROUP = {t: i for i, x in enumerate(WORD_GROUPS.values()) for t in x.split()}
-NUMBERS = "depth log_chars link_share tags chars_per_tag own_share siblings place alike_siblings page_share page_start marks".split()
+NUMBERS = "depth log_chars link_share tags chars_per_tag own_share siblings place alike_siblings page_share page_start marks parent_log_chars parent_link_share log_chars_before log_chars_after text_siblings".split()
 FEATURES = len(NUMBERS) + 3 * (len(TAG_GROUPS) + len(WORD_GROUPS))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
@@ -68,7 +73,20 @@ class Page:
         self.parent, self.tag, self.words, self.marked = [-1], ["#"], [frozenset()], [False]
         self.pieces: list[tuple[int, int, str]] = []  # node, block, text
         stack, block, at = [0], 0, 0
+        opened: dict[str, list[int]] = {}  # for each tag, where its open elements are in the stack
         tags = self.tag
+
+        def close(to: int) -> None:
+            for node in stack[to:]:
+                opened[tags[node]].pop()
+            del stack[to:]
+
+        def close_last(which: tuple[str, ...], within: tuple[str, ...]) -> None:
+            """Closes the last open element of these tags, unless one of the tags of ``within`` was opened after it."""
+            last = lambda names: max((opened[x][-1] for x in names if opened.get(x)), default=0)
+            if (to := last(which)) > last(within):
+                close(to)
+
         while m := _TOKEN.search(source, at):
             if m.start() > at:
                 self.pieces.append((stack[-1], block, source[at : m.start()]))
@@ -79,16 +97,15 @@ class Page:
                 continue
             name = m[2].lower()
             if m[1]:
-                where = next((i for i in range(len(stack) - 1, 0, -1) if tags[stack[i]] == name), 0)
-                if where:
-                    del stack[where:]
+                if opened.get(name):
+                    close(opened[name][-1])
                 block += name in BLOCK
                 continue
             if name in BLOCK:
                 block += 1
-                self._close(stack, {"p"}, {"td", "th", "button", "table"})
+                close_last(("p",), ("td", "th", "button", "table"))
             if name in CLOSES:
-                self._close(stack, *CLOSES[name])
+                close_last(*CLOSES[name])
             self.parent.append(stack[-1])
             tags.append(name)
             self.words.append(frozenset(w for a in _ATTR.findall(m[3]) for w in re.split("[^a-z]+", "".join(a).lower())) if "=" in m[3] else frozenset())
@@ -99,18 +116,11 @@ class Page:
             elif name == "br":
                 self.pieces.append((stack[-1], block, " "))
             elif name not in VOID and not m[3].endswith("/"):
+                opened.setdefault(name, []).append(len(stack))
                 stack.append(len(tags) - 1)
         if at < len(source):
             self.pieces.append((stack[-1], block, source[at:]))
 
-    def _close(self, stack: list[int], which: set[str], within: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] in which:
-                del stack[i:]
-                return
-            if self.tag[stack[i]] in within:
-                return
-
     def features(self) -> np.ndarray:
         n = len(self.tag)
         parent, own, links, marks = self.parent, np.zeros(n), np.zeros(n), np.zeros(n)
@@ -157,7 +167,19 @@ class Page:
         around = children[np.maximum(parent, 0)]
         same = [1, *(alike[parent[i], self.tag[i]] for i in range(1, n))]
         least = np.maximum(chars, 1)
-        numbers = (depth, np.log1p(chars), links / least, tags_below, chars / tags_below, own / least, around, index / np.maximum(around, 1), same / np.maximum(around, 1), chars / max(total, 1), np.maximum(start, 0) / max(total, 1), marks / least)
+        # the nodes before and after under the same parent, and how many nodes there have much text
+        before, after, last_child = np.full(n, -1), np.full(n, -1), np.full(n, -1)
+        texts_in, up = np.zeros(n), np.maximum(parent, 0)
+        for i in range(1, n):
+            p = parent[i]
+            texts_in[p] += chars[i] > 60
+            if last_child[p] >= 0:
+                before[i], after[last_child[p]] = last_child[p], i
+            last_child[p] = i
+        log_chars = np.log1p(chars)
+        beside = lambda x: np.where(x >= 0, log_chars[x], -1)
+        numbers = (depth, log_chars, links / least, tags_below, chars / tags_below, own / least, around, index / np.maximum(around, 1), same / np.maximum(around, 1), chars / max(total, 1), np.maximum(start, 0) / max(total, 1), marks / least,
+                   log_chars[up], (links / least)[up], beside(before), beside(after), texts_in[up])
         x[:, :k] = np.stack(numbers, axis=1)
         return x
 
@@ -183,57 +205,126 @@ class Page:
         return "\n".join(x for x in lines if x)
 
 
-def compose(words: list[str], rng: random.Random) -> str:
-    """A training page: the article's blocks carry a mark that features do not see."""
-    say = lambda a, b: html.escape(" ".join(rng.choices(words, k=rng.randint(a, b))))
-    box = lambda names, inner, tags=("div", "section"): f'<{rng.choice(tags)} {rng.choice(("class", "id"))}="{rng.choice(names)}">{inner}'
-    links = lambda: "<ul>" + "".join(f'<li><a href="/{i}">{say(1, 3)}</a></li>' for i in range(rng.randint(2, 9))) + "</ul>"
-    paras = lambda n, mark="": "".join(f"<p{mark}>{say(3, 90)}" + ("<br>" if rng.random() < 0.1 else "") + ("</p>" if rng.random() < 0.9 else "") for _ in range(n))
-
-    def wrap(semantic: str, names: list[str], inner: str) -> str:
-        if rng.random() < 0.55:
-            return f"<{semantic}>{inner}</{semantic}>"
-        tag = rng.choice(("div", "section", semantic))
-        return f'<{tag} {rng.choice(("class", "id"))}="{rng.choice(names)}">{inner}</{tag}>'
-
-    def article() -> str:
-        out = f"<h1{_MAIN}>{say(2, 9)}</h1>"
-        for _ in range(rng.choice((0, 1, 2, 3, 6, 12))):
-            kind = rng.random()
-            if kind < 0.7:
-                out += paras(1, _MAIN)
-            elif kind < 0.8:
-                out += f"<h2{_MAIN}>{say(1, 6)}</h2>"
-            elif kind < 0.88:
-                out += f"<ul{_MAIN}>" + "".join(f"<li>{say(2, 15)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>"
-            elif kind < 0.94:
-                out += f'<p{_MAIN}>{say(2, 20)} <a href="/x">{say(1, 3)}</a> <b>{say(1, 4)}</b>, <em>{say(1, 3)}</em>.</p>'
-            else:
-                out += f"<blockquote{_MAIN}>{paras(1)}</blockquote>"
-            if rng.random() < 0.06:
-                out += box(["ad", "advert", "promo", "ads-inline", "sponsored"], say(2, 15), ("div",)) + "</div>"
-        return out
-
-    main = wrap(rng.choice(("article", "main")), ["content", "post", "article-body", "entry-content", "story", "main-text", "post-content"], article())
-    parts = [main]
-    extras = [
-        (0.85, -1, lambda: wrap("nav", ["menu", "navbar", "main-nav", "breadcrumbs"], links())),
-        (0.5, -1, lambda: wrap("header", ["header", "masthead", "topbar", "banner"], f"<a href='/'>{say(1, 3)}</a><p>{say(2, 8)}</p>")),
-        (0.6, 0, lambda: box(["ad", "ads", "advert", "sponsored", "promo-box"], say(2, 25), ("div",)) + "</div>"),
-        (0.4, 0, lambda: box(["cookie-notice", "consent", "notice", "popup", "newsletter", "alert"], f"<p>{say(4, 25)}</p><button>{say(1, 2)}</button>", ("div",)) + "</div>"),
-        (0.4, 1, lambda: wrap("aside", ["sidebar", "widget", "related", "trending"], f"<h3>{say(1, 4)}</h3>" + rng.choice((links(), paras(2))))),
-        (0.35, 1, lambda: wrap("section", ["comments", "comment-list", "discussion", "replies"], f"<h3>{say(1, 3)}</h3>" + "".join(f'<div class="comment">{paras(1)}</div>' for _ in range(rng.randint(1, 6))))),
-        (0.35, 1, lambda: f"<form {rng.choice(('', 'class=search', 'id=login'))}><label>{say(1, 4)}</label><input name=q><button>{say(1, 2)}</button></form>"),
-        (0.85, 2, lambda: wrap("footer", ["footer", "site-footer", "copyright", "colophon"], f"&copy; {say(1, 30)}" + (links() if rng.random() < 0.3 else ""))),
-    ]
-    for chance, side, make in extras:
+#: Names that training pages give to the parts of a page.
+MAIN_NAMES = ["content", "post", "article-body", "entry-content", "story", "main-text", "post-content"]
+PART_NAMES = {
+    "nav": ["menu", "navbar", "main-nav", "breadcrumbs"], "header": ["header", "masthead", "topbar", "banner"], "footer": ["footer", "site-footer", "copyright", "colophon"],
+    "aside": ["sidebar", "widget", "related", "trending"], "ad": ["ad", "ads", "advert", "sponsored", "promo-box"], "notice": ["cookie-notice", "consent", "notice", "popup", "newsletter", "alert"],
+    "comments": ["comments", "comment-list", "discussion", "replies"],
+}
+
+
+class Composer:
+    """Makes training pages; the article's blocks carry a mark that features do not see.
+
+    On plain pages no name tells anything, so only parts that their form tells
+    apart from an article (lists of links, forms, short ends) stand beside it.
+    """
+
+    def __init__(self, words: list[str], rng: random.Random) -> None:
+        self.words, self.rng = words, rng
+        self.plain = rng.random() < 0.35
+
+    def say(self, a: int, b: int) -> str:
+        return html.escape(" ".join(self.rng.choices(self.words, k=self.rng.randint(a, b))))
+
+    def one(self, *options):
+        return self.rng.choice(options)()
+
+    def name(self) -> str:
+        """A name without meaning."""
+        return "".join(self.rng.choices("abcdefghijklmnopqrstuvwxyz", k=self.rng.randint(1, 5))) + self.rng.choice(("", "", str(self.rng.randint(1, 99))))
+
+    def tag(self, tag: str, names: list[str], inner: str, chance: float = 1.0) -> str:
+        rng, attr = self.rng, ""
         if rng.random() < chance:
-            at = 0 if side == -1 else len(parts) if side == 2 else rng.choice((parts.index(main), parts.index(main) + 1)) if side == 0 else parts.index(main) + 1
-            parts.insert(at, make())
-    body = "".join(parts)
-    if rng.random() < 0.3:
-        body = f'<div class="{rng.choice(("page", "wrapper", "container"))}">{body}</div>'
-    return f"<!DOCTYPE html><html><head><title>{say(2, 8)}</title><style>p{{}}</style></head><body>{body}</body></html>"
+            if names and not self.plain:
+                attr = " ".join([rng.choice(names), *(self.name() for _ in range(rng.choice((0, 0, 1, 2))))])
+            else:
+                attr = self.name()
+            attr = f' {rng.choice(("class", "id"))}="{attr}"'
+        return f"<{tag}{attr}>{inner}</{tag}>"
+
+    def part(self, kind: str, inner: str, semantic: str = "") -> str:
+        if semantic and self.rng.random() < (0.3 if self.plain else 0.55):
+            return self.tag(semantic, PART_NAMES.get(kind, []), inner, 0.2)
+        return self.tag(self.rng.choice(("div", "div", "section", "ul" if kind == "nav" and inner.startswith("<li") else "div")), PART_NAMES.get(kind, []), inner)
+
+    def links(self) -> str:
+        rows = [f'<a href="/{i}">{self.say(1, 3)}</a>' for i in range(self.rng.choice((self.rng.randint(2, 9), self.rng.randint(2, 9), self.rng.randint(10, 45))))]
+        return self.one(lambda: "<ul>" + "".join(f"<li>{x}</li>" for x in rows) + "</ul>", lambda: " | ".join(rows), lambda: "".join(f"<li>{x}" for x in rows))
+
+    def paras(self, n: int, mark: str = "", least: int = 3) -> str:
+        rng = self.rng
+        return "".join(f"<p{mark}>{self.say(least, 90)}" + ("<br>" if rng.random() < 0.1 else "") + ("</p>" if rng.random() < 0.9 else "") for _ in range(n))
+
+    def block(self) -> str:
+        kind, say = self.rng.random(), self.say
+        if kind < 0.6:
+            return self.paras(1, _MAIN)
+        if kind < 0.69:
+            return f"<h{2 + int(kind * 100) % 3}{_MAIN}>{say(1, 6)}</h{2 + int(kind * 100) % 3}>"
+        if kind < 0.81:
+            return f"<ul{_MAIN}>" + "".join(f"<li>{say(2, 15)}</li>" for _ in range(self.rng.randint(1, 5))) + "</ul>"
+        if kind < 0.87:
+            return f'<p{_MAIN}>{say(2, 20)} <a href="/x">{say(1, 3)}</a> <b>{say(1, 4)}</b>, <em>{say(1, 3)}</em>.</p>'
+        if kind < 0.91:
+            return f"<blockquote{_MAIN}>{self.paras(1)}</blockquote>"
+        if kind < 0.95:
+            return f"<div{_MAIN}>{say(8, 90)}</div>"
+        return f"<table{_MAIN}>" + "".join(f"<tr><td>{say(1, 4)}<td>{say(1, 9)}</tr>" for _ in range(self.rng.randint(1, 4))) + "</table>"
+
+    def article(self) -> str:
+        rng = self.rng
+        title = f"<h1{_MAIN}>{self.say(2, 9)}</h1>" if rng.random() < 0.75 else ""
+        blocks = [self.block() for _ in range(rng.choice((0, 1, 2, 2, 3, 6, 12) if title else (1, 2, 3, 6)))]
+        if not title:
+            blocks[0] = self.paras(1, _MAIN)
+        if not self.plain and rng.random() < 0.25:
+            blocks.insert(rng.randint(0, len(blocks)), self.part("ad", self.say(2, 15)))
+        inner = title + "".join(blocks)
+        how = rng.random()
+        if how < (0.15 if self.plain else 0.45):
+            inner = self.tag(rng.choice(("article", "main")), MAIN_NAMES, inner, 0.3)
+        elif how < 0.8:
+            for _ in range(rng.choice((1, 1, 2, 4))):
+                inner = self.tag(rng.choice(("div", "div", "section", "td")), MAIN_NAMES, inner, 0.9)
+        return inner
+
+    def page(self) -> str:
+        rng, say = self.rng, self.say
+        article = self.article()
+        if rng.random() < 0.08:
+            return article
+        before, after = [], []
+        if rng.random() < 0.5:
+            name = self.one(lambda: f'<a href="/">{say(1, 3)}</a>', lambda: f"<b>{say(1, 3)}</b>", lambda: f'<a href="/">{say(1, 3)}</a>' if self.plain or rng.random() < 0.5 else f"<h2>{say(1, 3)}</h2>")
+            before.append(self.part("header", name + (f"<p>{say(2, 8)}</p>" if not self.plain and rng.random() < 0.5 else ""), "header"))
+        if rng.random() < 0.8:
+            (before if rng.random() < 0.8 else after).append(self.part("nav", self.links(), "nav"))
+        if rng.random() < 0.35:
+            after.append(self.part("aside", (f"<h3>{say(1, 4)}</h3>" if rng.random() < 0.5 else "") + (self.links() if self.plain or rng.random() < 0.5 else self.paras(2)), "aside"))
+        if not self.plain:
+            if rng.random() < 0.6:
+                rng.choice((before, after)).append(self.part("ad", self.one(lambda: say(2, 25), lambda: f"<p>{say(2, 25)}</p>", lambda: f'<a href="/y">{say(2, 9)}</a>')))
+            if rng.random() < 0.4:
+                rng.choice((before, after)).append(self.part("notice", f"<p>{say(4, 25)}</p><button>{say(1, 2)}</button>"))
+            if rng.random() < 0.35:
+                each = [self.tag(rng.choice(("div", "li")), ["comment", "reply"], self.paras(1)) for _ in range(rng.randint(1, 6))]
+                after.append(self.part("comments", f"<h3>{say(1, 3)}</h3>" + "".join(each), "section"))
+        if rng.random() < 0.3:
+            rng.choice((before, after)).append(f"<form {rng.choice(('', 'class=search', 'id=login'))}><label>{say(1, 4)}</label><input name=q><button>{say(1, 2)}</button></form>")
+        if rng.random() < 0.8:
+            after.append(self.part("footer", f"&copy; {say(1, 9 if self.plain else 30)}" + (self.links() if rng.random() < 0.3 else ""), "footer"))
+        body = "".join([*before, article, *after])
+        for _ in range(rng.choice((0, 0, 0, 1, 2))):
+            body = self.tag("div", ["page", "wrapper", "container"], body)
+        head = f"<head><title>{say(2, 8)}</title><style>p{{}}</style></head>"
+        return body if rng.random() < 0.1 else f"<!DOCTYPE html><html>{head}<body>{body}</body></html>"
+
+
+def compose(words: list[str], rng: random.Random) -> str:
+    return Composer(words, rng).page()
 
 
 def labels(page: Page) -> np.ndarray:
@@ -267,7 +358,7 @@ def fitted(pages: DataFrame, most: int = TRAIN_PAGES) -> list[tuple[np.ndarray,
     nodes = nodes.select(array_to_vector("features").alias("features"), "label")
     if nodes.isEmpty():
         return []
-    model = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.3, seed=7, maxMemoryInMB=64).fit(nodes)
+    model = GBTClassifier(maxIter=30, maxDepth=5, stepSize=0.2, seed=7, maxMemoryInMB=128).fit(nodes)
 
     def flat(node) -> tuple[np.ndarray, ...]:
         rows: list[list[float]] = []
