@@ -9,13 +9,16 @@ to it are committed and forgotten.
 With a unigram model the best path has the highest sum of scores. A BPE model
 defines another encoding, that of its merges; there, a prefix has exactly one
 path whose neighbouring pieces would not have been merged otherwise, and it is
-the survivor. Two neighbours fit if merging their joined text gives them again.
+the survivor. Whether two neighbours fit is found by undoing their merges, the
+latest first: they do not if the parts that touch make a piece at any time which
+would have been merged before the merge that was undone last.
 
 If no piece has a space mark after another character (so it is in public
 models), no path crosses from a character to a mark: all paths converge there,
 and likewise around ASCII characters that no longer piece contains.
-Each stretch between two such boundaries is searched once per worker and
-remembered, within a bound.
+Each stretch between two such boundaries goes through the search. Its ids are
+remembered by the worker, within a bound, for when it comes again, and a stretch
+goes on from the survivors of the characters that it shares with the one before.
 """
 
 from __future__ import annotations
@@ -34,11 +37,30 @@ from driftwood.llm import bytes_
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches that a worker remembers, and the longest that is.
-REMEMBERED, LONGEST = 700_000, 64
+#: Stretches and pairs of pieces that a worker remembers (150 MB of each at most, in every Python worker), and the longest such stretch.
+REMEMBERED, LONGEST = 500_000, 64
+NEVER = float("-inf")
+#: Stands for the start and for a character outside of the vocabulary, which nothing merges with.
+NOTHING = -1
 UNIGRAM, BPE = 1, 2
 
 
+class Endings(dict):
+    """For up to three last characters of a text, the lengths that a piece may have which ends there, longest first."""
+
+    def __init__(self, pieces: Iterable[str]) -> None:
+        found: dict[str, set[int]] = {}
+        for piece in pieces:
+            found.setdefault(piece[-3:], {k for k in (1, 2) if k < len(piece) and piece[-k:] in pieces}).add(len(piece))
+        super().__init__({ending: tuple(sorted(sizes, reverse=True)) for ending, sizes in found.items()})
+
+    def __missing__(self, ending: str) -> tuple[int, ...]:
+        sizes = self[ending[1:]] if ending else ()
+        if len(self) < REMEMBERED:
+            self[ending] = sizes
+        return sizes
+
+
 class Pieces:
     """A model: its normal pieces with scores, byte pieces and the way it treats spaces."""
 
@@ -59,7 +81,7 @@ class Pieces:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self.longest = max(map(len, self.ids), default=1)
-        self.sizes = self._sizes_by_ending()
+        self.sizes = Endings(self.ids)
         self.text = [b"" if p.type == kinds.CONTROL else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         self.text[self.unknown] = " ⁇ ".encode()
         for b, i in self.byte.items():
@@ -69,49 +91,54 @@ class Pieces:
         alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in joined)
         self.stretch = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]") if alone else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        marks = [self.score[i] for p, i in self.ids.items() if set(p) == {MARK} and len(p) > 1]
-        self.tied = self.bpe and len(set(marks)) < len(marks)
-        self._fits: dict[tuple[str, str], bool] = {}
-
-    def _sizes_by_ending(self) -> dict[str, tuple[int, ...]]:
-        """For up to three last characters, the lengths that pieces ending so may have, longest first."""
-        found: dict[str, set[int]] = {}
-        for piece in self.ids:
-            if piece[-3:] not in found:
-                found[piece[-3:]] = {k for k in (1, 2) if piece[-k:] in self.ids and k <= len(piece)}
-            found[piece[-3:]].add(len(piece))
-        return {ending: tuple(sorted(sizes, reverse=True)) for ending, sizes in found.items()}
-
-    def sizes_at(self, text: str, end: int) -> tuple[int, ...]:
-        """The lengths that a piece may have which ends there, longest first."""
-        for start in range(max(0, end - 3), end):
-            if (sizes := self.sizes.get(text[start:end])) is not None:
-                return sizes
-        return ()
-
-    def merged(self, text: str) -> list[str]:
-        """What the merges of a BPE model make of a short text: the best-scored neighbours first, leftmost of equals."""
-        parts, ids, score = list(text), self.ids, self.score
-        none = float("-inf")
-        worth = lambda x: score[i] if (i := ids.get(x)) is not None else none
-        pairs = [worth(parts[k] + parts[k + 1]) for k in range(len(parts) - 1)]  # of each part with the next
-        while pairs and (best := max(pairs)) > none:
-            k = pairs.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del pairs[k]
-            if k < len(pairs):
-                pairs[k] = worth(parts[k] + parts[k + 1])
-            if k:
-                pairs[k - 1] = worth(parts[k - 1] + parts[k])
-        return parts
-
-    def fits(self, a: str, b: str) -> bool:
-        """Whether a BPE model leaves b to the right of a."""
-        if (known := self._fits.get((a, b))) is None:
-            if len(self._fits) > REMEMBERED:
-                self._fits.clear()
-            known = self._fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return known
+        self.piece = [p.piece for p in model.pieces]
+        self.known: dict[int, bool] = {}  # by the ids of two neighbours
+        self._last_merge: dict[str, tuple[str, str] | None] = {}
+
+    def last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that a BPE model merges last when it makes a piece; none if it makes other pieces of that text."""
+        if piece not in self._last_merge:
+            parts, ids, score, found = list(piece), self.ids, self.score, None
+            worth = lambda x: score[i] if (i := ids.get(x)) is not None else NEVER
+            pairs = [worth(parts[k] + parts[k + 1]) for k in range(len(parts) - 1)]  # of each part with the next
+            while pairs and (best := max(pairs)) > NEVER:
+                k = pairs.index(best)  # the leftmost of equals
+                found = parts[k], parts[k + 1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                del pairs[k]
+                if k < len(pairs):
+                    pairs[k] = worth(parts[k] + parts[k + 1])
+                if k:
+                    pairs[k - 1] = worth(parts[k - 1] + parts[k])
+            self._last_merge[piece] = found if len(parts) == 1 else None
+        return self._last_merge[piece]
+
+    def fits(self, a: int, b: int) -> bool:
+        """Whether a BPE model leaves piece b to the right of a (NOTHING: of no piece), where a fits what is before it."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        left, right = self.piece[a] if a >= 0 else "", self.piece[b]
+        found = self.known[a << 32 | b] = (len(right) == 1 or self.last_merge(right) is not None) and not (left and self._meet(left, right))
+        return found
+
+    def _meet(self, a: str, b: str) -> bool:
+        """Whether the end of a and the start of b are merged with each other. Of merges of equal score the leftmost is first."""
+        ids, score = self.ids, self.score
+        limit, left = NEVER, False  # the merge undone last: its score, and whether it was one of a's
+        while True:
+            i = ids.get(a + b)
+            if i is not None and (score[i] > limit or (score[i] == limit and not left)):
+                return True
+            last_a = score[ids[a]] if len(a) > 1 else None
+            last_b = score[ids[b]] if len(b) > 1 else None
+            if last_a is None and last_b is None:
+                return False
+            if last_b is None or (last_a is not None and last_a < last_b):
+                limit, left = last_a, True
+                a = self.last_merge(a)[1]
+            else:
+                limit, left = last_b, False
+                b = self.last_merge(b)[0]
 
     def of_char(self, char: str) -> list[int]:
         """The ids of a character that is not a piece."""
@@ -123,99 +150,89 @@ class Search:
 
     def __init__(self, pieces: Pieces) -> None:
         self.p = pieces
-        self.start, self.tail = 0, ""  # place of the first kept character; characters since then
-        self.best: dict[int, tuple[float, int, str]] = {0: (0.0, -1, "")}  # place: score, place before, piece
+        self.text = ""  # characters since the last commit
+        self.last = [NOTHING]  # for every place in them, the last piece of its survivor
+        self.total = [0.0]  # the survivor's score, of a unigram model
         self.ids: list[int] = []
         self.held = 0  # most places held at once
 
     def feed(self, chars: str) -> None:
-        p, best = self.p, self.best
-        for char in chars:
-            self.tail += char
-            end = self.start + len(self.tail)
-            found = None
-            for size in range(min(p.longest, len(self.tail)), 0, -1):
-                before = best.get(end - size)
-                if before is None:
-                    continue
-                piece = self.tail[-size:]
-                known = p.ids.get(piece)
-                if known is None and size > 1:
-                    continue
-                if p.bpe:
-                    # the path starts anew after a character outside of the vocabulary, which nothing merges with
-                    left = before[2] if before[2] in p.ids else ""
-                    if known is None or p.fits(left, piece):
-                        found = (0.0, end - size, piece)
+        window = self.p.longest
+        extend = self._extend_bpe if self.p.bpe else self._extend_unigram
+        for at in range(0, len(chars), window):
+            self.text += chars[at : at + window]
+            extend()
+            if len(self.text) >= 4 * window:
+                self._commit()
+
+    def rewind(self, chars: int) -> bool:
+        """Takes back all but the first characters, if nothing has been committed."""
+        if self.ids:
+            return False
+        self.text = self.text[:chars]
+        del self.last[chars + 1 :], self.total[chars + 1 :]
+        return True
+
+    def _extend_bpe(self) -> None:
+        """Survivors of the places that have none yet: the longest piece that fits the survivor before it."""
+        p, text, last = self.p, self.text, self.last
+        ids, known, sizes = p.ids, p.known, p.sizes
+        for end in range(len(last), len(text) + 1):
+            for size in sizes[text[end - 3 if end > 3 else 0 : end]]:
+                if size <= end and (i := ids.get(text[end - size : end])) is not None:
+                    pair = last[end - size] << 32 | i
+                    if known[pair] if pair in known else p.fits(last[end - size], i):
+                        last.append(i)
                         break
-                else:
-                    score = before[0] + (p.worst if known is None else p.score[known])
-                    if found is None or score > found[0]:
-                        found = (score, end - size, piece)
-            if found:
-                best[end] = found
-            if len(self.tail) >= 4 * p.longest and not end % p.longest:
-                self._commit(end)
-                best = self.best
-
-    def _commit(self, end: int) -> None:
+            else:
+                last.append(NOTHING)
+
+    def _extend_unigram(self) -> None:
+        p, text, last, total = self.p, self.text, self.last, self.total
+        for end in range(len(last), len(text) + 1):
+            best, found = total[end - 1] + p.worst, NOTHING
+            for size in range(min(p.longest, end), 0, -1):
+                i = p.ids.get(text[end - size : end])
+                if i is not None and (score := total[end - size] + p.score[i]) > best:
+                    best, found = score, i
+            last.append(found)
+            total.append(best)
+
+    def _commit(self) -> None:
         """Emits the pieces up to the boundary where all paths that can be continued meet."""
-        self.held = max(self.held, len(self.best))
-        live = {x for x in range(max(self.start, end - self.p.longest + 1), end + 1) if x in self.best}
+        end = len(self.text)
+        self.held = max(self.held, end)
+        live = set(range(end - self.p.longest + 1, end + 1))
         while len(live) > 1:
-            last = max(live)
-            live.remove(last)
-            live.add(self.best[last][1])
+            place = max(live)
+            live.remove(place)
+            live.add(place - self._size(place))
         meet = live.pop()
-        if meet > self.start:
+        if meet > 0:
             self._emit(meet)
-            self.tail = self.tail[meet - self.start :]
-            self.best = {x: y for x, y in self.best.items() if x >= meet}
-            self.start = meet
+            self.text, self.last, self.total = self.text[meet:], self.last[meet:], self.total[meet:]
 
     def _emit(self, place: int) -> None:
-        path = []
-        while place > self.start:
-            _, place, piece = self.best[place]
-            path.append(piece)
-        for piece in reversed(path):
-            known = self.p.ids.get(piece)
-            self.ids += [known] if known is not None else self.p.of_char(piece)
+        self.ids += self._path(place)
+
+    def _size(self, place: int) -> int:
+        return len(self.p.piece[self.last[place]]) if self.last[place] >= 0 else 1
+
+    def _path(self, place: int) -> list[int]:
+        out, piece, last = [], self.p.piece, self.last
+        while place > 0:
+            if (i := last[place]) >= 0:
+                out.append(i)
+                place -= len(piece[i])
+            else:
+                out += reversed(self.p.of_char(self.text[place - 1]))
+                place -= 1
+        out.reverse()
+        return out
 
     def finish(self) -> list[int]:
-        self._emit(self.start + len(self.tail))
-        return self.ids
-
-
-def _survivor(p: Pieces, text: str, left: list[str | None], end: int) -> str:
-    """The last piece of the survivor at a place, noted in ``left``; '' after a character outside of the vocabulary."""
-    ids, known_fits = p.ids, p._fits
-    for size in p.sizes.get(text[max(0, end - 3) : end]) or p.sizes_at(text, end):
-        start = end - size
-        if start >= 0 and (piece := text[start:end]) in ids:
-            if (before := left[start]) is None:
-                before = _survivor(p, text, left, start)
-            fits = known_fits.get((before, piece))
-            if fits or (fits is None and p.fits(before, piece)):
-                left[end] = piece
-                return piece
-    left[end] = ""
-    return ""
-
-
-def _within_window(p: Pieces, text: str) -> list[int]:
-    """The search over a stretch that fits in one window of a BPE model: the same survivors, and nothing to commit early.
-
-    It starts from the end and finds the survivors of those places only that a path to the end asks for.
-    """
-    left: list[str | None] = ["", *[None] * len(text)]
-    out, end = [], len(text)
-    while end:
-        if (piece := left[end]) is None:
-            piece = _survivor(p, text, left, end)
-        out += [p.ids[piece]] if piece else p.of_char(text[end - 1])[::-1]
-        end -= len(piece) or 1
-    return out[::-1]
+        """All ids; the search may go on from here."""
+        return self.ids + self._path(len(self.text))
 
 
 class _Memory(dict):
@@ -225,52 +242,27 @@ class _Memory(dict):
         super().__init__()
         self.pieces = pieces
 
-    def __missing__(self, stretch: str) -> bytes:
-        p = self.pieces
-        if p.tied and MARK + MARK in stretch:  # runs of marks have equal scores, where merges depend on their order
-            lead = len(stretch) - len(stretch.lstrip(MARK))
-            ids = [x for part in _merged_run(p, stretch, lead) for x in ([p.ids[part]] if part in p.ids else p.of_char(part))]
-        elif p.bpe and len(stretch) <= LONGEST:
-            ids = _within_window(p, stretch)
-        else:
-            search = Search(p)
-            search.feed(stretch)
-            ids = search.finish()
-        out = array("i", ids).tobytes()
-        if len(stretch) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[stretch] = out
-        return out
+    def learn(self, stretches: set[str]) -> None:
+        """Searches stretches that are not known. In their order each goes on from the characters that it shares with the one before."""
+        if len(self) + len(stretches) > REMEMBERED:
+            self.clear()
+        search, before = Search(self.pieces), ""
+        for stretch in sorted(stretches):
+            same = 0
+            for a, b in zip(before, stretch, strict=False):
+                if a != b:
+                    break
+                same += 1
+            if not search.rewind(same):
+                search, same = Search(self.pieces), 0
+            search.feed(stretch[same:])
+            self[stretch] = array("i", search.finish()).tobytes()
+            before = stretch
 
-
-def _merged_run(p: Pieces, stretch: str, lead: int) -> list[str]:
-    """A run of marks before other characters. Its last mark belongs to what follows, which is better scored, if that merges."""
-    if lead == len(stretch):
-        return p.merged(stretch) if lead <= 512 else _greedy_run(p, lead)
-    rest = Search(p)
-    rest.feed(stretch[lead - 1 :])
-    tail = _pieces_of(rest)
-    if tail[0] == MARK:
-        run, tail = lead, tail[1:]
-    else:
-        run = lead - 1
-    return (p.merged(MARK * run) if run <= 512 else _greedy_run(p, run)) + tail
-
-
-def _pieces_of(search: Search) -> list[str]:
-    place, path = search.start + len(search.tail), []
-    while place > search.start:
-        _, place, piece = search.best[place]
-        path.append(piece)
-    return path[::-1]
-
-
-def _greedy_run(p: Pieces, n: int) -> list[str]:
-    """A long run of marks: it repeats the longest run piece, as the leftmost of equal merges does; the rest as in a short run."""
-    long = max(len(x) for x in p.ids if set(x) == {MARK})
-    head = (n - 4 * long) // long
-    return [MARK * long] * head + p.merged(MARK * (n - head * long))
+    def __missing__(self, stretch: str) -> bytes:
+        search = Search(self.pieces)
+        search.feed(stretch)
+        return array("i", search.finish()).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -278,16 +270,22 @@ def _memory(path: str) -> _Memory:
     return _Memory(Pieces(path))
 
 
-def _stretches(p: Pieces, text: str) -> Iterable[str]:
-    marked = (MARK if p.prefix else "") + text.replace(" ", MARK)
-    return p.stretch.findall(marked) if p.splits else [marked]
+def _stretches(p: Pieces, text: str | None) -> list[str]:
+    marked = (MARK if p.prefix else "") + text.replace(" ", MARK) if text else ""
+    return p.stretch.findall(marked) if p.splits else [marked] if marked else []
 
 
-def encode_text(path: str, text: str | None) -> np.ndarray:
-    if not text:
-        return np.empty(0, np.int32)
+def encode_texts(path: str, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """The ids of some texts, whose new short stretches are searched together; long ones are searched where they stand."""
     memory = _memory(path)
-    return np.frombuffer(b"".join([memory[x] for x in _stretches(memory.pieces, text)]), np.int32)
+    split = [_stretches(memory.pieces, text) for text in texts]
+    memory.learn({x for stretches in split for x in stretches if len(x) <= LONGEST and x not in memory})
+    for stretches in split:
+        yield np.frombuffer(b"".join([memory[x] for x in stretches]), np.int32)
+
+
+def encode_text(path: str, text: str | None) -> np.ndarray:
+    return next(encode_texts(path, [text]))
 
 
 def decode_ids(path: str, ids: Iterable[int]) -> str:
@@ -301,8 +299,9 @@ def _coded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in bytes_.slices(batches):
             ids, same = [], []
-            for text in batch.column("text").to_pylist():
-                ids.append(encode_text(path, text))
+            texts = batch.column("text").to_pylist()
+            for text, own in zip(texts, encode_texts(path, texts), strict=True):
+                ids.append(own)
                 same.append(decode_ids(path, ids[-1].tolist()) == (text or "").replace(MARK, " "))
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
@@ -318,7 +317,10 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     doc_id, n_ids, ids (array of int) and round_trip: decoding gives the text
     again, with U+2581, which the format reserves for the space, as a space.
     Null and empty texts have no ids. ``model`` is a path that every executor
-    can open. One row per row, repeated ones too.
+    can open. One row per row, repeated ones too; an empty table gives none. A
+    very long text goes through the search as it is, which holds a window of it
+    beside its ids. Of equally scored merges the leftmost is first, and of
+    equally scored unigram paths the one with the longest last piece.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_coded(model), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
