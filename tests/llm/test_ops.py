@@ -179,12 +179,13 @@ def test_search_holds_a_window_and_finds_the_best_unigram_path():
     p = sentence_pieces._memory(sentence_pieces.MODEL).pieces
     search = sentence_pieces.Search(p)
     search.feed("thering" * 5000)
-    assert search.held < 100 and len(search.tail) < 100
+    assert search.held < 100 and len(search.text) < 100
 
     class Uni:
         bpe, byte, unknown, longest, worst = False, {}, 0, 3, -20.0
         ids = {"a": 1, "b": 2, "ab": 3, "ba": 4, "aba": 5}
         score = [0.0, -2.0, -2.1, -3.0, -2.5, -5.2]
+        piece = ["", *ids]
         of_char = sentence_pieces.Pieces.of_char
 
     rng = random.Random(7)
@@ -261,14 +262,21 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: [], 3: ["MIT", "CC-BY-NC-4.0"], 4: [], 5: [], 6: []}
 
 
-def test_short_and_streaming_search_agree():
+def test_search_in_parts_and_from_shared_characters():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
     pieces = sentence_pieces.Pieces(sentence_pieces.MODEL)
     rng = random.Random(8)
-    for n in [*range(60, 69)] * 12 + [1, 2, 15, 16, 17, 32, 33]:
-        word = sentence_pieces.MARK + "".join(rng.choice("etaoinshrdlu漢é0.") for _ in range(n - 1))
+    words = {sentence_pieces.MARK + "".join(rng.choice("etaoinshrdlu漢é0.") for _ in range(n - 1)) for n in [*range(60, 69), *range(2, 40)] * 8}
+    memory = sentence_pieces._Memory(pieces)
+    memory.learn(words)
+    for word in words:
         search = sentence_pieces.Search(pieces)
-        search.feed(word)
-        assert list(search.finish()) == list(sentence_pieces._within_window(pieces, word))
+        for part in re.findall("(?s).{1,7}", word):
+            search.feed(part)
+        want = library.encode(word[1:])
+        assert search.finish() == want and np.frombuffer(memory[word], np.int32).tolist() == want
 
 
 MIT = """MIT License
