@@ -7,44 +7,71 @@ from pyspark.sql import functions as F
 
 from driftwood.sources.workspace import written
 
-#: In a required structure this type matches any other.
-UNKNOWN = "VOID"
+#: The type of what an empty list would hold: in a required structure it matches any other.
+UNKNOWN = "UNKNOWN"
+
+
+def _type(v: str) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, BIGINT (whole numbers of any size), DOUBLE (numbers with a point or exponent, 1.0 too) or NULL (JSON null)."""
+    full = F.schema_of_variant(v)
+    kind = F.regexp_extract(full, "^[A-Z]+", 0)
+    return F.when(kind == "VOID", "NULL").when(full.rlike(r"^DECIMAL\((19|[23]\d),0"), "BIGINT").when(kind == "DECIMAL", "DOUBLE").otherwise(kind)
 
 
 def infer_structure(rows: DataFrame, entity: str, json_col: str, depth: int | None = None) -> DataFrame:
-    """(entity, path, type), distinct, of JSON values down to ``depth`` levels (None: all). '$' is the value itself, '[]' a list's first element.
+    """(entity, path, type, n_records) of JSON values down to ``depth`` levels (None: all).
 
-    Each round opens the objects and lists of one level; those inside them are
-    written for the next round. Only emptiness reaches the driver.
+    '$' is the value itself, '[]' a list's first element, which is UNKNOWN in an
+    empty list; JSON null is a type of its own (NULL). n_records: how many records
+    have that type there; null and unreadable values are no records. Each round opens the objects and lists of one level; those inside them
+    are written for the next round. Only emptiness reaches the driver.
     """
-    kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
-    level = rows.select(F.col(entity).alias("entity"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null").withColumn("type", kind)
-    out, i = level.select("entity", "path", "type").distinct(), 0
+    level = rows.select(F.col(entity).alias("entity"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null").withColumn("type", _type("v"))
+    counted = lambda x: x.groupBy("entity", "path", "type").agg(F.count("*").alias("n_records"))
+    out, i = counted(level), 0
     while depth is None or i < depth:
         i += 1
         items = F.expr(
             "CASE WHEN type = 'OBJECT' THEN map_entries(try_cast(v AS map<string, variant>)) "
             "WHEN type = 'ARRAY' THEN array(named_struct('key', '[]', 'value', try_variant_get(v, '$[0]', 'variant'))) END"
         )
-        inner = level.select("entity", "path", F.explode(items).alias("x")).select("entity", F.concat_ws(".", "path", "x.key").alias("path"), F.col("x.value").alias("v")).where("v is not null").withColumn("type", kind)
-        out = out.unionAll(inner.select("entity", "path", "type").distinct())
+        inner = level.select("entity", "path", "type", F.explode(items).alias("x")).select("entity", F.concat_ws(".", "path", "x.key").alias("path"), F.col("x.value").alias("v"), F.col("type").alias("of"))
+        inner = inner.where("v is not null or of = 'ARRAY'").withColumn("type", F.when(F.col("v").isNull(), UNKNOWN).otherwise(_type("v"))).drop("of")
+        out = out.unionAll(counted(inner))
         level = written(inner.where("type IN ('OBJECT', 'ARRAY')"), "structure")
         if level.isEmpty():
             break
-    return out.distinct()
+    return out
+
+
+def required_paths(structure: DataFrame) -> DataFrame:
+    """(entity, path, type): the paths that every record of an entity has, with the types that they have there."""
+    records = structure.where("path = '$'").groupBy("entity").agg(F.sum("n_records").alias("records"))
+    paths = structure.groupBy("entity", "path").agg(F.sum("n_records").alias("here"))
+    always = paths.join(records, "entity").where("here = records").select("entity", "path")
+    return structure.select("entity", "path", "type").join(always, ["entity", "path"], "left_semi")
 
 
 def superset_check(required: DataFrame, actual: DataFrame) -> DataFrame:
-    """(entity, n_missing, n_mismatched, satisfied): every required path is there with its type; more paths are allowed.
+    """(entity, n_records, n_missing, n_mismatched, satisfied): every record has each required path with a required type; more paths are allowed.
 
-    Types of one path are compared as sets: each required type must be among the actual ones.
+    required: (entity, path, type), several types of a path being alternatives;
+    actual: what ``infer_structure`` gives (without n_records: one record each).
+    n_missing and n_mismatched count records, summed over the required paths. A
+    path inside of a missing or differing one counts as well. An entity without
+    records misses all of its paths once.
     """
-    have = actual.select("entity", "path", F.col("type").alias("have"))
-    paths = have.groupBy("entity", "path").agg(F.collect_set("have").alias("types"))  # a handful of types
-    both = required.join(paths, ["entity", "path"], "left")
-    missing = F.col("types").isNull()
-    wrong = ~missing & (F.col("type") != UNKNOWN) & ~F.array_contains("types", F.col("type"))
-    return both.groupBy("entity").agg(F.count_if(missing).alias("n_missing"), F.count_if(wrong).alias("n_mismatched"), (F.count_if(missing | wrong) == 0).alias("satisfied"))
+    if "n_records" not in actual.columns:
+        actual = actual.withColumn("n_records", F.lit(1).cast("long"))
+    allowed = required.groupBy("entity", "path").agg(F.collect_set("type").alias("types"))  # a handful of types
+    records = actual.where("path = '$'").groupBy("entity").agg(F.sum("n_records").alias("records"))
+    here = allowed.join(actual.select("entity", "path", F.col("type").alias("have"), F.col("n_records").alias("n")), ["entity", "path"], "left")
+    fits = F.array_contains("types", F.lit(UNKNOWN)) | F.array_contains("types", F.col("have"))
+    paths = here.groupBy("entity", "path").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~fits, F.col("n"))), F.lit(0)).alias("n_wrong"))
+    each = paths.join(records, "entity", "left").withColumn("n_missing", F.greatest(F.coalesce("records", F.greatest("n", F.lit(1))) - F.col("n"), F.lit(0)))
+    return each.groupBy("entity").agg(
+        F.coalesce(F.max("records"), F.lit(0)).cast("long").alias("n_records"), F.sum("n_missing").alias("n_missing"), F.sum("n_wrong").alias("n_mismatched"), (F.sum(F.col("n_missing") + F.col("n_wrong")) == 0).alias("satisfied"),
+    )
 
 
 def contract_report(checked: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:

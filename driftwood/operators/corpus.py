@@ -7,7 +7,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.operators.graph import propagate_labels
@@ -28,6 +28,12 @@ def segment_lines(docs: DataFrame, file: str = "doc_id", text: str = "text") ->
     return rows.select(*others, line.alias("line_no"), F.concat_ws("::", F.col(file).cast("string"), line.cast("string")).alias("node_id"), F.sha2("line", 256).alias("content_hash"))
 
 
+def line_map(file: Column, text: Column) -> Column:
+    """A map of node_id to content_hash of the lines of a text, as in ``segment_lines``."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    return F.map_from_entries(F.transform(lines, lambda x, i: F.struct(F.concat_ws("::", file, (i + 1).cast("string")), F.sha2(x, 256))))
+
+
 def paragraphs(chunks: DataFrame, lines: int, group: list[str]) -> DataFrame:
     """Spans (line_start, line_end) of ``lines`` lines each."""
     span = F.floor((F.col("line_no") - 1) / lines)
@@ -139,16 +145,21 @@ def call_edges(records: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return inside.unionAll(across).distinct()
 
 
-def external_functions(records: DataFrame, files: DataFrame | None = None, modules: tuple[str, ...] = EXTERNAL) -> DataFrame:
-    """(node_id): functions that call something external, directly or over others; over files too if these are given."""
-    seeds = direct_external(records, modules).select(F.concat_ws("::", "path", "name").alias("node"), F.lit("external").alias("label"))
-    return propagate_labels(call_edges(records, files), seeds).select(F.col("node").alias("node_id"))
+def external_functions(records: DataFrame, files: DataFrame | None = None, modules: tuple[str, ...] = EXTERNAL, extra: DataFrame | None = None) -> DataFrame:
+    """(node_id): functions that call something external, directly or over others; over files too if these are given.
+
+    extra: (node_id), more functions known to be external.
+    """
+    seeds = direct_external(records, modules).select(F.concat_ws("::", "path", "name").alias("node"))
+    if extra is not None:
+        seeds = seeds.union(extra.select("node_id")).distinct()
+    return propagate_labels(call_edges(records, files), seeds.withColumn("label", F.lit("external"))).select(F.col("node").alias("node_id"))
 
 
 def call_site_args(functions: DataFrame, records: DataFrame) -> DataFrame:
     """(name, path, args): for each function (name) the first call, by file and place, whose arguments are all literals."""
     last = F.substring_index("a", ".", -1)
     calls = records.where("record = 'call' and b is not null").select(last.alias("short"), "path", F.col("b").alias("args"), "line_start", "position")
-    rows = functions.select("name", F.substring_index("name", ".", -1).alias("short")).join(calls, "short")
-    first = Window.partitionBy("name").orderBy("path", "line_start", "position")
-    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").select("name", "path", "args")
+    first = calls.groupBy("short").agg(F.min_by(F.struct("path", "args"), F.struct("path", "line_start", "position")).alias("first"))
+    names = functions.select("name", F.substring_index("name", ".", -1).alias("short")).distinct()
+    return names.join(first, "short").select("name", "first.path", "first.args")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions.digests import ordered_digest
@@ -19,6 +19,27 @@ def merkle_root(nodes: DataFrame, group: list[str], file: str = "file", order: s
     return ordered_digest(leaves, group, [file], "leaf", "root")
 
 
+def whole_file(node_id: str) -> Column:
+    """Whether an id stands for a file as a whole."""
+    return F.coalesce(F.substring_index(node_id, "::", -1) == "__file__", F.lit(False))
+
+
+def places_in_order(nodes: DataFrame, group: list[str], file: str, order: str) -> DataFrame:
+    """nodes with ``place``: the position of each row in its group, by file, then order; from 1.
+
+    Only one row per file goes through the group's running sum; the rows of a
+    file are numbered among themselves, so a large group is no single task's.
+    """
+    inside = F.row_number().over(Window.partitionBy(*group, file).orderBy(order))
+    before = F.sum("n").over(Window.partitionBy(*group).orderBy(file).rowsBetween(Window.unboundedPreceding, -1))
+    files = nodes.groupBy(*group, file).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    keys = [*group, file]
+    files = files.select(*(F.col(x).alias(f"file_{i}") for i, x in enumerate(keys)), "before")
+    same = [F.col(x).eqNullSafe(F.col(f"file_{i}")) for i, x in enumerate(keys)]
+    rows = nodes.withColumn("inside", inside).join(files, same)
+    return rows.withColumn("place", F.col("inside") + F.col("before")).select(*nodes.columns, "place")
+
+
 def merkle_of_nodes(nodes: DataFrame, ids: DataFrame, group: list[str], id_col: str = "node_id", **names: str) -> DataFrame:
     """The root of a given set of nodes; ids that are unknown add nothing."""
     return merkle_root(nodes.join(ids.select(id_col).distinct(), id_col, "left_semi"), group, **names)
@@ -67,11 +88,12 @@ def snapshot_drift(baseline: DataFrame, current: DataFrame, traversal: DataFrame
 
     baseline: (agent, lease_node, node_id, content_hash); current: (node_id,
     content_hash); traversal: (agent, node_id), what the agent itself visited,
-    which does not count, unless it is the lease's own node. New nodes do not count.
+    which does not count, unless it is the lease's own node. New nodes do not
+    count, nor do the marks of whole files ('file::__file__'), which no index has.
     """
     visited = traversal.select("agent", "node_id").distinct().withColumn("own", F.lit(True))
     now = current.select("node_id", F.col("content_hash").alias("now"))
-    rows = baseline.join(now, "node_id", "left").join(visited, ["agent", "node_id"], "left")
+    rows = baseline.where(~whole_file("node_id")).join(now, "node_id", "left").join(visited, ["agent", "node_id"], "left")
     counted = F.col("own").isNull() | (F.col("node_id") == F.col("lease_node"))
     return rows.where(counted & ~F.col("now").eqNullSafe(F.col("content_hash"))).select("agent", "lease_node", "node_id", F.col("now").isNull().alias("missing"))
 

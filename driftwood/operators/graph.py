@@ -74,13 +74,55 @@ def trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """(node, color): the smallest node from which each node can be reached. One written table a step."""
+    color = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("color", F.col("node")), "colors")
+    while True:
+        into = edges.join(color, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("color").alias("from"))
+        step = color.join(into, F.col("node") == F.col("dst"), "left").select("node", F.least("color", "from").alias("color"), (F.col("from") < F.col("color")).alias("moved"))
+        step = written(step, "colors")
+        color = step.select("node", "color")
+        if step.where("moved").isEmpty():
+            return color
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """(node, cycle): nodes on cycles of edges (src, dst), with the smallest node of their strongly connected component.
+
+    Each round gives every node the smallest node that reaches it as its color.
+    Those of a color that also reach its first node are a component and go, then
+    what is on no way in or out any more; at least one component a color goes
+    each round, so their number is that of components in a chain, not of nodes.
+    No table has more rows than the graph has nodes or edges.
+    """
+    edges, out = trimmed(edges.select("src", "dst")), None
+    while not edges.isEmpty():
+        color = _least_reaching(edges)
+        ends = lambda x: color.select(F.col("node").alias(x), F.col("color").alias(f"{x}_color"))
+        inside = edges.join(ends("src"), "src").join(ends("dst"), "dst").where("src_color = dst_color").select("src", "dst")
+        roots = color.where("node = color").select(F.col("color").alias("cycle"), "node")
+        members = written(bounded_bfs(inside, roots, None, "reverse", on=["cycle"]).select("cycle", "node"), "components")
+        alone = edges.where("src = dst").select(F.col("src").alias("node"))
+        many = members.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1").select("cycle")
+        own = members.join(many, "cycle", "left_semi").union(members.join(alone, "node", "left_semi").select("cycle", "node")).distinct().select("node", "cycle")
+        out = own if out is None else out.unionAll(own)
+        gone = members.select("node")
+        left = edges.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti")
+        edges = trimmed(left)
+    return out if out is not None else edges.select(F.col("src").alias("node"), F.col("dst").alias("cycle"))
+
+
 def wait_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
-    """(node): nodes on a cycle of wait-for edges (src waits for dst), of at most max_len steps if given."""
+    """(node): nodes on a cycle of wait-for edges (src waits for dst), of at most max_len steps if given.
+
+    Without that bound by components; with it each node of the core is walked
+    from for max_len steps.
+    """
+    if max_len is None:
+        return cycle_components(edges).select("node")
     core = trimmed(edges)
-    nodes = core.select(F.col("src").alias("node")).distinct()
     first = core.select(F.col("src").alias("seed"), F.col("dst").alias("node"))
-    walked = bounded_bfs(core, first, None if max_len is None else max_len - 1, "forward", on=["seed"])
-    return walked.where("seed = node").select("node").distinct().join(nodes, "node", "left_semi")
+    return bounded_bfs(core, first, max_len - 1, "forward", on=["seed"]).where("seed = node").select("node").distinct()
 
 
 def impact_set(changed: DataFrame, edges: DataFrame, nodes: DataFrame, leases: DataFrame, depth: int = 2) -> DataFrame:

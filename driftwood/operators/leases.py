@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driftwood.functions.digests import comparable
 
 BASE_TTL, TTL_PER_LINE = 30, 2
 
@@ -77,8 +80,20 @@ def agent_release_fanout(log: DataFrame) -> DataFrame:
     return log.where("op <> 'stop'").unionByName(stops.select("resource", "sec", "event_id", "agent", F.lit("release").alias("op")))
 
 
-def outcome(op: str, agent: int, sec: int, holder: int | None, expires: int, ttl: int, eager: bool) -> tuple[str, int | None, int]:
-    """What one event does to a lease: the outcome, then the holder and expiry."""
+def session_release_fanout(log: DataFrame) -> DataFrame:
+    """Adds a release of every lease that any agent of a session ever asked for when the session ends (op 'end').
+
+    log: (session, resource, sec, event_id, agent, op); the result has no session.
+    """
+    held = log.where("op = 'acquire'").select("session", "agent", "resource").distinct()
+    ends = log.where("op = 'end'").select("session", "sec", "event_id").join(held, "session")
+    return log.where("op <> 'end'").drop("session").unionByName(ends.select("resource", "sec", "event_id", "agent", F.lit("release").alias("op")))
+
+
+def outcome(op: str | None, agent, sec: int | None, holder, expires: int, ttl: int, eager: bool) -> tuple[str, object, int]:
+    """What one event does to a lease: the outcome, then the holder and expiry. Events without agent, time or op do nothing."""
+    if op is None or agent is None or sec is None:
+        return "noop", holder, expires
     late = holder is not None and expires < sec
     if op == "acquire":
         if holder is None or late:
@@ -92,25 +107,27 @@ def outcome(op: str, agent: int, sec: int, holder: int | None, expires: int, ttl
 def lease_replay(log: DataFrame, ttl: int, evict: str = "eager") -> DataFrame:
     """(resource, sec, event_id, agent, op, outcome): each event of a lease log and what came of it.
 
-    Events of a resource pass through one task in (sec, event_id) order; only the
-    holder and the expiry are held. evict="eager": past its expiry a lease is
-    not held, so its holder's release does nothing; "lazy": it still counts.
+    Events of a resource pass through one task in (sec, event_id) order, as each
+    depends on the one before; only the holder and the expiry are held, and Spark
+    spills the sort. A null resource is one resource. evict="eager": past its
+    expiry a lease is not held, so its holder's release does nothing; "lazy": it
+    still counts.
     """
     names = ["resource", "sec", "event_id", "agent", "op"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, holder, expires = None, None, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, holder, expires = (), None, 0
         for batch in batches:
             out = []
-            for resource, sec, agent, op in zip(batch["resource"], batch["sec"], batch["agent"], batch["op"], strict=True):
-                if resource != now:
-                    now, holder, expires = resource, None, 0
+            for resource, sec, agent, op in zip(*(batch.column(x).to_pylist() for x in ("resource", "sec", "agent", "op")), strict=True):
+                if (key := comparable((resource,))) != now:
+                    now, holder, expires = key, None, 0
                 what, holder, expires = outcome(op, agent, sec, holder, expires, ttl, evict == "eager")
                 out.append(what)
-            yield batch.assign(outcome=out)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(out, pa.string())], [*names, "outcome"])
 
     rows = log.select(*names).repartition("resource").sortWithinPartitions("resource", "sec", "event_id")
-    return rows.mapInPandas(run, "resource long, sec long, event_id long, agent long, op string, outcome string")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("outcome", T.StringType())]))
 
 
 def change_to_block_gap(log: DataFrame, key: str, change: str, blocked: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwood.sources.workspace import written
 
@@ -15,45 +19,65 @@ def resolve_references(refs: DataFrame, targets: DataFrame, candidates: list[Col
     return hit.where("src <> dst").groupBy("src", "ref").agg(F.min(F.struct("rank", "dst")).alias("m")).select("src", "ref", "m.dst", "m.rank")
 
 
-def _runs(words: str, k: int) -> Column:
-    """All runs of k words."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
+#: Runs of this many words, or of characters for needles of one or two words, bring needles and texts together.
+HEAD_WORDS, HEAD_CHARS = 3, 3
+#: Rows of two numbers, and bytes of needles, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+
+
+def _grams(items: Column, k: int) -> Column:
+    """Hashes of all runs of k items; they only nominate, every candidate is searched in full."""
+    starts = F.sequence(F.lit(1), F.size(items) - k + 1)
+    return F.when(F.size(items) >= k, F.transform(starts, lambda i: F.xxhash64(F.slice(items, i, k)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All places of each row's needle in its text, in one pass over the text."""
+    for batch in batches:
+        out: list[tuple[int, int, int, int]] = []
+        for row, (text, needle) in enumerate(zip(batch.column("text").to_pylist(), batch.column("needle").to_pylist(), strict=True)):
+            line, counted, more = 1, 0, needle.count("\n")
+            at = text.find(needle)
+            while at >= 0:
+                line += text.count("\n", counted, at)
+                counted = at
+                out.append((row, at + 1, line, line + more))
+                at = text.find(needle, at + 1)
+        rows, *places = ([x[i] for x in out] for i in range(4))
+        which = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(x).take(which) for x in ("doc_id", "item_id")), *(pa.array(x, pa.int64()) for x in places)], ["doc_id", "item_id", "at", "line_start", "line_end"])
 
 
-def occurrence_scan(texts: DataFrame, needles: DataFrame, head: int = 3) -> DataFrame:
-    """(doc_id, item_id, at, line_start, line_end): every occurrence of needles, overlapping ones too; at counts from 1.
+def occurrence_scan(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(doc_id, item_id, at, line_start, line_end): every occurrence of needles, overlapping ones too; at and lines count from 1.
 
-    Needles and texts meet by an equi-join on runs of ``head`` words, so that no
-    needle is tried on a text that lacks its first words; needles of fewer words
-    meet by their first word. Candidates are then searched in full.
+    texts: (doc_id, text); needles: (item_id, text); null and empty ones match
+    nothing. The inner words of a needle are whole words of a text that holds it,
+    so needles of three words and more meet texts by an equi-join on the hash of
+    their first inner words; shorter ones by that of their first characters. One
+    pass makes the runs of all lengths that needles ask for. Texts with
+    candidates are then searched, each in time linear in its length and hits.
     """
     words = lambda x: F.array_remove(F.split(x, r"\s+"), "")
-    n = needles.where("text <> ''").select("item_id", F.col("text").alias("needle"), words("text").alias("w"))
-    # the inner words of a needle are whole words of the text; the first may be the end of a longer one
-    n = n.withColumns({"k": F.least(F.lit(head), F.greatest(F.size("w") - 2, F.lit(0)))})
-    n = n.withColumn("gram", F.when(F.col("k") > 0, F.array_join(F.slice("w", 2, F.col("k")), " ")))
+    chars = lambda x: F.split(x, "")
+    n = needles.where("text <> ''").select("item_id", F.col("text").alias("needle"), words("text").alias("w"), F.length("text").alias("n"))
+    n = n.withColumns({"k": F.least(F.lit(HEAD_WORDS), F.greatest(F.size("w") - 2, F.lit(0))), "c": F.least(F.lit(HEAD_CHARS), F.col("n"))})
+    head = F.when(F.col("k") > 0, F.slice("w", 2, F.col("k"))).otherwise(F.slice(chars("needle"), 1, F.col("c")))
+    known = written(n.select("item_id", "needle", F.when(F.col("k") > 0, F.col("k")).otherwise(-F.col("c")).alias("kind"), F.xxhash64(head).alias("gram")), "needles")
+    size = known.agg(F.count("*"), F.sum(F.octet_length("needle")), F.collect_set("kind")).first()  # HEAD_WORDS + HEAD_CHARS kinds at most
     t = texts.where("text is not null").select("doc_id", "text")
-    w = t.select("doc_id", words("text").alias("w"))
-    lengths = [r["k"] for r in n.where("k > 0").select("k").distinct().collect()]  # ``head`` values at most
-    pairs = None
-    for k in lengths:
-        grams = w.select("doc_id", F.explode(F.array_distinct(_runs("w", k))).alias("gram"))
-        known = written(n.where(F.col("k") == k).select("gram", "item_id"), "needles")
-        hit = grams.join(F.broadcast(known) if known.count() <= 100_000 else known, "gram").select("doc_id", "item_id").distinct()
-        pairs = hit if pairs is None else pairs.unionAll(hit)
-    full = n.select("item_id", "needle")
-    short = n.where("k = 0").select("item_id", "needle")
-    found = t.join(short, F.contains(F.col("text"), F.col("needle"))).select("doc_id", "item_id", "text", "needle") if not short.isEmpty() else None
-    if pairs is not None:
-        long = pairs.distinct().join(full, "item_id").join(t, "doc_id").where(F.contains("text", "needle")).select("doc_id", "item_id", "text", "needle")
-        found = long if found is None else found.unionAll(long)
-    if found is None:
-        return t.where("false").selectExpr("doc_id", "0L as item_id", "0 as at", "0 as line_start", "0 as line_end")
-    at = F.explode(F.filter(F.sequence(F.lit(1), F.length("text") - F.length("needle") + 1), lambda i: F.substring(F.col("text"), i, F.length("needle")) == F.col("needle"))).alias("at")
-    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    start = 1 + newlines(F.substring(F.col("text"), F.lit(1), F.col("at") - 1))
-    return found.select("doc_id", "item_id", "text", "needle", at).select("doc_id", "item_id", "at", start.alias("line_start"), (start + newlines(F.col("needle"))).alias("line_end"))
+    w = t.select("doc_id", words("text").alias("w"), *([chars("text").alias("c")] if min(size[2], default=0) < 0 else []))
+    kinds = [F.struct(F.lit(k).alias("kind"), F.array_distinct(_grams(F.col("w" if k > 0 else "c"), abs(k))).alias("grams")) for k in sorted(size[2])]
+    if not kinds:
+        return t.where("false").selectExpr("doc_id", "0L as item_id", "0L as at", "0L as line_start", "0L as line_end")
+    grams = w.select("doc_id", F.explode(F.array(*kinds)).alias("x")).select("doc_id", "x.kind", F.explode("x.grams").alias("gram"))
+    heads = known.select("kind", "gram", "item_id")
+    pairs = written(grams.join(F.broadcast(heads) if size[0] <= BROADCAST_ROWS else heads, ["kind", "gram"]).select("doc_id", "item_id").distinct(), "needle-candidates")
+    full = known.select("item_id", "needle").distinct()
+    near = t.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, "doc_id").join(F.broadcast(full) if size[1] <= BROADCAST_BYTES else full, "item_id")
+    types = {f.name: f.dataType for f in near.schema}
+    schema = T.StructType([*(T.StructField(x, types[x]) for x in ("doc_id", "item_id")), *(T.StructField(x, T.LongType()) for x in ("at", "line_start", "line_end"))])
+    return near.select("doc_id", "item_id", "text", "needle").mapInArrow(_found, schema)
 
 
 def span_targets(spans: DataFrame, nodes: DataFrame, bucket: int | None = None) -> DataFrame:

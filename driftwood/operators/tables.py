@@ -83,6 +83,15 @@ def json_report(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("report"))
 
 
+def json_sink(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Writes rows as JSON lines, one file per partition."""
+    rows.write.mode(mode).json(path)
+
+
+def json_source(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def json_read(reports: DataFrame, schema: T.StructType) -> DataFrame:
     return reports.select(F.from_json("report", schema).alias("r")).select("r.*")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from driftwood.operators import tables as t
 from driftwood.plans import views as v
 from driftwood.plans.views import TTL, with_views
 from driftwood.sources.tables import live_table, table
+from driftwood.sources.workspace import shared_dir, written
 from driftwood.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +105,24 @@ def json_report(s, d):
     return t.json_read(t.json_report(e, "event_id"), e.schema)
 
 
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'signup' THEN 'stop' WHEN value > 250 THEN 'large' ELSE 'edit' END AS mode FROM events")
+def event_router_stream(s, d):
+    """The events as a stream, split into one folder per mode."""
+    rules = [(F.col("event_type") == "error", "failure"), (F.col("event_type") == "signup", "stop"), (F.col("value") > 250, "large")]
+    at = f"{shared_dir(s)}/routed-{uuid.uuid4().hex}"
+    streams.routed(live_table(s, d, "events").select("event_id", "event_type", "value"), rules, "edit", at, f"{at}-state").awaitTermination()
+    return s.read.schema("event_id long, mode string").parquet(at)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def json_sink(s, d):
+    """Written as JSON lines and read back."""
+    e = table(s, d, "events").select("event_id", "user_id", "event_type")
+    at = f"{shared_dir(s)}/json-{uuid.uuid4().hex}"
+    t.json_sink(e, at)
+    return t.json_source(s, at, e.schema)
+
+
 # Projections, predicates, scalars
 
 
@@ -262,10 +283,10 @@ def merkle_root(s, d):
     return drift.merkle_root(v.chunks(s, d), ["source"], "doc_id")
 
 
-@query(with_views(_ROOT.format(g="source, ", c="(SELECT * FROM chunks WHERE line_no <= 2)", by=" GROUP BY source"), "chunks"))
+@query(with_views(_ROOT.format(g="source, ", c="(SELECT * FROM chunks WHERE kind <> 'benign')", by=" GROUP BY source"), "chunks"))
 def merkle_of_nodes(s, d):
     c = v.chunks(s, d)
-    return drift.merkle_of_nodes(c, c.where("line_no <= 2").select("node_id"), ["source"], file="doc_id")
+    return drift.merkle_of_nodes(c, c.where("kind <> 'benign'").select("node_id"), ["source"], file="doc_id")
 
 
 _VIEW = "SELECT source, sha256(string_agg(tok, '|' ORDER BY tok)) AS digest FROM (SELECT source, node_id || ':' || content_hash AS tok FROM {}) GROUP BY source"
@@ -297,13 +318,19 @@ def cascade_progress(s, d):
     return leases.cascade_progress(rows, rows.where("l_linestatus = 'F'"))
 
 
-_CYCLE = ", reach(a, b) AS (SELECT src, dst FROM wait_edges UNION SELECT r.a, e.dst FROM reach r JOIN wait_edges e ON r.b = e.src), members AS (SELECT a AS node FROM reach WHERE a = b) "
+_CYCLE = ", reach(a, b) AS (SELECT src, dst FROM wait_edges UNION SELECT r.a, e.dst FROM reach r JOIN wait_edges e ON r.b = e.src), members AS (SELECT a AS node FROM reach WHERE a = b), cycles AS (SELECT r.a AS node, min(r.b) AS cycle FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a GROUP BY r.a) "
 
 
-@query(with_views(_CYCLE + "SELECT (node % 4)::BIGINT AS cycle, arg_min(node, struct_pack(p := node % 3, n := node)) AS victim FROM members GROUP BY node % 4", "wait_edges", recursive=True))
+@query(with_views(_CYCLE + "SELECT cycle, arg_min(node, struct_pack(p := node % 3, n := node)) AS victim FROM cycles GROUP BY cycle", "wait_edges", recursive=True))
 def cycle_victim(s, d):
-    m = wait_cycles(s, d)
-    return leases.cycle_victim(m.select((F.col("node") % 4).alias("cycle"), F.col("node").alias("agent"), (F.col("node") % 3).alias("priority")))
+    """A victim for each group of agents that wait for each other in rings."""
+    m = graph.cycle_components(wait_for_edges(s, d))
+    return leases.cycle_victim(m.select("cycle", F.col("node").alias("agent"), (F.col("node") % 3).alias("priority")))
+
+
+@query(with_views(_CYCLE + "SELECT node, cycle FROM cycles", "wait_edges", recursive=True))
+def cycle_components(s, d):
+    return graph.cycle_components(wait_for_edges(s, d))
 
 
 _FLAGS = """, flags AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, bool_or(a.node_id IS NOT NULL) AND bool_or(a.node_id IS NULL OR b.node_id IS NULL) AS ids_changed,
@@ -351,10 +378,7 @@ def dependents_order(s, d):
 
 @query(with_views("SELECT doc_id, line_no, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) AS place FROM chunks", "chunks"))
 def nodes_in_order(s, d):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "line_no"))
-    return v.chunks(s, d).select("doc_id", "line_no", place.cast("long").alias("place"))
+    return drift.places_in_order(v.chunks(s, d), ["source"], "doc_id", "line_no").select("doc_id", "line_no", F.col("place").cast("long").alias("place"))
 
 
 @query("""WITH both_lists AS (SELECT doc_id AS path, 0 AS list, doc_id AS ordinal FROM documents WHERE doc_id % 13 = 0 UNION ALL SELECT doc_id, 1, -doc_id FROM labels)
@@ -432,7 +456,7 @@ def stale_nodes(s, d):
     return drift.stale_nodes(v.chunks(s, d), v.chunks(s, d, 2), ["source", "doc_id"], ["doc_id", "node_id"])
 
 
-_DRIFT = """, base AS (SELECT source AS agent, doc_id || '::1' AS lease_node, node_id, content_hash FROM chunks), visited AS (SELECT DISTINCT source AS agent, c.node_id FROM labels JOIN chunks c USING (doc_id) WHERE quality = 0),
+_DRIFT = """, base AS (SELECT source AS agent, doc_id || '::1' AS lease_node, node_id, content_hash FROM chunks UNION ALL SELECT source, doc_id || '::__file__', node_id, content_hash FROM chunks WHERE doc_id % 5 = 0 AND line_no = 2), visited AS (SELECT DISTINCT source AS agent, c.node_id FROM labels JOIN chunks c USING (doc_id) WHERE quality = 0),
   drifted AS (SELECT b.agent, lease_node, b.node_id, n.node_id IS NULL AS missing FROM base b LEFT JOIN chunks2 n USING (node_id) LEFT JOIN visited o ON o.agent = b.agent AND o.node_id = b.node_id
   WHERE (o.node_id IS NULL OR b.node_id = lease_node) AND n.content_hash IS DISTINCT FROM b.content_hash) """
 
@@ -441,6 +465,10 @@ _DRIFT = """, base AS (SELECT source AS agent, doc_id || '::1' AS lease_node, no
 def snapshot_drift(s, d):
     c = v.chunks(s, d)
     base = c.select(F.col("source").alias("agent"), F.concat(F.col("doc_id").cast("string"), F.lit("::1")).alias("lease_node"), "node_id", "content_hash")
+    # a lease on a whole file also captures the mark of that file, which is in no index
+    whole = c.where("doc_id % 5 = 0").select(F.col("source").alias("agent"), F.concat(F.col("doc_id").cast("string"), F.lit("::__file__")).alias("lease_node"), "node_id", "content_hash", "line_no")
+    marks = whole.where("line_no = 1").select("agent", "lease_node", F.col("lease_node").alias("node_id"), "content_hash")
+    base = base.unionByName(whole.where("line_no = 2").drop("line_no")).unionByName(marks)
     own = c.join(table(s, d, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi").select(F.col("source").alias("agent"), "node_id")
     return drift.snapshot_drift(base, v.chunks(s, d, 2), own)
 
@@ -460,28 +488,41 @@ def restore_plan(s, d):
 
 # Contracts
 
-_BODY = "CASE WHEN ts < TIMESTAMP '2024-01-15' THEN props WHEN event_type = 'error' THEN replace(props, '\"k\"', '\"k2\"') WHEN event_type = 'click' THEN replace(props, '}', ', \"extra\": true}') ELSE props END"
-_PATHS = """SELECT event_type AS entity, '$' AS path, 'OBJECT' AS type FROM e WHERE {w} UNION SELECT entity, '$.' || key, CASE json_type(body, '$.' || key) WHEN 'UBIGINT' THEN 'BIGINT' ELSE json_type(body, '$.' || key) END
-  FROM (SELECT event_type AS entity, body, unnest(json_keys(body)) AS key FROM e WHERE {w})"""
-_E = f"WITH e AS (SELECT event_type, ts, {_BODY} AS body FROM events), old AS ({_PATHS.format(w="ts < TIMESTAMP '2024-01-15'")}), new AS ({_PATHS.format(w="ts >= TIMESTAMP '2024-01-15'")})"
-_CHECK = ", checked AS (SELECT entity, count(*) FILTER (WHERE types IS NULL) AS n_missing, count(*) FILTER (WHERE types IS NOT NULL AND NOT list_contains(types, o.type)) AS n_mismatched FROM old o LEFT JOIN (SELECT entity, path, list(type) AS types FROM new GROUP BY ALL) USING (entity, path) GROUP BY entity) "
+#: Records of four levels, as SQL for both engines. Later ones lack a key, have another type inside, a number for null, more keys, or in half of them no object.
+_BODY = """CASE WHEN NOT early AND event_id % 23 = 0 THEN NULL ELSE '{' || CASE WHEN NOT early AND event_type = 'error' THEN '"k2": ' ELSE '"k": ' END || k
+  || CASE WHEN NOT early AND event_type = 'signup' AND event_id % 2 = 0 THEN '' ELSE ', "a": {"b": {"c": {"d": ' || CASE WHEN NOT early AND event_type = 'view' THEN '"' || k || '"' ELSE k END || '}}}' END
+  || ', "n": ' || CASE WHEN NOT early AND event_type = 'purchase' THEN '5' ELSE 'null' END || ', "l": ' || CASE WHEN NOT early AND event_type = 'purchase' THEN '[1]' ELSE '[]' END
+  || ', "m": ' || CASE WHEN NOT early AND event_type = 'signup' AND event_id % 4 = 1 THEN '[]' ELSE '[{"x": 1.5}]' END
+  || CASE WHEN event_id % 2 = 0 THEN ', "o": 1' ELSE '' END || CASE WHEN NOT early AND event_type = 'click' THEN ', "extra": true' ELSE '' END || '}' END"""
+_SPOTS = ["$", "$.k", "$.k2", "$.a", "$.a.b", "$.a.b.c", "$.a.b.c.d", "$.n", "$.l", "$.l.[]", "$.m", "$.m.[]", "$.m.[].x", "$.o", "$.extra"]
+_VALUES = ", ".join("('{}', '{}', {})".format(x, x.replace(".[]", "[0]"), f"'{x[:-3]}'" if x.endswith(".[]") else "NULL::VARCHAR") for x in _SPOTS)
+_E = f"""WITH raw AS (SELECT event_id, event_type, user_id, ts < TIMESTAMP '2024-01-15' AS early, json_extract(props, '$.k')::VARCHAR AS k FROM events),
+  e AS (SELECT event_type AS entity, early, {_BODY} AS body FROM raw), spots(path, spot, lst) AS (VALUES {_VALUES}),
+  typed AS (SELECT entity, early, path, CASE WHEN lst IS NOT NULL AND json_array_length(body, lst) = 0 THEN 'UNKNOWN' ELSE json_type(body, spot) END AS t FROM e, spots WHERE body IS NOT NULL),
+  types AS (SELECT entity, early, path, CASE t WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' ELSE t END AS type FROM typed WHERE t IS NOT NULL),
+  totals AS (SELECT entity, early, count(*) AS n FROM types WHERE path = '$' GROUP BY ALL)"""
+_CHECK = """, required AS (SELECT entity, path, list(DISTINCT type) AS allowed FROM types JOIN totals USING (entity, early) WHERE early GROUP BY entity, path, n HAVING count(*) = n),
+  here AS (SELECT r.entity, r.path, count(t.type) AS n, count(*) FILTER (WHERE t.type IS NOT NULL AND NOT list_contains(allowed, 'UNKNOWN') AND NOT list_contains(allowed, t.type)) AS wrong
+    FROM required r LEFT JOIN (FROM types WHERE NOT early) t USING (entity, path) GROUP BY ALL),
+  checked AS (SELECT entity, max(c.n) AS n_records, sum(c.n - h.n)::BIGINT AS n_missing, sum(wrong)::BIGINT AS n_mismatched FROM here h JOIN (FROM totals WHERE NOT early) c USING (entity) GROUP BY entity)"""
 
 
 def _bodies(s, d):
-    kind, early = F.col("event_type"), F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
-    body = F.when(early, F.col("props")).when(kind == "error", F.replace("props", F.lit('"k"'), F.lit('"k2"'))).when(kind == "click", F.replace("props", F.lit("}"), F.lit(', "extra": true}'))).otherwise(F.col("props"))
-    return table(s, d, "events").select("event_id", "event_type", "user_id", early.alias("early"), body.alias("body"))
+    k, early = F.get_json_object("props", "$.k"), F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    return table(s, d, "events").select("event_id", "event_type", "user_id", early.alias("early"), k.alias("k")).withColumn("body", F.expr(_BODY))
 
 
-@query(_E + " SELECT entity, path, type FROM new")
+@query(_E + " SELECT entity, path, type, count(*) AS n_records FROM types WHERE NOT early GROUP BY ALL")
 def infer_structure(s, d):
     return contracts.infer_structure(_bodies(s, d).where("not early"), "event_type", "body")
 
 
-@query(_E + _CHECK + "SELECT entity, n_missing, n_mismatched, n_missing + n_mismatched = 0 AS satisfied FROM checked")
+@query(_E + _CHECK + " SELECT entity, n_records, n_missing, n_mismatched, n_missing + n_mismatched = 0 AS satisfied FROM checked")
 def superset_check(s, d):
+    """Later records against the paths that all earlier ones have."""
     e = _bodies(s, d)
-    return contracts.superset_check(*(contracts.infer_structure(e.where(x), "event_type", "body") for x in ("early", "not early")))
+    old, new = (contracts.infer_structure(e.where(x), "event_type", "body") for x in ("early", "not early"))
+    return contracts.superset_check(contracts.required_paths(old), new)
 
 
 @query(_E + _CHECK + """, uses AS (SELECT DISTINCT user_id::VARCHAR AS u, event_type FROM events)
@@ -513,6 +554,68 @@ def direct_external(s, d):
     return refs.join(listed, "path", "left").groupBy("page_id").agg(F.bool_or(F.col("listed").isNotNull()).alias("external"))
 
 
+#: Links of pages as bindings of names: the first letter of a link is bound to its word; the last binding of a page holds.
+_BOUND = """WITH refs AS (SELECT page_id, unnest(r) AS ref, generate_subscripts(r, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS r FROM pages)),
+  bound AS (SELECT page_id, pos, substr(word, 1, 1) AS name, word FROM (SELECT page_id, pos, rtrim(substr(ref, 2), ',.') AS word FROM refs))"""
+
+
+def _bindings(s, d):
+    refs = table(s, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("pos", "ref"))
+    word = F.regexp_replace(F.expr("substring(ref, 2)"), "[,.]+$", "")
+    return refs.select(
+        F.col("page_id").cast("string").alias("path"), F.lit("import").alias("record"), F.substring(word, 1, 1).alias("name"), word.alias("a"), F.lit(None).cast("string").alias("b"),
+        F.lit(0).alias("level"), (F.col("pos") + 1).alias("position"), (F.col("pos") + 1).alias("line_start"),
+    )
+
+
+@query(_BOUND + " SELECT page_id, name, arg_max(word, pos) AS module FROM bound GROUP BY ALL")
+def import_aliases(s, d):
+    out = corpus.import_aliases(_bindings(s, d).withColumn("a", F.concat("a", F.lit(".part"))))
+    return out.select(F.col("path").cast("long").alias("page_id"), "name", "module")
+
+
+@query(_BOUND + f""", {_KNOWN} SELECT page_id, name, arg_max(word, pos) || '.py' AS file, name AS symbol FROM bound WHERE '/' || word IN (SELECT path FROM known) GROUP BY ALL""")
+def bound_symbols(s, d):
+    files = _words(s, d).select(F.concat(F.expr("substring(path, 2)"), F.lit(".py")).alias("path"))
+    out = corpus.bound_symbols(_bindings(s, d).withColumn("b", F.col("name")), files)
+    return out.select(F.col("path").cast("long").alias("page_id"), "name", "file", "symbol")
+
+
+@query("""WITH calls AS (SELECT event_type AS name, 'u' || user_id AS path, props AS args, event_id FROM events WHERE value > 20)
+  SELECT name, arg_min(path, struct_pack(p := path, e := event_id)) AS path, arg_min(args, struct_pack(p := path, e := event_id)) AS args FROM calls GROUP BY name""")
+def call_site_args(s, d):
+    """For each kind of event the first call, by user and event, whose arguments are known."""
+    e = table(s, d, "events")
+    args = F.when(F.col("value") > 20, F.col("props"))
+    calls = e.select(F.lit("call").alias("record"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.concat(F.lit("mod."), "event_type").alias("a"), args.alias("b"), F.col("event_id").alias("line_start"), F.lit(0).alias("position"))
+    return corpus.call_site_args(e.select(F.col("event_type").alias("name")).distinct(), calls)
+
+
+_CALLS = """links AS (SELECT page_id AS src, page_id // 2 - pos AS dst FROM refs WHERE pos <= 3), edges AS (SELECT l.* FROM links l JOIN pages p ON p.page_id = l.dst WHERE src <> dst),
+  lab AS (SELECT page_id AS node FROM pages WHERE page_id % 50 IN (3, 4) UNION SELECT src FROM lab JOIN edges ON dst = lab.node)"""
+
+
+@query(_BOUND.replace("WITH", "WITH RECURSIVE", 1) + f", {_CALLS} SELECT node AS page_id FROM lab")
+def cross_file_labels(s, d):
+    """Pages as files of one function, which calls those of the pages that its first links stand for; some call out, some are known to."""
+    refs = _bindings(s, d).where("position <= 3")
+    name, none, no = (lambda x: F.concat(F.lit("p"), x.cast("string"))), F.lit(None).cast("string"), F.lit(0)
+    pages = table(s, d, "pages").select("page_id")
+    path = lambda x: F.concat(name(x), F.lit(".py"))
+    record = lambda kind, of, n, a, b: [of.alias("path"), F.lit(kind).alias("record"), n.alias("name"), a.alias("a"), b.alias("b"), no.alias("level"), no.alias("position"), no.alias("line_start")]
+    page, target = F.col("path").cast("long"), F.expr("cast(path as long) div 2 - position")
+    fun = F.concat(F.lit("f"), F.col("position").cast("string"))
+    out = pages.where("page_id % 50 = 3")
+    parts = [
+        pages.select(*record("node", path(F.col("page_id")), F.lit("main"), F.lit("main"), none)), refs.select(*record("import", path(page), fun, name(target), F.lit("main"))), refs.select(*record("call", path(page), F.lit("main"), fun, none)),
+        out.select(*record("import", path(F.col("page_id")), F.lit("net"), F.lit("requests"), none)), out.select(*record("call", path(F.col("page_id")), F.lit("main"), F.lit("net.get"), none)),
+    ]
+    records = written(reduce(DataFrame.unionAll, parts), "page-records")
+    extra = pages.where("page_id % 50 = 4").select(F.concat(path(F.col("page_id")), F.lit("::main")).alias("node_id"))
+    got = corpus.external_functions(records, pages.select(path(F.col("page_id")).alias("path")), extra=extra)
+    return got.select(F.regexp_extract("node_id", "^p([0-9]+)", 1).cast("long").alias("page_id"))
+
+
 # Leases in time and streams
 
 _REPLAY = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY sec, event_id) AS n FROM {log}),
@@ -554,6 +657,18 @@ def agent_release_fanout(s, d):
     return leases.lease_replay(leases.agent_release_fanout(v.events(s, d)), TTL).select("resource", "event_id", "outcome")
 
 
+_END = """, held AS (SELECT DISTINCT agent % 5 AS session, agent, resource FROM log WHERE op = 'acquire'), ends AS (SELECT agent % 5 AS session, sec, event_id FROM log WHERE op = 'stop' AND event_id % 50 = 0),
+  ops AS (SELECT resource, sec, event_id, agent, op FROM log WHERE op IN ('acquire', 'release', 'failure') UNION ALL SELECT h.resource, e.sec, e.event_id, h.agent, 'release' FROM ends e JOIN held h USING (session))"""
+
+
+@query(with_views(_END + _REPLAY.format(log="ops", lazy=_EAGER) + "SELECT resource, event_id, outcome FROM run WHERE n > 0", "log", recursive=True))
+def session_release_fanout(s, d):
+    """The end of a session releases what its agents hold."""
+    log = v.events(s, d).withColumns({"session": F.col("agent") % 5, "op": F.when((F.col("op") == "stop") & (F.col("event_id") % 50 == 0), "end").otherwise(F.col("op"))})
+    ops = log.where("op in ('acquire', 'release', 'failure', 'end')")
+    return leases.lease_replay(leases.session_release_fanout(ops), TTL).select("resource", "event_id", "outcome")
+
+
 @query(with_views(_FIRST.replace("event_id FROM (SELECT *", "min(event_id) AS n_first FROM (SELECT *").replace(" WHERE n = 1", " GROUP BY ALL"), "log").replace("min(event_id) AS n_first", "true AS visited"))
 def traversal_dedupe(s, d):
     return streams.traversal_dedupe(v.events(s, d).select("agent", "resource"), ["agent", "resource"]).withColumn("visited", F.lit(True))
@@ -565,45 +680,52 @@ def contention_rate(s, d):
     return streams.contention_rate(out, "ts").select(F.col("start").cast("date").cast("string").alias("day"), "n_block", "n_events")
 
 
-@query(ORACLES["lease_replay"])
+@query(with_views(_OPS + _REPLAY.format(log="ops", lazy=_EAGER) + """, done AS (SELECT DISTINCT r.resource, r.expires, r.holder FROM run r LEFT JOIN ranked k ON k.resource = r.resource AND k.n = r.n + 1 WHERE r.holder IS NOT NULL AND (k.sec IS NULL OR k.sec > r.expires))
+  SELECT resource, event_id, replace(outcome, '_after_expiry', '') AS outcome, NULL::BIGINT AS holder, NULL::BIGINT AS expired FROM run WHERE n > 0 UNION ALL SELECT resource, NULL, 'expired', holder, expires FROM done""", "log", recursive=True))
 def lease_stream(s, d):
-    """The events as a file stream, through the stateful operator."""
-    live = v.as_log(live_table(s, d, "events")).where("op in ('acquire', 'release', 'failure')")
-    return streams.drained(streams.lease_stream(live, TTL)).select("event_id", "outcome")
+    """The events as a stream of four micro-batches in which they are up to a day out of order, then a tick long after the last one."""
+    log, day = _ops(s, d).select("resource", "sec", "event_id", "agent", "op"), 86400
+    first, last = log.agg(F.min("sec"), F.max("sec")).first()
+    place = F.col("sec") + F.pmod(F.xxhash64("event_id"), F.lit(day)) - (first or 0)
+    log = written(log.withColumn("part", F.floor(place * 4 / ((last or 0) - (first or 0) + day + 1))), "lease-log")
+    tick = log.agg(F.max("sec").alias("sec")).select(F.lit(-1).cast("long").alias("resource"), (F.col("sec") + TTL + 3 * day).alias("sec"), *(F.lit(-1).cast("long").alias(x) for x in ("event_id", "agent")), F.lit("tick").alias("op"))
+    live = streams.staged([*(log.where(F.col("part") == i).drop("part") for i in range(4)), tick])
+    out = streams.drained(streams.lease_stream(live, TTL, "1 day"))
+    gone = F.col("outcome") == "expired"
+    return out.select("resource", "event_id", "outcome", F.when(gone, F.col("agent")).alias("holder"), F.when(gone, F.col("sec")).alias("expired"))
 
 
 @query(with_views("SELECT DISTINCT agent, resource, true AS visited FROM log", "log"))
 def traversal_dedupe_stream(s, d):
-    live = v.as_log(live_table(s, d, "events")).select("agent", "resource")
-    return streams.drained(streams.traversal_dedupe(live, ["agent", "resource"])).withColumn("visited", F.lit(True))
+    """A visit is forgotten after a year, so that state ends; the events span less."""
+    live = v.as_log(live_table(s, d, "events")).select("agent", "resource", F.timestamp_seconds("sec").alias("at"))
+    return streams.drained(streams.traversal_dedupe(live, ["agent", "resource"], "at", "365 days")).select("agent", "resource").withColumn("visited", F.lit(True))
 
 
-@query(with_views("SELECT b.node_id, a.content_hash AS baseline_hash, b.content_hash FROM chunks a JOIN chunks2 b USING (node_id) WHERE a.content_hash <> b.content_hash", "chunks", "chunks2"))
+@query(with_views("SELECT a.node_id, a.content_hash AS baseline_hash, b.content_hash FROM chunks a LEFT JOIN chunks2 b USING (node_id) WHERE a.content_hash IS DISTINCT FROM b.content_hash", "chunks", "chunks2"))
 def drift_monitor(s, d):
-    """The second version arrives as a stream and is held against the first."""
+    """The second version arrives as a stream and is held against the first; every seventh document is deleted."""
     live = live_table(s, d, "documents")
-    i = F.col("doc_id")
-    text = F.when(i % 13 == 0, F.concat(F.lit("X"), "text")).when(i % 11 == 0, F.concat("text", F.lit("\nappended"))).otherwise(F.col("text"))
-    now = corpus.segment_lines(live.where(i % 7 != 0).select("doc_id", text.alias("text")))
-    base = v.chunks(s, d).select("node_id", F.col("content_hash").alias("baseline_hash"))
-    return streams.drained(streams.drift_monitor(now.select("node_id", "content_hash"), base))
+    nodes = corpus.line_map(F.col("doc_id").cast("string"), v.text_v2())
+    gone = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    changes = live.select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 7 == 0, gone).otherwise(nodes).alias("nodes"))
+    base = v.chunks(s, d).select(F.col("doc_id").alias("file"), "node_id", F.col("content_hash").alias("baseline_hash"))
+    return streams.drained(streams.drift_monitor(changes, base)).select("node_id", "baseline_hash", "content_hash")
 
 
-@query(with_views("SELECT doc_id::VARCHAR AS file, node_id, content_hash FROM chunks WHERE doc_id % 7 <> 0", "chunks"))
+@query(with_views(_FLAGS + """, gone AS (SELECT doc_id FROM documents WHERE doc_id % 7 = 0) SELECT 'node' AS what, node_id AS a, content_hash AS b FROM chunks2
+  UNION ALL SELECT 'edge', doc_id::VARCHAR, (doc_id // 2)::VARCHAR FROM documents WHERE doc_id % 7 <> 0 AND doc_id <> doc_id // 2 AND doc_id // 2 NOT IN (FROM gone)
+  UNION ALL SELECT 'refresh', doc_id::VARCHAR, '' FROM documents WHERE doc_id <> doc_id // 2 AND doc_id // 2 IN (SELECT doc_id FROM flags WHERE ids_changed OR kinds_changed OR deleted)""", "chunks", "chunks2"))
 def index_stream(s, d):
-    """Documents arrive as change events; every seventh is taken out again."""
-    import uuid
-
-    from driftwood.sources.workspace import shared_dir
-
-    live = live_table(s, d, "documents")
-    changes = live.select(F.col("doc_id").cast("string").alias("file"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 7 == 0, "unlink").otherwise("change").alias("event"), "text")
-    at = f"{shared_dir(s)}/index-{uuid.uuid4().hex}"
-    segment = lambda x: corpus.segment_lines(x, "file").select("file", "node_id", "content_hash")
-    q = streams.index_stream(changes, at, segment, f"{at}-state")
-    q.awaitTermination()
-    last = max((p["batchId"] for p in q.recentProgress), default=0)
-    return s.read.parquet(f"{at}/v{last}")
+    """Both versions of the documents arrive as change events; every seventh document is taken out, and most are as they were. Each document depends on the one with half of its id."""
+    docs, i = table(s, d, "documents"), F.col("doc_id")
+    change = lambda seq, event, text: docs.select(i.cast("string").alias("file"), F.lit(seq).cast("long").alias("seq"), event.alias("event"), text.alias("text"))
+    live = streams.staged([change(1, F.lit("change"), F.col("text")), change(2, F.when(i % 7 == 0, "unlink").otherwise("change"), v.text_v2())])
+    index = streams.Index(s, f"{shared_dir(s)}/index-{uuid.uuid4().hex}")
+    half = lambda x: x.select(F.col("file").alias("src"), F.expr("cast(cast(file as long) div 2 as string)").alias("dst")).where("src <> dst")
+    streams.index_stream(live, index, lambda x: v.with_kind(corpus.segment_lines(x, "file")), half, f"{index.path}/state").awaitTermination()
+    nodes, edges, refresh = (index.read(x) for x in ("nodes", "edges", "refresh"))
+    return nodes.select(F.lit("node").alias("what"), F.col("node_id").alias("a"), F.col("content_hash").alias("b")).unionAll(edges.select(F.lit("edge"), "src", "dst")).unionAll(refresh.select(F.lit("refresh"), "file", F.lit("")))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,16 +15,23 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("source", "doc_id", "text")
 
 
-def documents_v2(spark: SparkSession, folder: str) -> DataFrame:
-    """Some documents are gone, some have another first line, some have one line more."""
+def text_v2() -> Column:
+    """Some documents have another first line, some have one line more."""
     i = F.col("doc_id")
-    text = F.when(i % 13 == 0, F.concat(F.lit("X"), "text")).when(i % 11 == 0, F.concat("text", F.lit("\nappended"))).otherwise(F.col("text"))
-    return documents(spark, folder).where(i % 7 != 0).select("source", "doc_id", text.alias("text"))
+    return F.when(i % 13 == 0, F.concat(F.lit("X"), "text")).when(i % 11 == 0, F.concat("text", F.lit("\nappended"))).otherwise(F.col("text"))
+
+
+def documents_v2(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``text_v2``; some documents are gone."""
+    return documents(spark, folder).where(F.col("doc_id") % 7 != 0).select("source", "doc_id", text_v2().alias("text"))
+
+
+def with_kind(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("kind", F.when(F.col("line_no") == 1, "structural").when(F.col("content_hash").like("0%"), "external").otherwise("benign"))
 
 
 def chunks(spark: SparkSession, folder: str, version: int = 1) -> DataFrame:
-    docs = (documents if version == 1 else documents_v2)(spark, folder)
-    return segment_lines(docs).withColumn("kind", F.when(F.col("line_no") == 1, "structural").when(F.col("content_hash").like("0%"), "external").otherwise("benign"))
+    return with_kind(segment_lines((documents if version == 1 else documents_v2)(spark, folder)))
 
 
 def fk_edges(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftwood.sources.workspace import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a folder, by any path that Spark can read."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -47,6 +47,45 @@ def test_occurrences(spark, rows):
     assert rows(spans.occurrence_scan(texts, needles)) == [(1, 7, 1, 1, 1), (1, 7, 2, 1, 1), (2, 8, 8, 2, 3)]
 
 
+def test_occurrences_are_brute_force_and_linear(spark):
+    import random
+    import time
+
+    rng = random.Random(1)
+    say = lambda n: "".join(rng.choice("ab \n\té") for _ in range(n))
+    texts = [(i, say(rng.randint(0, 120))) for i in range(60)] + [(99, "aab ab " * 50)]
+    needles = [(i, say(rng.choice((1, 2, 3, 5, 9)))) for i in range(40)] + [(50, "ab aab ab aab"), (51, "b aab ab a"), (52, " "), (53, "b aab")]
+    want = set()
+    for d, text in texts:
+        for n, needle in needles:
+            for at in range(len(text) - len(needle) + 1):
+                if needle and text.startswith(needle, at):
+                    start = text.count("\n", 0, at) + 1
+                    want.add((d, n, at + 1, start, start + needle.count("\n")))
+    found = spans.occurrence_scan(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), spark.createDataFrame(needles, "item_id long, text string"))
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert not any(x in found._jdf.queryExecution().toString() for x in ("CartesianProduct", "BroadcastNestedLoopJoin"))
+    long = spark.createDataFrame([(1, "one two three four\n" + "word and more text " * 2 + "\n") for _ in range(1)], "doc_id long, text string").withColumn("text", F.repeat("text", 20_000))
+    began = time.time()
+    out = spans.occurrence_scan(long, spark.createDataFrame([(1, "two three four")], "item_id long, text string")).agg(F.count("*"), F.max("line_start")).first()
+    assert tuple(out) == (20_000, 39_999) and time.time() - began < 20
+
+
+def test_components(spark, rows):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (6, 7), (8, 8), (0, 1), (9, 10), (10, 9), (7, 9)]
+    got = graph.cycle_components(spark.createDataFrame(edges, "src long, dst long"))
+    assert rows(got) == [(1, 1), (10, 9), (2, 1), (3, 1), (4, 4), (5, 4), (8, 8), (9, 9)]
+    assert graph.cycle_components(spark.createDataFrame(edges[3:4], "src long, dst long")).isEmpty()
+    assert {r.node for r in graph.wait_cycles(spark.createDataFrame(edges, "src long, dst long"), 2).collect()} == {4, 5, 8, 9, 10}
+
+
+def test_session_end(spark):
+    log = spark.createDataFrame([("s", 1, 0, 0, 5, "acquire"), ("s", 2, 1, 1, 6, "acquire"), ("t", 3, 1, 2, 7, "acquire"), ("s", None, 2, 3, 5, "end"), ("t", 1, 3, 4, 7, "acquire")], "session string, resource long, sec long, event_id long, agent long, op string")
+    got = {(r.resource, r.event_id, r.outcome) for r in leases.lease_replay(leases.session_release_fanout(log), 30).collect()}
+    assert got == {(1, 0, "grant"), (2, 1, "grant"), (3, 2, "grant"), (1, 3, "release"), (2, 3, "release"), (1, 4, "grant")}
+
+
 def test_impact(spark, nodes, edges, rows):
     changed = spark.createDataFrame([("b", "me")], "file string, agent string")
     held = spark.createDataFrame([("a::g", "other")], "node_id string, holder string")
@@ -88,22 +127,68 @@ def test_replay(log, evict, last):
     assert [r.outcome for r in got] == [*OUT, last]
 
 
-def test_stream_equals_replay(spark, log, rows, tmp_path):
-    log.coalesce(1).write.parquet(str(tmp_path / "log"))
-    live = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
-    assert rows(streams.drained(streams.lease_stream(live, 30))) == rows(leases.lease_replay(log, 30))
+OPS = "resource long, sec long, event_id long, agent long, op string"
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2], [0, 2, 1], [2, 0, 1]])
+def test_stream_equals_replay(spark, order):
+    """Three micro-batches in wrong order, within the watermark's delay, then a tick; all leases end in a release or expire."""
+    day = 86400
+    log = [(r, s + 100, i, {"A": 1, "B": 2}[a], op) for r in (1, 2) for i, (s, a, op) in enumerate(LOG)] + [(3, 5, 50, None, "acquire"), (4, 20, 51, 7, "acquire"), (None, 6, 52, 8, "acquire"), (None, 7, 53, 9, "acquire")]
+    parts = [spark.createDataFrame([x for j, x in enumerate(log) if j % 3 == i], OPS) for i in order]
+    tick = spark.createDataFrame([(-1, 9 * day, -1, -1, "tick")], OPS)
+    got = streams.drained(streams.lease_stream(streams.staged([*parts, tick], 1), 30)).collect()
+    replay = {(r.resource, r.event_id): r.outcome.replace("_after_expiry", "") for r in leases.lease_replay(spark.createDataFrame(log, OPS), 30).collect()}
+    assert {(r.resource, r.event_id): r.outcome for r in got if r.op != "expired"} == replay and replay[None, 53] == "block"
+    assert sorted(((r.resource, r.sec, r.agent) for r in got if r.op == "expired"), key=str) == [(1, 142, 1), (1, 182, 1), (2, 142, 1), (2, 182, 1), (4, 50, 7), (None, 36, 8)]
+
+
+def test_late_events_and_forgotten_visits(spark):
+    parts = [[(1, 1000, 1, 5, "acquire")], [(1, 900_000, 2, 6, "acquire")], [(1, 10, 3, 7, "acquire")], [(-1, 2_000_000, -1, -1, "tick")]]
+    live = streams.staged([spark.createDataFrame(x, OPS) for x in parts], 1)
+    got = streams.drained(streams.lease_stream(live, 30)).where("op <> 'expired'").collect()
+    assert {(r.event_id, r.outcome) for r in got} == {(1, "grant"), (2, "grant"), (3, "late")}
+    visits = [spark.createDataFrame(x, "agent string, node string, at timestamp") for x in spark_days()]
+    out = streams.drained(streams.traversal_dedupe(streams.staged(visits, 1), ["agent", "node"], "at", "1 day"))
+    assert sorted(r.at.day for r in out.collect()) == [1, 20, 25]
+
+
+def spark_days():
+    import datetime
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    return [[("a", "x", day(1))], [("a", "y", day(20))], [("a", "x", day(25))], [("a", "x", day(25))]]
 
 
 def test_index_stream(spark, rows, tmp_path):
-    spark.createDataFrame([("f", 1, "change", "a"), ("f", 2, "change", "b\nc"), ("g", 3, "change", "x"), ("g", 4, "unlink", None)], "file string, seq long, event string, text string").coalesce(1).write.parquet(str(tmp_path / "c"))
-    live = spark.readStream.schema("file string, seq long, event string, text string").parquet(str(tmp_path / "c"))
-    segment = lambda x: corpus.segment_lines(x, "file").select("file", "node_id")
-    for part in ("a", "b"):
-        streams.index_stream(live, str(tmp_path / "index"), segment, str(tmp_path / "state")).awaitTermination()
-        if part == "a":
-            assert rows(spark.read.parquet(str(tmp_path / "index" / "v0"))) == [("f", "f::1"), ("f", "f::2")]
-            spark.createDataFrame([("f", 5, "unlink", None), ("h", 6, "change", "q")], "file string, seq long, event string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
-    assert rows(spark.read.parquet(str(tmp_path / "index" / "v1"))) == [("h", "h::1")]
+    schema = "file string, seq long, event string, text string"
+    parts = [
+        [("f", 1, "change", "a"), ("f", 2, "change", "b\ng"), ("g", 3, "change", "x"), ("h", 4, "change", "g"), ("k", 5, "change", "f"), ("m", 6, "unlink", None)],
+        [("f", 7, "change", "b\ng"), ("g", 8, "unlink", None), ("k", 9, "change", "f\nh")],
+    ]
+    index = streams.Index(spark, str(tmp_path / "index"), buckets=3)
+    segment = lambda x: corpus.segment_lines(x, "file").withColumn("kind", F.lit("benign"))
+    links = lambda x: x.select(F.col("file").alias("src"), F.explode(F.split("text", "\n")).alias("dst")).where("length(dst) = 1 and dst between 'f' and 'm'")
+    streams.index_stream(streams.staged([spark.createDataFrame(x, schema) for x in parts], 1), index, segment, links, str(tmp_path / "state")).awaitTermination()
+    assert rows(index.read("nodes").select("node_id")) == [("f::1",), ("f::2",), ("h::1",), ("k::1",), ("k::2",)]
+    assert rows(index.read("edges").select("src", "dst")) == [("k", "f"), ("k", "h")]  # those to g went with it
+    assert rows(index.read("refresh").select("batch", "file")) == [(1, "f"), (1, "h")]
+
+
+def test_drift_monitor_reports_missing_nodes(spark, rows, tmp_path):
+    spark.createDataFrame([("f", {"f::1": "h1", "f::2": "H"}), ("g", {})], "file string, nodes map<string,string>").coalesce(1).write.parquet(str(tmp_path / "c"))
+    live = spark.readStream.schema("file string, nodes map<string,string>").parquet(str(tmp_path / "c"))
+    base = spark.createDataFrame([("f", "f::1", "h1"), ("f", "f::2", "h2"), ("f", "f::3", "h3"), ("g", "g::1", "h4"), ("z", "z::1", "h5")], "file string, node_id string, baseline_hash string")
+    got = streams.drained(streams.drift_monitor(live, base))
+    assert rows(got.select("node_id", "content_hash")) == [("f::2", "H"), ("f::3", None), ("g::1", None)]
+
+
+def test_routed(spark, rows, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, t string").write.parquet(str(tmp_path / "e"))
+    live = spark.readStream.schema("id long, t string").parquet(str(tmp_path / "e"))
+    streams.routed(live, [(F.col("t") == "a", "x"), (F.col("t") < "c", "y")], "z", str(tmp_path / "o"), str(tmp_path / "s")).awaitTermination()
+    assert sorted(x.name for x in (tmp_path / "o").iterdir() if x.name.startswith("mode")) == ["mode=x", "mode=y", "mode=z"]
+    assert rows(spark.read.parquet(str(tmp_path / "o" / "mode=y")).select("id")) == [(2,)]
 
 
 @pytest.mark.parametrize(
@@ -117,6 +202,24 @@ def test_drift(spark, now, own, want):
     assert {r.node_id for r in drift.snapshot_drift(base, current, seen).collect()} == set(want.split())
 
 
+def test_whole_file_marks_are_no_nodes(spark):
+    base = spark.createDataFrame([("A", "f::__file__", "f::__file__", "h1"), ("A", "f::__file__", "f::1", "h2")], "agent string, lease_node string, node_id string, content_hash string")
+    now = spark.createDataFrame([("f::1", "h2")], "node_id string, content_hash string")
+    assert drift.snapshot_drift(base, now, now.where("false").selectExpr("'A' as agent", "node_id")).isEmpty()
+
+
+def test_null_groups(spark, rows):
+    nodes = spark.createDataFrame([(None, "a", 1, "h1"), (None, "b", 1, "h2"), (None, "b", 2, "h3"), ("g", "c", 1, "h4")], "g string, file string, line_no int, content_hash string")
+    sha = lambda *h: hashlib.sha256("".join(h).encode()).hexdigest()
+    want = [("g", sha(sha("h4"))), (None, sha(sha("h1"), sha("h2", "h3")))]
+    assert sorted(rows(drift.merkle_root(nodes, ["g"])), key=str) == sorted(want, key=str)
+    assert drift.view_digest(nodes.withColumn("d", F.when(F.col("g").isNull(), float("nan"))), ["g", "d"], "file", "content_hash").count() == 2
+    log = spark.createDataFrame([(None, 1, 1, 5, "acquire"), (None, 2, 2, 6, "acquire"), (None, 3, 3, None, "release"), (None, 4, 4, 5, "release")], OPS)
+    assert [r.outcome for r in leases.lease_replay(log, 30).orderBy("event_id").collect()] == ["grant", "block", "noop", "release"]
+    placed = drift.places_in_order(nodes.repartition(3), ["g"], "file", "line_no")
+    assert rows(placed.select("g", "file", "line_no", "place")) == [("g", "c", 1, 1), (None, "a", 1, 1), (None, "b", 1, 2), (None, "b", 2, 3)]
+
+
 def test_merkle(spark, nodes, rows):
     leaf = lambda *h: hashlib.sha256("".join(h).encode()).hexdigest()
     root = leaf(leaf("h1", "h2", "h3"), leaf("h4"), leaf("h5"))
@@ -129,7 +232,7 @@ def test_merkle(spark, nodes, rows):
 
 @pytest.mark.parametrize(
     ("required", "actual", "ok"),
-    [("x:int", "x:int y:str", True), ("x:int y:str", "x:int", False), ("$:int", "$:float", False), ("$:bool", "$:int", False), ("$:ARRAY $.[]:VOID", "$:ARRAY $.[]:int", True), ("$:ARRAY $.[]:int", "$:ARRAY $.[]:VOID", False)],
+    [("x:int", "x:int y:str", True), ("x:int y:str", "x:int", False), ("$:int", "$:float", False), ("$:bool", "$:int", False), ("$:ARRAY $.[]:UNKNOWN", "$:ARRAY $.[]:int", True), ("$:ARRAY $.[]:int", "$:ARRAY $.[]:UNKNOWN", False), ("x:NULL", "x:int", False), ("x:NULL", "x:NULL", True)],
 )
 def test_superset(spark, required, actual, ok):
     frame = lambda x: spark.createDataFrame([("e", *y.split(":")) for y in x.split()], "entity string, path string, type string")
@@ -137,8 +240,19 @@ def test_superset(spark, required, actual, ok):
 
 
 def test_structure(spark, rows):
-    got = contracts.infer_structure(spark.createDataFrame([("e", '{"a": [1, "x"], "b": {"c": true}}'), ("e", "not json"), ("f", None)], "e string, j string"), "e", "j")
-    assert rows(got) == [("e", "$", "OBJECT"), ("e", "$.a", "ARRAY"), ("e", "$.a.[]", "BIGINT"), ("e", "$.b", "OBJECT"), ("e", "$.b.c", "BOOLEAN")]
+    got = contracts.infer_structure(spark.createDataFrame([("e", '{"a": [1, "x"], "b": {"c": true}, "n": null, "l": [], "f": 1.0, "g": 12345678901234567890}'), ("e", "not json"), ("f", None)], "e string, j string"), "e", "j")
+    want = [("$", "OBJECT"), ("$.a", "ARRAY"), ("$.a.[]", "BIGINT"), ("$.b", "OBJECT"), ("$.b.c", "BOOLEAN"), ("$.f", "DOUBLE"), ("$.g", "BIGINT"), ("$.l", "ARRAY"), ("$.l.[]", "UNKNOWN"), ("$.n", "NULL")]
+    assert rows(got) == [("e", *x, 1) for x in want]
+
+
+def test_records_that_lack_a_path(spark):
+    shape = lambda *x: contracts.infer_structure(spark.createDataFrame([("e", y) for y in x], "e string, j string"), "e", "j")
+    required = contracts.required_paths(shape('{"a": 1, "o": 1}', '{"a": null}'))
+    assert {(r.path, r.type) for r in required.collect()} == {("$", "OBJECT"), ("$.a", "BIGINT"), ("$.a", "NULL")}
+    check = lambda *x: contracts.superset_check(required, shape(*x)).first()
+    assert check('{"a": 1}', '{"b": 2}')[1:] == (2, 1, 0, False)
+    assert check('{"a": 1}', '{"a": "x", "b": 1}', '{"a": null}')[1:] == (3, 0, 1, False)
+    assert check('{"a": 1, "c": []}')[1:] == (1, 0, 0, True)
 
 
 def test_structure_has_no_last_level(spark):
