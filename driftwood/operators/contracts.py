@@ -23,25 +23,31 @@ def infer_structure(rows: DataFrame, entity: str, json_col: str, depth: int | No
 
     '$' is the value itself, '[]' a list's first element, which is UNKNOWN in an
     empty list; JSON null is a type of its own (NULL). n_records: how many records
-    have that type there; null and unreadable values are no records. Each round opens the objects and lists of one level; those inside them
-    are written for the next round. Only emptiness reaches the driver.
+    have that type there; null and unreadable values are no records. Each round
+    opens the objects and lists of one level and writes what is inside. Only
+    emptiness reaches the driver.
     """
-    level = rows.select(F.col(entity).alias("entity"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null").withColumn("type", _type("v"))
-    counted = lambda x: x.groupBy("entity", "path", "type").agg(F.count("*").alias("n_records"))
-    out, i = counted(level), 0
+    inside = F.col("type").isin("OBJECT", "ARRAY")
+
+    def opened(level: DataFrame) -> DataFrame:
+        return written(level.select("entity", "path", F.when(inside, F.col("v")).alias("v"), "type"), "structure")
+
+    level = rows.select(F.col(entity).alias("entity"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null")
+    level = opened(level.withColumn("type", _type("v")))
+    out, i = level, 0
+    items = F.expr(
+        "CASE WHEN type = 'OBJECT' THEN map_entries(try_cast(v AS map<string, variant>)) "
+        "WHEN type = 'ARRAY' THEN array(named_struct('key', '[]', 'value', try_variant_get(v, '$[0]', 'variant'))) END"
+    )
     while depth is None or i < depth:
         i += 1
-        items = F.expr(
-            "CASE WHEN type = 'OBJECT' THEN map_entries(try_cast(v AS map<string, variant>)) "
-            "WHEN type = 'ARRAY' THEN array(named_struct('key', '[]', 'value', try_variant_get(v, '$[0]', 'variant'))) END"
-        )
-        inner = level.select("entity", "path", "type", F.explode(items).alias("x")).select("entity", F.concat_ws(".", "path", "x.key").alias("path"), F.col("x.value").alias("v"), F.col("type").alias("of"))
-        inner = inner.where("v is not null or of = 'ARRAY'").withColumn("type", F.when(F.col("v").isNull(), UNKNOWN).otherwise(_type("v"))).drop("of")
-        out = out.unionAll(counted(inner))
-        level = written(inner.where("type IN ('OBJECT', 'ARRAY')"), "structure")
+        inner = level.where(inside).select("entity", "path", "type", F.explode(items).alias("x")).select("entity", F.concat_ws(".", "path", "x.key").alias("path"), F.col("x.value").alias("v"), F.col("type").alias("of"))
+        inner = inner.where("v is not null or of = 'ARRAY'").withColumn("type", F.when(F.col("v").isNull(), UNKNOWN).otherwise(_type("v")))
+        level = opened(inner)
         if level.isEmpty():
             break
-    return out
+        out = out.unionAll(level)
+    return out.groupBy("entity", "path", "type").agg(F.count("*").alias("n_records"))
 
 
 def required_paths(structure: DataFrame) -> DataFrame:
