@@ -37,8 +37,9 @@ from driftwood.llm import bytes_
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches and pairs of pieces that a worker remembers (150 MB of each at most, in every Python worker), and the longest such stretch.
-REMEMBERED, LONGEST = 500_000, 64
+#: Stretches that a generation of a worker's memory has, pairs of pieces that it remembers (with two generations some 250 MB in
+#: every Python worker), and the longest stretch that is remembered.
+REMEMBERED, LONGEST = 400_000, 64
 NEVER = float("-inf")
 #: Stands for the start and for a character outside of the vocabulary, which nothing merges with.
 NOTHING = -1
@@ -236,16 +237,15 @@ class Search:
 
 
 class _Memory(dict):
-    """Ids, as bytes, of stretches of text."""
+    """Ids, as bytes, of stretches of text, in two generations: what was used since the last turn, and before that."""
 
     def __init__(self, pieces: Pieces) -> None:
         super().__init__()
         self.pieces = pieces
+        self.old: dict[str, bytes] = {}
 
     def learn(self, stretches: set[str]) -> None:
         """Searches stretches that are not known. In their order each goes on from the characters that it shares with the one before."""
-        if len(self) + len(stretches) > REMEMBERED:
-            self.clear()
         search, before = Search(self.pieces), ""
         for stretch in sorted(stretches):
             same = 0
@@ -259,7 +259,17 @@ class _Memory(dict):
             self[stretch] = array("i", search.finish()).tobytes()
             before = stretch
 
+    def turn(self) -> None:
+        """Forgets what has not been used for a generation, once the present one is full."""
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
     def __missing__(self, stretch: str) -> bytes:
+        known = self.old.get(stretch)
+        if known is not None:
+            self[stretch] = known
+            return known
         search = Search(self.pieces)
         search.feed(stretch)
         return array("i", search.finish()).tobytes()
@@ -279,13 +289,14 @@ def encode_texts(path: str, texts: Iterable[str | None]) -> Iterator[np.ndarray]
     """The ids of some texts, whose new short stretches are searched together; long ones are searched where they stand."""
     memory = _memory(path)
     split = [_stretches(memory.pieces, text) for text in texts]
-    memory.learn({x for stretches in split for x in stretches if len(x) <= LONGEST and x not in memory})
+    memory.learn({x for stretches in split for x in stretches if x not in memory and x not in memory.old and len(x) <= LONGEST})
     for stretches in split:
         yield np.frombuffer(b"".join([memory[x] for x in stretches]), np.int32)
+    memory.turn()
 
 
 def encode_text(path: str, text: str | None) -> np.ndarray:
-    return next(encode_texts(path, [text]))
+    return list(encode_texts(path, [text]))[0]
 
 
 def decode_ids(path: str, ids: Iterable[int]) -> str:
