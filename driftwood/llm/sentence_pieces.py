@@ -37,9 +37,9 @@ from driftwood.llm import bytes_
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches that a generation of a worker's memory has, pairs of pieces that it remembers (with two generations some 250 MB in
-#: every Python worker), and the longest stretch that is remembered.
-REMEMBERED, LONGEST = 400_000, 64
+#: Stretches in a generation of a worker's memory and pairs of pieces that it knows (some 90 MB together in every Python
+#: worker), and the longest stretch that is remembered.
+REMEMBERED, PAIRS, LONGEST = 150_000, 300_000, 64
 NEVER = float("-inf")
 #: Stands for the start and for a character outside of the vocabulary, which nothing merges with.
 NOTHING = -1
@@ -89,8 +89,9 @@ class Pieces:
             self.text[i] = bytes([b])
         self.worst = min(self.score, default=0.0) - 10.0
         joined = {c for p in self.ids if len(p) > 1 for c in p}
-        alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in joined)
-        self.stretch = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]") if alone else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in joined and c != " ")
+        # with spaces for marks: a string without other wide characters takes a byte for each
+        self.stretch = re.compile(f" *[^ {alone}]+| +|[{alone}]") if alone else re.compile(" *[^ ]+| +")
         self.splits = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.piece = [p.piece for p in model.pieces]
         self.known: dict[int, bool] = {}  # by the ids of two neighbours
@@ -116,7 +117,7 @@ class Pieces:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a BPE model leaves piece b to the right of a (NOTHING: of no piece), where a fits what is before it."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > PAIRS:
             self.known.clear()
         left, right = self.piece[a] if a >= 0 else "", self.piece[b]
         found = self.known[a << 32 | b] = (len(right) == 1 or self.last_merge(right) is not None) and not (left and self._meet(left, right))
@@ -248,16 +249,16 @@ class _Memory(dict):
         """Searches stretches that are not known. In their order each goes on from the characters that it shares with the one before."""
         search, before = Search(self.pieces), ""
         for stretch in sorted(stretches):
-            same = 0
-            for a, b in zip(before, stretch, strict=False):
+            marked, same = stretch.replace(" ", MARK), 0
+            for a, b in zip(before, marked, strict=False):
                 if a != b:
                     break
                 same += 1
             if not search.rewind(same):
                 search, same = Search(self.pieces), 0
-            search.feed(stretch[same:])
+            search.feed(marked[same:])
             self[stretch] = array("i", search.finish()).tobytes()
-            before = stretch
+            before = marked
 
     def turn(self) -> None:
         """Forgets what has not been used for a generation, once the present one is full."""
@@ -271,7 +272,7 @@ class _Memory(dict):
             self[stretch] = known
             return known
         search = Search(self.pieces)
-        search.feed(stretch)
+        search.feed(stretch.replace(" ", MARK))
         return array("i", search.finish()).tobytes()
 
 
@@ -281,8 +282,8 @@ def _memory(path: str) -> _Memory:
 
 
 def _stretches(p: Pieces, text: str | None) -> list[str]:
-    marked = (MARK if p.prefix else "") + text.replace(" ", MARK) if text else ""
-    return p.stretch.findall(marked) if p.splits else [marked] if marked else []
+    spaced = (" " if p.prefix else "") + text.replace(MARK, " ") if text else ""
+    return p.stretch.findall(spaced) if p.splits else [spaced] if spaced else []
 
 
 def encode_texts(path: str, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
