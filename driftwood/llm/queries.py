@@ -11,6 +11,7 @@ from driftwood.llm.html_extract import main_text
 from driftwood.llm.license_scan import LICENSE_RULES, SENTENCES, license_scan
 from driftwood.llm.line_dedup import line_dedup
 from driftwood.llm.near_dedup import near_duplicates
+from driftwood.llm.ngram_join import jaccard_components
 from driftwood.llm.quality_rules import quality
 from driftwood.llm.sentence_pieces import encoded
 from driftwood.llm.token_counts import section_tokens
@@ -258,6 +259,27 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
+
+
+def op12_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    out = jaccard_components(table(spark, folder, "documents"), percent=80, k=5)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM d WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * o >= 80 * (p.n + q.n - o)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT r.a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.b) AS component_id FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.a GROUP BY r.a
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -269,6 +291,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
@@ -278,4 +301,5 @@ ORACLES = {
     "op7_benchmark_decontamination": OP7_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op12_ngram_jaccard_join": OP12_SQL,
 }
