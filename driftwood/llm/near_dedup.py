@@ -181,7 +181,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(x).to_numpy() for x in keys]
+        cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in keys]
         new = np.zeros(batch.num_rows, bool)
         for x in cols:
             new[1:] |= x[1:] != x[:-1]

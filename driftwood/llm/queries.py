@@ -14,6 +14,7 @@ from driftwood.llm.near_dedup import near_duplicates
 from driftwood.llm.ngram_join import jaccard_components
 from driftwood.llm.quality_rules import quality
 from driftwood.llm.sentence_pieces import encoded
+from driftwood.llm.token_align import token_alignment
 from driftwood.llm.token_counts import section_tokens
 from driftwood.llm.url_filters import host_of, path_of, url_filtered
 from driftwood.sources.tables import table
@@ -280,6 +281,11 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM reach r
 SELECT r.a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.b) AS component_id FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.a GROUP BY r.a
 """
 
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment(table(spark, folder, "documents")).drop("text_hash")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -292,6 +298,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
