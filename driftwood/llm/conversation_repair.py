@@ -43,7 +43,7 @@ BLANK, DUPLICATE, TRUNCATED_FAULT = 1, 2, 3
 
 def fault_of(text, again):
     """The first fault of a row's text; ``again``: its role and text came before."""
-    bare = F.regexp_replace(text, r"[\x20\x09-\x0D]+\z", "")
+    bare = F.rtrim(text, F.lit(" \t\n\x0b\x0c\r"))
     last = F.substring(bare, -1, 1)
     return F.when(bare == "", BLANK).when(again, DUPLICATE).when(~last.isin(".", "!", "?"), TRUNCATED_FAULT).otherwise(0)
 
@@ -251,11 +251,11 @@ def repaired(conversations: DataFrame) -> DataFrame:
     empty table. A long conversation streams through one task, as its digest
     reads it in sequence; see the module.
     """
-    order = ["turn", "role", "text", "copy"]
     rows = damaged(conversations).repartition("conv_id")
     seen = Window.partitionBy("conv_id", "role", "text").orderBy(F.col("copy").isNull(), "turn", "copy")
-    again = F.row_number().over(seen) > 1
-    rows = rows.select("conv_id", *order, F.substring("role", 1, 1).alias("initial"), fault_of(F.col("text"), again).alias("fault"))
-    schema = "conv_id long, turn long, role string, text string, copy int, initial string, fault int"
+    rows = rows.withColumn("nth", F.row_number().over(seen))  # tells equal rows apart
+    rows = rows.select("conv_id", "turn", "role", "text", "nth", "copy", F.substring("role", 1, 1).alias("initial"), fault_of(F.col("text"), F.col("nth") > 1).alias("fault"))
+    schema = "conv_id long, turn long, role string, text string, nth int, copy int, initial string, fault int"
+    order = ["turn", "role", "text", "nth"]
     costed = rows.sortWithinPartitions("conv_id", *(F.col(x).desc() for x in order)).mapInArrow(_costs, schema + ", togo array<long>")
     return costed.sortWithinPartitions("conv_id", *order).mapInArrow(_repaired, "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")

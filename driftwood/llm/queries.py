@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.llm.chat_format import chat_digests, chat_segments
+from driftwood.llm.conversation_repair import STEP, WANTED, repaired
 from driftwood.llm.decontaminate import contamination
 from driftwood.llm.html_extract import main_text
 from driftwood.llm.license_scan import LICENSE_RULES, SENTENCES, license_scan
@@ -262,6 +263,72 @@ FROM marked GROUP BY doc_id
 
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired(table(spark, folder, "conversations"))
+
+
+_NEVER = "struct_pack(c := 1000000000000, a := '', r := []::VARCHAR[])"
+_WAY = "struct_pack(c := v[{to}].c + {cost}, a := '{edit}' || v[{to}].a, r := {rows})"
+_WITH = "list_prepend({role} || ':' || text, v[{to}].r)"
+_NAMES = {"u": "'user'", "a": "'assistant'"}
+
+
+def _ways(state: int) -> str:
+    """The cheapest way to take a row in a state, in SQL; v has the ways after it, by state."""
+    ways = [_WAY.format(to=state + 1, cost=4, edit="D", rows=f"v[{state + 1}].r")]
+    for (at, initial), to in STEP.items():
+        if at == state:
+            keep = _WAY.format(to=to + 1, cost="extra", edit="K", rows=_WITH.format(role="role", to=to + 1))
+            ways.append(f"CASE WHEN fault IN (1, 2) OR initial <> '{initial}' THEN {_NEVER} ELSE {keep} END")
+    to = STEP[state, WANTED[state]] + 1
+    again = _WAY.format(to=to, cost="3 + extra", edit="R", rows=_WITH.format(role=_NAMES[WANTED[state]], to=to))
+    ways.append(f"CASE WHEN fault IN (1, 2) THEN {_NEVER} ELSE {again} END")
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _inserted(state: int) -> str:
+    to = STEP[state, WANTED[state]] + 1
+    return f"list_min([v[{state + 1}], {_WAY.format(to=to, cost=3, edit='I', rows=f'list_prepend({_NAMES[WANTED[state]]} || chr(58), v[{to}].r)')}])"
+
+
+_INSERTED = "[" + ", ".join(map(_inserted, range(4))) + "]"
+OP11_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS k
+  FROM conversations, crc
+), dealt AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE k WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM base
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS initial, rtrim(text, {_GAPS}) AS bare FROM dealt
+), faults AS (
+  SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+         count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+), walk(conv_id, i, v) AS (
+  SELECT conv_id, n, (SELECT {_INSERTED} FROM (SELECT {_INSERTED} AS v FROM (SELECT [struct_pack(c := 0, a := '', r := []::VARCHAR[]), {_NEVER}, {_NEVER}, struct_pack(c := 0, a := '', r := []::VARCHAR[])] AS v))) FROM counted
+  UNION ALL
+  SELECT conv_id, i, {_INSERTED} FROM (
+    SELECT conv_id, i, {_INSERTED} AS v FROM (
+      SELECT w.conv_id, w.i - 1 AS i, [{", ".join(map(_ways, range(4)))}] AS v FROM walk w JOIN (SELECT *, CASE fault WHEN 3 THEN 3 ELSE 0 END AS extra FROM faults) f ON f.conv_id = w.conv_id AND f.i = w.i
+    )
+  )
+)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(v[1].c, 0)::BIGINT AS cost, coalesce(v[1].a, '') AS audit, sha256(coalesce(array_to_string(v[1].r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) b LEFT JOIN counted USING (conv_id) LEFT JOIN (SELECT * FROM walk WHERE i = 0) USING (conv_id)
+"""
+
+
 def op12_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     out = jaccard_components(table(spark, folder, "documents"), percent=80, k=5)
     return out.select("doc_id", "n_shingles", "component_id")
@@ -297,6 +364,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
@@ -308,5 +376,6 @@ ORACLES = {
     "op7_benchmark_decontamination": OP7_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op12_ngram_jaccard_join": OP12_SQL,
 }
