@@ -9,45 +9,66 @@ from driftwood.sources.workspace import written
 
 #: The type of what an empty list would hold: in a required structure it matches any other.
 UNKNOWN = "UNKNOWN"
+#: Levels that one pass opens.
+LEVELS = 8
 
 
-def _type(v: str) -> Column:
+def _type(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, BIGINT (whole numbers of any size), DOUBLE (numbers with a point or exponent, 1.0 too) or NULL (JSON null)."""
     full = F.schema_of_variant(v)
     kind = F.regexp_extract(full, "^[A-Z]+", 0)
     return F.when(kind == "VOID", "NULL").when(full.rlike(r"^DECIMAL\((19|[23]\d),0"), "BIGINT").when(kind == "DECIMAL", "DOUBLE").otherwise(kind)
 
 
+def step(key: Column) -> Column:
+    """A key as a step of a path: .key if it is a plain name, else quoted, so that no two paths look alike."""
+    quoted = F.concat(F.lit('["'), F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"]'))
+    return F.when(key.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z"), F.concat(F.lit("."), key)).otherwise(quoted)
+
+
+def _found(path: Column, type_: Column, v: Column) -> Column:
+    """A place with its type; v stays only where there is something to be opened."""
+    return F.struct(path.alias("path"), type_.alias("type"), F.when(type_.isin("OBJECT", "ARRAY"), v).alias("v"))
+
+
+def _opened() -> Column:
+    """A row's place, and the places inside of its value if that has not been opened: an array of structs (path, type, v)."""
+    at, kind, v = F.col("path"), F.col("type"), F.col("v")
+    keys = F.map_entries(F.expr("try_cast(v AS map<string, variant>)"))
+    items = F.transform(keys, lambda x: _found(F.concat(at, step(x["key"])), _type(x["value"]), x["value"]))
+    first = F.expr("try_variant_get(v, '$[0]', 'variant')")
+    element = F.array(_found(F.concat(at, F.lit("[]")), F.when(first.isNull(), UNKNOWN).otherwise(_type(first)), first))
+    own = F.array(F.struct(at.alias("path"), kind.alias("type"), F.lit(None).cast("variant").alias("v")))
+    return F.when(v.isNull(), own).when(kind == "OBJECT", F.concat(own, items)).otherwise(F.concat(own, element))
+
+
 def infer_structure(rows: DataFrame, entity: str, json_col: str, depth: int | None = None) -> DataFrame:
     """(entity, path, type, n_records) of JSON values down to ``depth`` levels (None: all).
 
-    '$' is the value itself, '[]' a list's first element, which is UNKNOWN in an
-    empty list; JSON null is a type of its own (NULL). n_records: how many records
-    have that type there; null and unreadable values are no records. Each round
-    opens the objects and lists of one level and writes what is inside. Only
-    emptiness reaches the driver.
+    '$' is the value itself; '.name' follows for a key, or '["any key"]' if it is
+    no plain name; '[]' is a list's first element, which is UNKNOWN in an empty
+    list. JSON null is a type of its own (NULL). n_records: how many records have
+    that type there; null and unreadable values are no records. ``entity`` may be
+    a column of any type that can be grouped, a struct too.
+
+    LEVELS levels are opened in one pass over the values; only what lies deeper
+    takes another one. Only emptiness reaches the driver.
     """
-    inside = F.col("type").isin("OBJECT", "ARRAY")
-
-    def opened(level: DataFrame) -> DataFrame:
-        return written(level.select("entity", "path", F.when(inside, F.col("v")).alias("v"), "type"), "structure")
-
-    level = rows.select(F.col(entity).alias("entity"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null")
-    level = opened(level.withColumn("type", _type("v")))
-    out, i = level, 0
-    items = F.expr(
-        "CASE WHEN type = 'OBJECT' THEN map_entries(try_cast(v AS map<string, variant>)) "
-        "WHEN type = 'ARRAY' THEN array(named_struct('key', '[]', 'value', try_variant_get(v, '$[0]', 'variant'))) END"
-    )
-    while depth is None or i < depth:
-        i += 1
-        inner = level.where(inside).select("entity", "path", "type", F.explode(items).alias("x")).select("entity", F.concat_ws(".", "path", "x.key").alias("path"), F.col("x.value").alias("v"), F.col("type").alias("of"))
-        inner = inner.where("v is not null or of = 'ARRAY'").withColumn("type", F.when(F.col("v").isNull(), UNKNOWN).otherwise(_type("v")))
-        level = opened(inner)
-        if level.isEmpty():
+    v = F.col("v")
+    now = rows.select(F.col(entity).alias("entity"), F.try_parse_json(json_col).alias("v")).where("v is not null").select("entity", F.inline(F.array(_found(F.lit("$"), _type(v), v))))
+    done, left = [], depth
+    while True:
+        for _ in range(LEVELS if left is None else min(LEVELS, left)):
+            now = now.select("entity", F.inline(_opened()))
+        now = written(now, "structure")
+        left = None if left is None else max(0, left - LEVELS)
+        if left == 0 or now.where("v is not null").isEmpty():
             break
-        out = out.unionAll(level)
-    return out.groupBy("entity", "path", "type").agg(F.count("*").alias("n_records"))
+        done.append(now.where("v is null"))
+        now = now.where("v is not null")
+    for x in done:
+        now = now.unionAll(x)
+    return now.groupBy("entity", "path", "type").agg(F.count("*").alias("n_records"))
 
 
 def required_paths(structure: DataFrame) -> DataFrame:

@@ -488,14 +488,16 @@ def restore_plan(s, d):
 
 # Contracts
 
-#: Records of four levels, as SQL for both engines. Later ones lack a key, have another type inside, a number for null, more keys, or in half of them no object.
+#: Records of four levels, as SQL for both engines. Later ones lack a key, have another type inside, a number for null, more keys, a level for a
+#: dotted key, or in half of them no object.
 _BODY = """CASE WHEN NOT early AND event_id % 23 = 0 THEN NULL ELSE '{' || CASE WHEN NOT early AND event_type = 'error' THEN '"k2": ' ELSE '"k": ' END || k
   || CASE WHEN NOT early AND event_type = 'signup' AND event_id % 2 = 0 THEN '' ELSE ', "a": {"b": {"c": {"d": ' || CASE WHEN NOT early AND event_type = 'view' THEN '"' || k || '"' ELSE k END || '}}}' END
   || ', "n": ' || CASE WHEN NOT early AND event_type = 'purchase' THEN '5' ELSE 'null' END || ', "l": ' || CASE WHEN NOT early AND event_type = 'purchase' THEN '[1]' ELSE '[]' END
   || ', "m": ' || CASE WHEN NOT early AND event_type = 'signup' AND event_id % 4 = 1 THEN '[]' ELSE '[{"x": 1.5}]' END
+  || CASE WHEN NOT early AND event_type = 'error' THEN ', "p": {"q": 1}' ELSE ', "p.q": 1' END || ', "[]": 1'
   || CASE WHEN event_id % 2 = 0 THEN ', "o": 1' ELSE '' END || CASE WHEN NOT early AND event_type = 'click' THEN ', "extra": true' ELSE '' END || '}' END"""
-_SPOTS = ["$", "$.k", "$.k2", "$.a", "$.a.b", "$.a.b.c", "$.a.b.c.d", "$.n", "$.l", "$.l.[]", "$.m", "$.m.[]", "$.m.[].x", "$.o", "$.extra"]
-_VALUES = ", ".join("('{}', '{}', {})".format(x, x.replace(".[]", "[0]"), f"'{x[:-3]}'" if x.endswith(".[]") else "NULL::VARCHAR") for x in _SPOTS)
+_SPOTS = ["$", "$.k", "$.k2", "$.a", "$.a.b", "$.a.b.c", "$.a.b.c.d", "$.n", "$.l", "$.l[]", "$.m", "$.m[]", "$.m[].x", "$.o", "$.extra", '$["p.q"]', "$.p", "$.p.q", '$["[]"]']
+_VALUES = ", ".join("('{}', '{}', {})".format(x, x.replace("[]", "[0]") if x.endswith("[]") or "[]." in x else x.replace('["', '."').replace('"]', '"'), f"'{x[:-2]}'" if x.endswith("[]") else "NULL::VARCHAR") for x in _SPOTS)
 _E = f"""WITH raw AS (SELECT event_id, event_type, user_id, ts < TIMESTAMP '2024-01-15' AS early, json_extract(props, '$.k')::VARCHAR AS k FROM events),
   e AS (SELECT event_type AS entity, early, {_BODY} AS body FROM raw), spots(path, spot, lst) AS (VALUES {_VALUES}),
   typed AS (SELECT entity, early, path, CASE WHEN lst IS NOT NULL AND json_array_length(body, lst) = 0 THEN 'UNKNOWN' ELSE json_type(body, spot) END AS t FROM e, spots WHERE body IS NOT NULL),
@@ -520,8 +522,8 @@ def infer_structure(s, d):
 @query(_E + _CHECK + " SELECT entity, n_records, n_missing, n_mismatched, n_missing + n_mismatched = 0 AS satisfied FROM checked")
 def superset_check(s, d):
     """Later records against the paths that all earlier ones have."""
-    e = _bodies(s, d)
-    old, new = (contracts.infer_structure(e.where(x), "event_type", "body") for x in ("early", "not early"))
+    both = contracts.infer_structure(_bodies(s, d).withColumn("side", F.struct("event_type", "early")), "side", "body")
+    old, new = (both.where(x).withColumn("entity", F.col("entity.event_type")) for x in ("entity.early", "not entity.early"))
     return contracts.superset_check(contracts.required_paths(old), new)
 
 

@@ -232,7 +232,7 @@ def test_merkle(spark, nodes, rows):
 
 @pytest.mark.parametrize(
     ("required", "actual", "ok"),
-    [("x:int", "x:int y:str", True), ("x:int y:str", "x:int", False), ("$:int", "$:float", False), ("$:bool", "$:int", False), ("$:ARRAY $.[]:UNKNOWN", "$:ARRAY $.[]:int", True), ("$:ARRAY $.[]:int", "$:ARRAY $.[]:UNKNOWN", False), ("x:NULL", "x:int", False), ("x:NULL", "x:NULL", True)],
+    [("x:int", "x:int y:str", True), ("x:int y:str", "x:int", False), ("$:int", "$:float", False), ("$:bool", "$:int", False), ("$:ARRAY $[]:UNKNOWN", "$:ARRAY $[]:int", True), ("$:ARRAY $[]:int", "$:ARRAY $[]:UNKNOWN", False), ("x:NULL", "x:int", False), ("x:NULL", "x:NULL", True)],
 )
 def test_superset(spark, required, actual, ok):
     frame = lambda x: spark.createDataFrame([("e", *y.split(":")) for y in x.split()], "entity string, path string, type string")
@@ -241,7 +241,7 @@ def test_superset(spark, required, actual, ok):
 
 def test_structure(spark, rows):
     got = contracts.infer_structure(spark.createDataFrame([("e", '{"a": [1, "x"], "b": {"c": true}, "n": null, "l": [], "f": 1.0, "g": 12345678901234567890}'), ("e", "not json"), ("f", None)], "e string, j string"), "e", "j")
-    want = [("$", "OBJECT"), ("$.a", "ARRAY"), ("$.a.[]", "BIGINT"), ("$.b", "OBJECT"), ("$.b.c", "BOOLEAN"), ("$.f", "DOUBLE"), ("$.g", "BIGINT"), ("$.l", "ARRAY"), ("$.l.[]", "UNKNOWN"), ("$.n", "NULL")]
+    want = [("$", "OBJECT"), ("$.a", "ARRAY"), ("$.a[]", "BIGINT"), ("$.b", "OBJECT"), ("$.b.c", "BOOLEAN"), ("$.f", "DOUBLE"), ("$.g", "BIGINT"), ("$.l", "ARRAY"), ("$.l[]", "UNKNOWN"), ("$.n", "NULL")]
     assert rows(got) == [("e", *x, 1) for x in want]
 
 
@@ -255,13 +255,29 @@ def test_records_that_lack_a_path(spark):
     assert check('{"a": 1, "c": []}')[1:] == (1, 0, 0, True)
 
 
+def test_keys_are_compared_level_by_level(spark):
+    shape = lambda x: contracts.infer_structure(spark.createDataFrame([("e", x)], "e string, j string"), "e", "j")
+    pairs = ['{"a.b": 1}', '{"a": {"b": 1}}', '{"a": {"[]": 1}}', '{"a": [1]}', r'{"a\"][\"b": 1}', '{"a[]": 1}', '{"": 1}', '{"\\n": 1}']
+    for x in pairs:
+        required = contracts.required_paths(shape(x))
+        assert [contracts.superset_check(required, shape(y)).first().satisfied for y in pairs] == [x == y for y in pairs], x
+
+
+def test_structure_beyond_one_pass(spark):
+    deep = '{"a": ' * 20 + "[[1]]" + "}" * 20
+    shape = lambda depth: {(r.path, r.type): r.n_records for r in contracts.infer_structure(spark.createDataFrame([("e", deep), ("e", '{"a": 1}')], "e string, j string"), "e", "j", depth).collect()}
+    whole = shape(None)
+    assert len(whole) == 24 and whole["$", "OBJECT"] == 2 and whole["$" + ".a" * 20 + "[][]", "BIGINT"] == 1 and whole["$.a", "BIGINT"] == 1
+    assert shape(9) == {k: n for k, n in whole.items() if k[0].count(".") <= 9} and shape(0) == {("$", "OBJECT"): 2}
+
+
 def test_structure_has_no_last_level(spark):
     def shape(x):
         return contracts.infer_structure(spark.createDataFrame([("e", x), ("f", '{"k": 1}')], "e string, j string"), "e", "j")
 
     deep = '{"a": {"b": {"c": {"d": [[{"x": %s}]]}}}}'
     got = {(r.entity, r.path): r.type for r in shape(deep % "1").collect()}
-    assert got["e", "$.a.b.c.d.[].[].x"] == "BIGINT" and got["f", "$.k"] == "BIGINT" and len(got) == 10
+    assert got["e", "$.a.b.c.d[][].x"] == "BIGINT" and got["f", "$.k"] == "BIGINT" and len(got) == 10
     checks = [contracts.superset_check(shape(deep % "1"), shape(x)).where("entity = 'e'").first() for x in (deep % "1", deep % '"1"', deep.replace("x", "y") % "1")]
     assert [(c.n_missing, c.n_mismatched, c.satisfied) for c in checks] == [(0, 0, True), (0, 1, False), (1, 0, False)]
 
