@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwood.sources.workspace import shipped
+
 ESCAPE = "\\"
 
 
@@ -119,5 +121,5 @@ def _digested(template: Template):
 
 def chat_digests(segments: DataFrame, template: Template | None = None) -> DataFrame:
     """What a reader of the formatted output finds, per conversation; segments stream by in order."""
-    rows = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no", "seg").select("conv_id", "text", "loss", "valid")
+    rows = shipped(segments).repartition("conv_id").sortWithinPartitions("conv_id", "turn_no", "seg").select("conv_id", "text", "loss", "valid")
     return rows.mapInArrow(_digested(template or Template()), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwood.sources.workspace import shipped
+
 #: Costs of the edits, and what an undeleted truncated row adds.
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 START, S, U, A = range(4)
@@ -251,7 +253,7 @@ def repaired(conversations: DataFrame) -> DataFrame:
     empty table. A long conversation streams through one task, as its digest
     reads it in sequence; see the module.
     """
-    rows = damaged(conversations).repartition("conv_id")
+    rows = damaged(shipped(conversations)).repartition("conv_id")
     seen = Window.partitionBy("conv_id", "role", "text").orderBy(F.col("copy").isNull(), "turn", "copy")
     rows = rows.withColumn("nth", F.row_number().over(seen))  # tells equal rows apart
     rows = rows.select("conv_id", "turn", "role", "text", "nth", "copy", F.substring("role", 1, 1).alias("initial"), fault_of(F.col("text"), F.col("nth") > 1).alias("fault"))

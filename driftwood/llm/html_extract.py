@@ -61,7 +61,12 @@ _WORD_GROUP = {t: i for i, x in enumerate(WORD_GROUPS.values()) for t in x.split
 NUMBERS = "depth log_chars link_share tags chars_per_tag own_share siblings place alike_siblings page_share page_start marks parent_log_chars parent_link_share log_chars_before log_chars_after text_siblings".split()
 FEATURES = len(NUMBERS) + 3 * (len(TAG_GROUPS) + len(WORD_GROUPS))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
+#: A quote opens a value only after an equals sign; a tag without end goes on to the end of the page. Every alternative
+#: takes what it has looked at, so that a page is read once.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)", re.DOTALL
+)
 _ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _MAIN = " data-composed-main"
 
@@ -111,7 +116,7 @@ class Page:
             self.words.append(frozenset(w for a in _ATTR.findall(m[3]) for w in re.split("[^a-z]+", "".join(a).lower())) if "=" in m[3] else frozenset())
             self.marked.append(_MAIN in m[3])
             if name in RAW:
-                end = re.compile(f"</{name}[^>]*>", re.IGNORECASE).search(source, at)
+                end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
                 at = end.end() if end else len(source)
             elif name == "br":
                 self.pieces.append((stack[-1], block, " "))

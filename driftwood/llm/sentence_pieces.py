@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.llm import bytes_
+from driftwood.sources.workspace import shipped
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -334,7 +335,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     beside its ids. Of equally scored merges the leftmost is first, and of
     equally scored unigram paths the one with the longest last piece.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = shipped(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_coded(model), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
 
@@ -349,4 +350,4 @@ def _decoded(path: str):
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and the text of (doc_id, ids); null ids give a null text."""
-    return rows.select("doc_id", "ids").mapInArrow(_decoded(model), "doc_id long, text string")
+    return shipped(rows).select("doc_id", "ids").mapInArrow(_decoded(model), "doc_id long, text string")

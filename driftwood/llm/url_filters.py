@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwood.llm.rows import small
+from driftwood.llm.rows import BROADCAST_ROWS, small
 from driftwood.sources.workspace import written
 
 
@@ -46,16 +46,16 @@ def month_of(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
-def by_month(held: DataFrame, first: int, last: int) -> DataFrame:
-    """Intervals, once for every month from first to last in which they hold.
+def by_month(held: DataFrame, months: list[int]) -> DataFrame:
+    """Intervals, once for every one of these months (those in which anything was captured) in which they hold.
 
     A capture then meets a key's intervals of its month only, 31 at most as there
     is one entry a day, however long the key's history is; and a key that covers
     very many captures is spread over the months.
     """
-    a, b = F.greatest(month_of(F.col("since")), F.lit(first)), F.least(month_of(F.date_sub("until", 1)), F.lit(last))
-    months = F.when(a <= b, F.sequence(a, b))
-    return held.select("key", "since", "until", F.explode(months).alias("month"))
+    a, b = month_of(F.col("since")), F.coalesce(month_of(F.date_sub("until", 1)), F.lit(2**31 - 1))
+    own = F.filter(F.array(*map(F.lit, months)).cast("array<int>"), lambda x: (a <= x) & (x <= b))
+    return held.select("key", "since", "until", F.explode(own).alias("month"))
 
 
 def url_filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -71,8 +71,12 @@ def url_filtered(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     captures = captures.select("page_id", "url", "fetched")
     cover = captures.distinct().where("fetched is not null").select("url", "fetched", F.explode(keys_of(F.col("url"))).alias("key"), month_of(F.col("fetched")).alias("month"))
-    first, last = captures.agg(F.min(month_of(F.col("fetched"))), F.max(month_of(F.col("fetched")))).first()
-    held = written(by_month(intervals(entries), first or 0, last or 0), "list-intervals")
+    # months that occur: a calendar of 9999 years has 119,988
+    months = sorted(r.month for r in captures.select(month_of(F.col("fetched")).alias("month")).where("month is not null").distinct().collect())
+    held = written(by_month(intervals(entries), months), "list-intervals")
+    keys = written(held.select("key").distinct(), "list-keys")
+    if keys.count() <= BROADCAST_ROWS:  # most keys of a capture are on no list
+        cover = cover.join(F.broadcast(keys), "key", "left_semi")
     active = (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
     hits = cover.distinct().join(small(held, held.count()), ["key", "month"]).where(active).groupBy("url", "fetched").agg(
         F.count("*").alias("n_active"), F.min(F.struct((-F.length("key")).alias("size"), "key"))["key"].alias("entry"),

@@ -233,3 +233,48 @@ def test_whole_pipeline_is_brute_force(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, FOLDER).collect()}
     assert got == {i: library.encode(x) if x else [] for i, x in clean.items()} and 10 < len(got) < len(kept)
+
+
+def test_long_gaps_in_token_counts(spark):
+    encoders = token_counts._encoder(token_counts.RANKS)
+    rng = random.Random(4)
+    for _ in range(60):  # cut at short gaps, the ids are those of the whole pattern
+        text = "".join(rng.choice([" ", "  ", "\n", "\t", "\xa0", "\u2003", "\x1c", "a", "Wort", "don't", "12", "!?", "é"]) * rng.choice([1, 1, 3, 9]) for _ in range(40))
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(token_counts, "LONG_GAP", __import__("re").compile(r"[^\S\x1c-\x1f]{3,}"))
+            assert token_counts.token_ids(encoders, text).tolist() == encoders[0].encode(text, disallowed_special=())
+    docs = [(1, " " * 1_000_000 + "x"), (2, "\n" * 10_000_000), (3, "a" + " \n" * 5_000_000 + "b"), (4, " " * 10_000_000)]
+    got = token_counts.section_tokens(spark.createDataFrame([d for d in docs if "\n" not in d[1]], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {1: 1_000_000, 4: 10_000_000}
+    for _, text in docs[1:3]:
+        assert len(token_counts.token_ids(encoders, text)) > 1_000_000
+
+
+def test_far_dates_add_no_rows(spark):
+    entries = spark.createDataFrame([(f"k{i}.com", "2020-01-01", "add") for i in range(100)] + [("old.com", "2019-12-31", "add"), ("old.com", "2020-01-01", "remove")], "key string, day string, action string").withColumn("day", F.to_date("day"))
+    captures = spark.createDataFrame([(1, "http://k1.com/" + "x/" * 3000, "9999-12-31"), (2, "http://a.k2.com", "2020-01-01"), (3, "http://old.com", "2019-12-31"), (4, "http://old.com", "2020-01-01"), (5, "http://k3.com", None)], "page_id long, url string, fetched string").withColumn("fetched", F.to_date("fetched"))
+    held = url_filters.by_month(url_filters.intervals(entries), [2019 * 12 + 12, 2020 * 12 + 1, 9999 * 12 + 12])
+    assert held.count() == 201
+    assert {r.page_id: r.entry for r in url_filters.url_filtered(captures, entries).collect()} == {1: "k1.com", 2: "k2.com", 3: "old.com", 4: None, 5: None}
+
+
+def test_stray_quotes_end_with_the_tag():
+    text = lambda html: "".join(t for _, _, t in html_extract.Page(html).pieces)
+    assert text('<p class="x"">Main text</p>') == "Main text"
+    assert text('<a title=5" href=/x>link</a>') == "link"
+    assert text("<p title='a>b' id=c>t</p>") == "t"
+    assert text('<p data-x = "a > b">t <b x=y"z">u</b>') == "t u"
+    assert text("1 < 2 <p>x") == "1 < 2 x"
+    assert text("<script>a</scripty>b</script >c") == "c"
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    def took(part, n):
+        began = time.process_time()
+        html_extract.Page(part * n)
+        return time.process_time() - began
+
+    for part in ('<a "', "<a '", '<a b="', "<a b=c ", "<!--", "</style ", "<style></style", "<", "<![CDATA["):
+        assert took(part, 80_000) < 8 * max(took(part, 20_000), 0.05), part
