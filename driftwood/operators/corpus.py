@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.operators.graph import propagate_labels
+from driftwood.sources.workspace import shipped
 
+# Fixed values.
 #: Modules whose calls are effects outside of the program; a parameter of direct_external.
 EXTERNAL = (
     "requests", "httpx", "aiohttp", "urllib", "urllib3", "socket", "smtplib", "ftplib", "psycopg2", "asyncpg", "pymysql", "sqlalchemy", "pymongo", "redis", "elasticsearch",
@@ -40,20 +43,26 @@ def paragraphs(chunks: DataFrame, lines: int, group: list[str]) -> DataFrame:
     return chunks.groupBy(*group, span.alias("span")).agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"))
 
 
+#: What the parser and the reader of literals raise on odd source.
+UNREADABLE = (SyntaxError, ValueError, TypeError, RecursionError, MemoryError)
+
+
 def _records(path: str, source: str) -> Iterator[tuple]:
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    except UNREADABLE:
         yield path, "status", "syntax_error", None, None, None, None, None, None, None
         return
     yield path, "status", "ok", None, None, None, None, None, None, None
     seen: dict[str, int] = {}
+    raw = source.encode("utf-8", "surrogatepass")
+    line = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", raw))]  # where each line starts
 
     def node(x: ast.stmt, name: str | None) -> Iterator[tuple]:
         label = name or str(x.lineno)
         n = seen[label] = seen.get(label, 0) + 1
-        segment = ast.get_source_segment(source, x) or ""
-        yield path, "node", label if n == 1 else f"{label}#{n}", name, None, None, n, x.lineno, x.end_lineno, hashlib.sha256(segment.encode()).hexdigest()
+        segment = raw[line[x.lineno - 1] + x.col_offset : line[x.end_lineno - 1] + x.end_col_offset]
+        yield path, "node", label if n == 1 else f"{label}#{n}", name, None, None, n, x.lineno, x.end_lineno, hashlib.sha256(segment).hexdigest()
         for i, call in enumerate(c for c in ast.walk(x) if name and isinstance(c, ast.Call)):
             target = call.func
             parts: list[str] = []
@@ -64,7 +73,7 @@ def _records(path: str, source: str) -> Iterator[tuple]:
                 parts.append(target.id)
                 try:
                     args = repr(([ast.literal_eval(v) for v in call.args], {k.arg: ast.literal_eval(k.value) for k in call.keywords}))
-                except ValueError:
+                except UNREADABLE:
                     args = None
                 yield path, "call", name, ".".join(reversed(parts)), args, None, i, call.lineno, None, None
 
@@ -86,7 +95,10 @@ def _records(path: str, source: str) -> Iterator[tuple]:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """What is read off Python files (path, source), by record: status, node, import (name bound, module, symbol, level), call (function, callee, literal arguments)."""
+    """What is read off Python files (path, source), by record: status, node, import (name bound, module, symbol, level), call (function, callee, literal arguments).
+
+    Source that cannot be parsed, for whatever reason, gives its status only.
+    """
     names = [x.split()[0] for x in PARSED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +106,7 @@ def parsed(files: DataFrame) -> DataFrame:
             for path, source in zip(batch["path"], batch["source"], strict=True):
                 yield pd.DataFrame(list(_records(path, source or "")), columns=names).astype({x: "Int32" for x in ("level", "position", "line_start", "line_end")})
 
-    return files.select("path", "source").mapInPandas(run, PARSED)
+    return shipped(files).select("path", "source").mapInPandas(run, PARSED)
 
 
 def code_nodes(records: DataFrame) -> DataFrame:

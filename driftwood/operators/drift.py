@@ -76,11 +76,22 @@ def index_change_flags(old: DataFrame, new: DataFrame, file: str = "file") -> Da
     )
 
 
+def _same(a: list[str], b: list[str]) -> list[Column]:
+    return [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b, strict=True)]
+
+
 def stale_nodes(canonical: DataFrame, view: DataFrame, group: list[str], keys: list[str]) -> DataFrame:
-    """(keys ...) present in both versions with another hash. Groups whose file leaves agree are left out first."""
+    """(keys ...) present in both versions with another hash. Groups whose digests agree are left out first.
+
+    Nulls in groups and keys are values like others.
+    """
     a, b = (x.groupBy(*group).agg(F.sum(F.xxhash64(*keys, "content_hash").cast("decimal(38,0)")).alias("d"), F.count("*").alias("n")) for x in (canonical, view))
-    differs = a.join(b, [*group, "d", "n"], "left_anti").select(*group).distinct()
-    return canonical.join(differs, group, "left_semi").select(*keys, F.col("content_hash").alias("h0")).join(view.select(*keys, F.col("content_hash").alias("h1")), keys).where("h0 <> h1").select(*keys)
+    other = lambda x, names, tag: x.withColumnsRenamed({y: f"{tag}_{y}" for y in names})
+    own, theirs = [*group, "d", "n"], [f"b_{x}" for x in (*group, "d", "n")]
+    differs = other(a.join(other(b, own, "b"), _same(own, theirs), "left_anti").select(*group), group, "g")
+    new = other(view.select(*keys, F.col("content_hash").alias("h1")), keys, "k")
+    old = canonical.join(differs, _same(group, [f"g_{x}" for x in group]), "left_semi").select(*keys, F.col("content_hash").alias("h0"))
+    return old.join(new, _same(keys, [f"k_{x}" for x in keys])).where("h0 <> h1").select(*keys)
 
 
 def snapshot_drift(baseline: DataFrame, current: DataFrame, traversal: DataFrame) -> DataFrame:

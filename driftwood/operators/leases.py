@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwood.functions.digests import comparable
+from driftwood.sources.workspace import shipped
 
 BASE_TTL, TTL_PER_LINE = 30, 2
 
@@ -126,7 +127,7 @@ def lease_replay(log: DataFrame, ttl: int, evict: str = "eager") -> DataFrame:
                 out.append(what)
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(out, pa.string())], [*names, "outcome"])
 
-    rows = log.select(*names).repartition("resource").sortWithinPartitions("resource", "sec", "event_id")
+    rows = shipped(log).select(*names).repartition("resource").sortWithinPartitions("resource", "sec", "event_id")
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("outcome", T.StringType())]))
 
 

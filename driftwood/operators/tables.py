@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed values.
 #: Folder names that a scan leaves out; a parameter of the scans.
-SKIPPED = (".git", ".venv", "venv", ".env", "env", "site-packages", ".tox", "node_modules", "__pycache__", "build", "dist")
+SKIPPED = (".venv", "venv", ".env", "env", "site-packages", "__pycache__", ".git", "node_modules", ".tox", "build", "dist")
 
 
 def corpus_scan_df(files: DataFrame, skip_parts: tuple[str, ...] = SKIPPED, suffix: str = "") -> DataFrame:

@@ -32,6 +32,12 @@ def ship(spark: SparkSession) -> None:
     context._driftwood_shipped = True
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, after its application has got this package; for operators whose Python code runs on executors."""
+    ship(df.sparkSession)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below the cluster's ``spark.checkpoint.dir``.
 

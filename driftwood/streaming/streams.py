@@ -16,7 +16,7 @@ from driftwood.operators.drift import file_fresh, index_change_flags
 from driftwood.operators.graph import reindex_set
 from driftwood.operators.leases import outcome
 from driftwood.operators.tables import event_router, upsert_last_wins
-from driftwood.sources.workspace import shared_dir, written
+from driftwood.sources.workspace import shared_dir, shipped, written
 
 
 def lease_stream(log: DataFrame, ttl: int, late: str = "1 day") -> DataFrame:
@@ -73,7 +73,7 @@ def lease_stream(log: DataFrame, ttl: int, late: str = "1 day") -> DataFrame:
             yield pd.DataFrame({x: pd.array([r[i] for r in out], "Int64" if i < 4 else "object") for i, x in enumerate(cols)})
 
     # as strings, since a column of numbers with nulls would lose digits in pandas
-    rows = log.select("resource", F.timestamp_seconds("sec").alias("ts"), *(F.col(x).cast("string").alias(x) for x in ("sec", "event_id", "agent", "op")))
+    rows = shipped(log).select("resource", F.timestamp_seconds("sec").alias("ts"), *(F.col(x).cast("string").alias(x) for x in ("sec", "event_id", "agent", "op")))
     return rows.withWatermark("ts", late).groupBy("resource").applyInPandasWithState(
         run, "resource long, sec long, event_id long, agent long, op string, outcome string", "holder long, expires long, waiting string", "append", GroupStateTimeout.EventTimeTimeout
     )
@@ -96,10 +96,11 @@ def drift_monitor(changes: DataFrame, baseline: DataFrame) -> DataFrame:
 
     changes: a stream of whole files as they are now, (file, nodes: map of
     node_id to content_hash; empty or null for a deleted file); baseline: a
-    table (file, node_id, baseline_hash). Each change meets its own file's nodes.
+    table (file, node_id, baseline_hash), whose repeated rows are each compared.
+    Each change meets its own file's nodes; these are grouped and written once.
     """
-    captured = baseline.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("node_id", "baseline_hash"))).alias("captured"))
-    hit = changes.join(captured, "file").select("file", "nodes", F.explode("captured").alias("node_id", "baseline_hash"))
+    captured = written(baseline.groupBy("file").agg(F.collect_list(F.struct("node_id", "baseline_hash")).alias("captured")), "captured")
+    hit = changes.join(captured, "file").select("file", "nodes", F.inline("captured"))
     rows = hit.select("file", "node_id", "baseline_hash", F.try_element_at("nodes", F.col("node_id")).alias("content_hash"))
     return rows.where(~F.col("content_hash").eqNullSafe(F.col("baseline_hash")))
 
