@@ -27,6 +27,7 @@ all pairs of a group is made and no link between groups is lost.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,7 +95,7 @@ def _counted(k: int):
             total += np.bincount(_cells(shingle_counts(space_words(data, off), k)[1]), minlength=len(total)).astype(np.uint32)
         if n:
             rows = total.astype(np.int64).reshape(-1, BLOCK_CELLS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([x.tobytes() for x in rows], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in rows], pa.binary())], ["block", "counts"])
 
     return run
 
@@ -103,9 +104,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-            own = np.frombuffer(counts.as_buffer(), np.int64)
+            own = np.frombuffer(zlib.decompress(counts.as_buffer()), np.int64)
             total[block] = total[block] + own if block in total else own.copy()
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["block", "counts"])
 
 
 def frequencies(docs: DataFrame, k: int) -> Broadcast:
@@ -113,7 +114,7 @@ def frequencies(docs: DataFrame, k: int) -> Broadcast:
     rows = docs.mapInArrow(_counted(k), "block int, counts binary").repartition("block").mapInArrow(_summed, "block int, counts binary").toArrow()
     total = np.zeros((1 << CELL_BITS) // BLOCK_CELLS * BLOCK_CELLS, np.int64).reshape(-1, BLOCK_CELLS)
     for block, counts in zip(rows["block"].to_pylist(), rows["counts"].to_pylist(), strict=True):
-        total[block] += np.frombuffer(counts, np.int64)
+        total[block] += np.frombuffer(zlib.decompress(counts), np.int64)
     steps = 128 + 8 * (np.log2(np.maximum(total, 128)) - 7)
     return docs.sparkSession.sparkContext.broadcast(np.minimum(np.where(total <= 128, total, steps), 255).astype(np.uint8).ravel())
 
@@ -286,10 +287,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
     rare = frequencies(docs.select("text"), k)
-    signed = written(docs.mapInArrow(_signed(k, percent, rare), "doc_id long, text_hash long, node binary, n long, prefix array<long>, parts binary"), "sets")
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    own = [F.first(x).alias(x) for x in ("n", "prefix", "parts")]
-    nodes = written(signed.where("node is not null").groupBy("node").agg(F.min(row).alias("row"), *own), "nodes")
+    signed = docs.mapInArrow(_signed(k, percent, rare), "doc_id long, text_hash long, node binary, n long, prefix array<long>, parts binary")
+    signed = written(signed.withColumn("nth", F.monotonically_increasing_id()), "sets")  # nth tells equal rows apart
+    firsts = signed.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "nth")).alias("row"))
+    firsts = written(firsts.select("row", F.col("row.nth").alias("nth")), "firsts")
+    nodes = written(signed.join(small(firsts, firsts.count()), "nth").select("node", "row", "n", "prefix", "parts"), "nodes")
 
     repeated = written(nodes.select(F.explode("prefix").alias("key")).groupBy("key").count().where("count > 1").select("key"), "repeated")
     held, bits = bloom.shared_filter(repeated, "key", repeated.count())
@@ -300,7 +302,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     def texts_of(some: DataFrame) -> DataFrame:
         ends = written(some.join(nodes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash")), "pair-nodes")
         same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
-        return written(docs.join(small(ends, ends.count()), same).select("node", "text").dropDuplicates(["node"]), "pair-texts")
+        n = ends.count()
+        texts = written(docs.join(small(ends, n), same).select("node", "text"), "pair-texts")
+        return texts if texts.count() == n else written(texts.dropDuplicates(["node"]), "pair-texts")  # rows that repeat both id and text
 
     def verified(met: DataFrame) -> DataFrame:
         parts = lambda x: nodes.select(F.col("node").alias(x), F.col("parts").alias(f"parts_{x}"))
