@@ -6,9 +6,10 @@ sets, sorted, cuts both id lists into groups, and within each group's slices all
 overlapping pairs of tokens are linked. How many documents hold a pair of ids
 linked is counted over all documents, and weighs the links of each.
 
-Neither tokenizer has a token that goes on from another character into a space
-which a word follows, so both end a token there. Text between two such places is
-aligned once, and a worker remembers it, within a bound, for when it comes again.
+At some places both are known to end a token: before a single space that a word
+follows, around a single line end, and between a letter and a mark that no piece
+joins to it. Text between two such places is aligned once, and a worker remembers
+it, within a bound, for when it comes again.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,12 @@ from driftwood.sources.workspace import written
 
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches that a worker remembers, and the longest of them (some 60 MB in every Python worker).
-REMEMBERED, LONGEST = 100_000, 64
+#: Stretches that a worker remembers, and the longest of them (some 120 MB in every Python worker).
+REMEMBERED, LONGEST = 200_000, 64
 #: Pairs of ids whose counts may be broadcast (16 bytes each).
 BROADCAST_PAIRS = 2_000_000
-#: Before a single space that no white space follows.
-CUT = re.compile(r"(?<! )(?= \S)")
+#: Latin letters, and marks that may follow them.
+LETTER, MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]", ".,;:!?"
 
 
 def byte_level() -> dict[str, int]:
@@ -57,8 +60,11 @@ class Encoders:
         self._a = tokenizers.Tokenizer.from_file(a)
         self._a.encode_special_tokens = True
         self._b = sentencepiece.SentencePieceProcessor(model_file=b)
-        if any(MARK in self._b.id_to_piece(i).lstrip(MARK) for i in range(self._b.get_piece_size())):
-            raise ValueError("the piece model has pieces that go on into a space")
+        pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size()) if not self._b.is_byte(i)]
+        if any(MARK in x.lstrip(MARK) or "\n" in x for x in pieces):
+            raise ValueError("the piece model has pieces that go on into a space or over a line end")
+        marks = "".join(c for c in MARKS if not any(re.search(LETTER + re.escape(c), x) for x in pieces))
+        self.cut = re.compile(rf"(?<! )(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?={LETTER})|(?<={LETTER})(?=[{re.escape(marks)}\n])")
         byte = byte_level()
         vocabulary = self._a.get_vocab()
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -67,24 +73,22 @@ class Encoders:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in ((i, self._b.id_to_piece(i)) for i in range(self._b.get_piece_size()))]
 
     def both(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """The ids of stretches, each of which starts with a space (the second tokenizer adds it)."""
+        """The ids of stretches. The second tokenizer adds a space; to those without one a line end is put, and both are taken off again."""
         first = self._a.encode_batch_fast(stretches, add_special_tokens=False)
-        second = self._b.encode([x[1:] for x in stretches], num_threads=1)
-        return ((x.ids, y) for x, y in zip(first, second, strict=True))
+        second = self._b.encode([x[1:] if x[0] == " " else "\n" + x for x in stretches], num_threads=1)
+        return ((x.ids, y if s[0] == " " else y[2:]) for s, x, y in zip(stretches, first, second, strict=True))
 
 
-def end_index(ids: list[int], token_bytes: list[bytes]) -> dict[int, int]:
+def end_index(ids: list[int], size: list[int]) -> dict[int, int]:
     """Where each token ends, in bytes, and how many tokens have ended there."""
-    out, end = {}, 0
-    for i, x in enumerate(ids, 1):
-        end += len(token_bytes[x])
-        out[end] = i
-    return out
+    return dict(zip(accumulate(map(size.__getitem__, ids)), range(1, len(ids) + 1), strict=True))
 
 
-def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
+def align(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
     """The groups (slices of both id lists) and the links (pairs of ids, one for each overlapping pair of tokens) of tokens that tile the same bytes."""
-    a_ends, b_ends = end_index(a, a_bytes), end_index(b, b_bytes)
+    if len(a) == 1 or len(b) == 1:
+        return [(a, b)], [(x, y) for x in a for y in b]
+    a_ends, b_ends = end_index(a, a_size), end_index(b, b_size)
     groups, links, i, j = [], [], 0, 0
     for end in sorted(a_ends.keys() & b_ends.keys()):
         x, y = a[i : a_ends[end]], b[j : b_ends[end]]
@@ -94,62 +98,87 @@ def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]
             links += [(p, q) for p in x for q in y]
             continue
         p, q = 0, 0
-        left, right = len(a_bytes[x[0]]), len(b_bytes[y[0]])  # where the tokens at p and q end; inside a group never both at once
+        left, right = a_size[x[0]], b_size[y[0]]  # where the tokens at p and q end; inside a group never both at once
         while True:
             links.append((x[p], y[q]))
             if left < right:
                 p += 1
-                left += len(a_bytes[x[p]])
+                left += a_size[x[p]]
             elif right < left:
                 q += 1
-                right += len(b_bytes[y[q]])
+                right += b_size[y[q]]
             else:
                 break
     return groups, links
 
 
-def shown(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-
-
 class Memory:
-    """Aligned stretches by number: counts, groups as text and links as a flat array with offsets."""
+    """Aligned stretches by number: counts, groups as text, and links in a flat array."""
 
     def __init__(self, a: str, b: str) -> None:
-        self.encoders = Encoders(a, b)
-        self.pairs_of = len(self.encoders.b_bytes)
+        self.encoders = own = Encoders(a, b)
+        self.a_size, self.b_size = ([len(x) for x in y] for y in (own.a_bytes, own.b_bytes))
+        self.shown = [str(i) for i in range(max(len(own.a_bytes), len(own.b_bytes)))]
+        self.radix = len(own.b_bytes)
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.groups: list[str | None] = []
-        self._counts: list[tuple[int, int, int]] = []
-        self._links: list[np.ndarray] = []
+        self.groups: list[str] = []
+        self.counts = array("q")  # of each stretch: tokens of both, groups, 1 if its bytes are not its tokens'
+        self.links = array("q")  # of all stretches
+        self.ends = array("q")  # where each one's links end
 
     def learn(self, stretches: list[str]) -> None:
-        own = self.encoders
+        own, shown, radix = self.encoders, self.shown.__getitem__, self.radix
+        a_bytes, b_bytes = own.a_bytes.__getitem__, own.b_bytes.__getitem__
         for at in range(0, len(stretches), 10_000):
             some = stretches[at : at + 10_000]
             for stretch, (a, b) in zip(some, own.both(some), strict=True):
                 raw = stretch.encode()
-                same = b"".join([own.a_bytes[x] for x in a]) == raw and b"".join([own.b_bytes[x] for x in b]) == raw
-                groups, links = align(a, b, own.a_bytes, own.b_bytes) if same else ([], [])
+                same = b"".join(map(a_bytes, a)) == raw and b"".join(map(b_bytes, b)) == raw
+                groups, links = align(a, b, self.a_size, self.b_size) if same else ([], [])
                 self.number[stretch] = len(self.groups)
-                self.groups.append(shown(groups) if same else None)
-                self._counts.append((len(a), len(b), len(groups)))
-                self._links.append(np.array([x * self.pairs_of + y for x, y in links], np.int64))
-
-    def aligned(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray] | None]:
-        """Tokens of both, groups, their text, and links of each text; None if it has no tokens."""
-        split = [[x for x in CUT.split(" " + text) if x] if text and MARK not in text else [] for text in texts]
-        self.learn(list({x: None for stretches in split for x in stretches if x not in self.number}))
-        counts = np.array(self._counts, np.int64).reshape(-1, 3)
-        for stretches in split:
-            at = [self.number[x] for x in stretches]
-            groups = [self.groups[i] for i in at]
-            yield (*counts[at].sum(axis=0).tolist(), ";".join(groups), np.concatenate([self._links[i] for i in at])) if at and None not in groups else None
-        if len(self.number) > REMEMBERED or any(len(x) > LONGEST for stretches in split for x in stretches):
+                self.groups.append(";".join([f"{shown(x[0])}|{shown(y[0])}" if len(x) == len(y) == 1 else ",".join(map(shown, x)) + "|" + ",".join(map(shown, y)) for x, y in groups]))
+                self.counts.extend((len(a), len(b), len(groups), not same))
+                self.links.extend([x * radix + y for x, y in links])
+                self.ends.append(len(self.links))
+
+    def aligned(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts: (tokens of both, groups, links) of each, their groups as text, and (text, pair, times) of their links."""
+        cut = self.encoders.cut
+        split = [[x for x in cut.split(" " + text) if x] if text and MARK not in text else [] for text in texts]
+        new = {x: None for stretches in split for x in stretches if x not in self.number}
+        self.learn([x for x in new if len(x) <= LONGEST])
+        kept, kept_links = len(self.groups), len(self.links)
+        self.learn([x for x in new if len(x) > LONGEST])
+        size, ends, links = (np.array(x, np.int64) for x in (self.counts, self.ends, self.links))
+        size, begins = size.reshape(-1, 4), np.append(0, ends)[:-1]
+
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+        at = np.fromiter((self.number[x] for stretches in split for x in stretches), np.int64, len(doc))
+        total = np.zeros((len(texts), 4), np.int64)
+        for i in range(4):
+            total[:, i] = np.bincount(doc, size[at, i], len(texts))
+        sound = total[:, 3] == 0
+        doc, at = doc[sound[doc]], at[sound[doc]]
+        total[~sound] = 0
+        groups = [";".join([self.groups[self.number[x]] for x in stretches]) if ok else "" for stretches, ok in zip(split, sound.tolist(), strict=True)]
+
+        many = ends[at] - begins[at]
+        pair = links[np.repeat(begins[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        span = len(self.encoders.a_bytes) * self.radix
+        key, times = np.unique(np.repeat(doc, many) * span + pair, return_counts=True)
+        total[:, 3] = np.bincount(np.repeat(doc, many), minlength=len(texts))
+
+        if kept > REMEMBERED:
             self.forget()
+        else:
+            for x in new:
+                if len(x) > LONGEST:
+                    del self.number[x]
+            del self.groups[kept:], self.counts[4 * kept :], self.ends[kept:], self.links[kept_links:]
+        return total, groups, key // span, key % span, times
 
 
 @lru_cache(maxsize=1)
@@ -160,18 +189,12 @@ def _memory(a: str, b: str) -> Memory:
 def _aligned(a: str, b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _memory(a, b)
-        nothing = np.empty(0, np.int64)
         for batch, _, _ in bytes_.slices(batches):
-            rows, pairs, times = [], [], []
-            for found in memory.aligned(batch.column("text").to_pylist()):
-                n_a, n_b, n_groups, groups, links = found or (0, 0, 0, "", nothing)
-                pair, n = np.unique(links, return_counts=True)
-                rows.append((n_a, n_b, n_groups, len(links), hashlib.sha256(groups.encode()).hexdigest() if found else "", memory.pairs_of))
-                pairs.append(pair)
-                times.append(n)
-            bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in pairs])]), pa.int32())
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([nothing, *x]), pa.int64())) for x in (pairs, times)]
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))]
+            total, groups, doc, pair, times = memory.aligned(batch.column("text").to_pylist())
+            digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups]
+            bounds = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int64())) for x in (pair, times)]
+            columns = [*(pa.array(total[:, i]) for i in range(4)), pa.array(digests), pa.array(np.full(batch.num_rows, memory.radix))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns, *lists], ["doc_id", "text_hash", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "radix", "pairs", "times"])
 
     return run
