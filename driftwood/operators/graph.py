@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,56 +62,114 @@ def cold_nodes(candidates: DataFrame, nodes: DataFrame, col: str) -> DataFrame:
     return candidates.select(col).distinct().join(nodes.select(col), col, "left_anti")
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """The edges left after nodes without a way in or out are taken off, again and again: all cycles are in them."""
-    edges = written(edges.distinct(), "cycle-edges")
-    n = edges.count()
-    while n:
-        left = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-        edges = written(left, "cycle-edges")
-        m = edges.count()
-        if m == n:
+def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """The edges left after nodes without a way in or out are taken off, a few times: all cycles are in them."""
+    edges = edges.distinct()
+    for _ in range(rounds):
+        edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+    return written(edges, "cycle-edges")
+
+
+def contracted(edges: DataFrame, first: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """(edges, taken): the edges of distinct ``edges`` after nodes that decide nothing about cycles are taken out.
+
+    Nodes without a way in or out go. A node with one way in and one way out is
+    on a cycle if and only if an edge from the one to the other would be, which
+    takes its place; of neighbours the one with the largest hash goes, and each
+    round has other hashes, so that a third of a path goes in a round and paths
+    and rings of n nodes end after some log n rounds. taken: (node, from, to),
+    the nodes for which an edge was put in, by round. Rounds go on while they
+    take something worth it; what is left is right at any time.
+    """
+    taken: list[DataFrame] = []
+    while size := edges.count():
+        ways = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(None).alias("from")), F.struct(F.col("dst").alias("node"), F.lit(None).alias("to"), F.col("src").alias("from")))
+        ends = edges.select(F.inline(ways)).groupBy("node").agg(F.count("to").alias("outs"), F.count("from").alias("ins"), F.min("to").alias("to"), F.min("from").alias("from"))
+        h = lambda x: F.xxhash64(x, F.lit(first + len(taken)))
+        through = F.expr("ins = 1 and outs = 1 and from <> node and to <> node") & (h("node") > h("from")) & (h("node") > h("to"))
+        gone = written(ends.where(F.expr("ins = 0 or outs = 0") | through).select("node", F.when(through, F.col("from")).alias("from"), F.when(through, F.col("to")).alias("to")), "cycle-nodes")
+        n = gone.count()
+        if not n:
+            break
+        out = gone.select("node")
+        left = edges.join(out, F.col("src") == F.col("node"), "left_anti").join(out, F.col("dst") == F.col("node"), "left_anti")
+        edges = written(left.unionAll(gone.where("from is not null").select(F.col("from").alias("src"), F.col("to").alias("dst"))).distinct(), "cycle-edges")
+        taken.append(gone.where("from is not null"))
+        if n * 20 < size:
             break
-        n = m
-    return edges
+    return edges, taken
 
 
 def _least_reaching(edges: DataFrame) -> DataFrame:
-    """(node, color): the smallest node from which each node can be reached. One written table a step."""
+    """(node, color): the smallest node from which each node can be reached.
+
+    Besides along edges, a color is taken over from the node that is the color
+    so far, as what reaches that one reaches this one too; colors so come from
+    twice as far each round along most ways.
+    """
     color = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("color", F.col("node")), "colors")
     while True:
-        into = edges.join(color, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("color").alias("from"))
-        step = color.join(into, F.col("node") == F.col("dst"), "left").select("node", F.least("color", "from").alias("color"), (F.col("from") < F.col("color")).alias("moved"))
-        step = written(step, "colors")
+        far = color.select(F.col("node").alias("at"), F.col("color").alias("far"))
+        near = edges.join(far, F.col("src") == F.col("at")).groupBy("dst").agg(F.min("far").alias("near"))
+        step = color.join(near, F.col("node") == F.col("dst"), "left").join(far, F.col("color") == F.col("at"), "left")
+        best = F.least("color", "near", "far")
+        step = written(step.select("node", best.alias("color"), (best < F.col("color")).alias("moved")), "colors")
         color = step.select("node", "color")
         if step.where("moved").isEmpty():
             return color
 
 
+def _lasting(taken: DataFrame) -> DataFrame:
+    """(node, from, to): for nodes that were taken out the edge that stands for them in the end, by pointer doubling over edges that took each other's place."""
+    key = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    own = key("from", "to")
+    pointer = written(taken.select(F.inline(F.array(F.struct(key("from", "node").alias("edge"), own.alias("by")), F.struct(key("node", "to").alias("edge"), own.alias("by"))))), "cycle-pointers")
+    at = taken.select("node", own.alias("edge"))
+    while True:
+        further = pointer.select(F.col("edge").alias("by"), F.col("by").alias("then"))
+        step = written(pointer.join(further, "by", "left").select("edge", F.coalesce("then", "by").alias("by"), F.col("then").isNotNull().alias("moved")), "cycle-pointers")
+        pointer = step.select("edge", "by")
+        if step.where("moved").isEmpty():
+            break
+    last = at.join(pointer, "edge", "left").select("node", F.coalesce("by", "edge").alias("edge"))
+    return last.select("node", F.col("edge.a").alias("from"), F.col("edge.b").alias("to"))
+
+
 def cycle_components(edges: DataFrame) -> DataFrame:
     """(node, cycle): nodes on cycles of edges (src, dst), with the smallest node of their strongly connected component.
 
-    Each round gives every node the smallest node that reaches it as its color.
-    Those of a color that also reach its first node are a component and go, then
-    what is on no way in or out any more; at least one component a color goes
-    each round, so their number is that of components in a chain, not of nodes.
-    No table has more rows than the graph has nodes or edges.
+    Paths and rings are contracted first. Then each round gives every node the
+    smallest node that reaches it as its color, and within a color the smallest
+    node that it reaches: those that reach the color's own node are its component
+    and go, at least one a color. At last contracted nodes join the component
+    that both ends of the edge in their place are in. No table has more rows than
+    the graph has nodes or edges, and rounds follow the logarithm of a path's
+    length, not the length.
     """
-    edges, out = trimmed(edges.select("src", "dst")), None
+    edges, taken = contracted(written(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "cycle-edges"))
+    parts: list[DataFrame] = []
     while not edges.isEmpty():
         color = _least_reaching(edges)
         ends = lambda x: color.select(F.col("node").alias(x), F.col("color").alias(f"{x}_color"))
-        inside = edges.join(ends("src"), "src").join(ends("dst"), "dst").where("src_color = dst_color").select("src", "dst")
-        roots = color.where("node = color").select(F.col("color").alias("cycle"), "node")
-        members = written(bounded_bfs(inside, roots, None, "reverse", on=["cycle"]).select("cycle", "node"), "components")
+        inside = written(edges.join(ends("src"), "src").join(ends("dst"), "dst").where("src_color = dst_color").select("src", "dst"), "cycle-edges")
+        back = _least_reaching(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("color", "back")
+        members = written(color.join(back, "node", "left").where("color = coalesce(back, node)").select("node", F.col("color").alias("cycle")), "components")
         alone = edges.where("src = dst").select(F.col("src").alias("node"))
         many = members.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1").select("cycle")
-        own = members.join(many, "cycle", "left_semi").union(members.join(alone, "node", "left_semi").select("cycle", "node")).distinct().select("node", "cycle")
-        out = own if out is None else out.unionAll(own)
+        parts.append(members.join(many, "cycle", "left_semi").select("node", "cycle").union(members.join(alone, "node", "left_semi").select("node", "cycle")).distinct())
         gone = members.select("node")
         left = edges.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti")
-        edges = trimmed(left)
-    return out if out is not None else edges.select(F.col("src").alias("node"), F.col("dst").alias("cycle"))
+        edges, more = contracted(written(left, "cycle-edges"), len(taken))
+        taken += more
+    if not parts:
+        return edges.select(F.col("src").alias("node"), F.col("dst").alias("cycle"))
+    found = written(reduce(DataFrame.unionAll, parts), "components")
+    if taken:
+        of = lambda x: found.select(F.col("node").alias(x), F.col("cycle").alias(f"{x}_cycle"))
+        on = _lasting(written(reduce(DataFrame.unionAll, taken), "cycle-nodes")).join(of("from"), "from").join(of("to"), "to").where("from_cycle = to_cycle")
+        found = written(found.unionAll(on.select("node", F.col("from_cycle").alias("cycle"))), "components")
+    least = found.groupBy("cycle").agg(F.min("node").alias("least"))
+    return found.join(least, "cycle").select("node", F.col("least").alias("cycle"))
 
 
 def wait_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
