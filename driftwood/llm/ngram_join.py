@@ -290,8 +290,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     signed = docs.mapInArrow(_signed(k, percent, rare), "doc_id long, text_hash long, node binary, n long, prefix array<long>, parts binary")
     signed = written(signed.withColumn("nth", F.monotonically_increasing_id()), "sets")  # nth tells equal rows apart
     firsts = signed.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "nth")).alias("row"))
-    firsts = written(firsts.select("row", F.col("row.nth").alias("nth")), "firsts")
-    nodes = written(signed.join(small(firsts, firsts.count()), "nth").select("node", "row", "n", "prefix", "parts"), "nodes")
+    firsts = written(firsts.select("row.nth"), "firsts")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = written(signed.join(small(firsts, firsts.count()), "nth").select("node", row.alias("row"), "n", "prefix", "parts"), "nodes")
 
     repeated = written(nodes.select(F.explode("prefix").alias("key")).groupBy("key").count().where("count > 1").select("key"), "repeated")
     held, bits = bloom.shared_filter(repeated, "key", repeated.count())

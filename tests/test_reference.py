@@ -47,7 +47,8 @@ def test_occurrences(spark, rows):
     assert rows(spans.occurrence_scan(texts, needles)) == [(1, 7, 1, 1, 1), (1, 7, 2, 1, 1), (2, 8, 8, 2, 3)]
 
 
-def test_occurrences_are_brute_force_and_linear(spark):
+@pytest.mark.parametrize("budget", [spans.AUTOMATON_BYTES, 0])
+def test_occurrences_are_brute_force_and_linear(spark, budget):
     import random
     import time
 
@@ -62,14 +63,18 @@ def test_occurrences_are_brute_force_and_linear(spark):
                 if needle and text.startswith(needle, at):
                     start = text.count("\n", 0, at) + 1
                     want.add((d, n, at + 1, start, start + needle.count("\n")))
-    found = spans.occurrence_scan(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), spark.createDataFrame(needles, "item_id long, text string"))
+    found = spans.occurrence_scan(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), spark.createDataFrame(needles + needles[:3], "item_id long, text string"), budget)
     got = [tuple(r) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
     assert not any(x in found._jdf.queryExecution().toString() for x in ("CartesianProduct", "BroadcastNestedLoopJoin"))
     long = spark.createDataFrame([(1, "one two three four\n" + "word and more text " * 2 + "\n") for _ in range(1)], "doc_id long, text string").withColumn("text", F.repeat("text", 20_000))
     began = time.time()
-    out = spans.occurrence_scan(long, spark.createDataFrame([(1, "two three four")], "item_id long, text string")).agg(F.count("*"), F.max("line_start")).first()
+    out = spans.occurrence_scan(long, spark.createDataFrame([(1, "two three four")], "item_id long, text string"), budget).agg(F.count("*"), F.max("line_start")).first()
     assert tuple(out) == (20_000, 39_999) and time.time() - began < 20
+    text = "word and more text " * 40_000  # 760 kB, and needles of all lengths that are found again and again
+    needles = spark.createDataFrame([(str(i), text[i % 19 : i % 19 + i]) for i in range(1, 400)], "item_id string, text string")
+    out = spans.occurrence_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), needles, budget).groupBy("item_id").count().orderBy(F.col("item_id").cast("int")).collect()
+    assert len(out) == 399 and out[-1]["count"] == len([i for i in range(len(text) - 398) if (i - 399 % 19) % 19 == 0])
 
 
 def test_components(spark, rows):
