@@ -17,11 +17,12 @@ Three filters keep pairs from being verified:
 * suffix: both sets are cut by the same pivots of the hash range; the differences
   of the parts' sizes add up to no more than the shingles that are not common.
 
-First each node of a shingle is verified against the shingle's first node, which
-joins large groups of near copies. Then groups that still meet on a shingle are
-compared with each other, within tasks and in blocks of bounded size: whether any
-pair between two groups is linked, where a pair is looked at once. So no table of
-all pairs of a group is made and no link between groups is lost.
+First each node is verified against at most two likely partners, the first nodes
+of its rarest and its most frequent shared prefix shingle, which joins large groups
+of near copies. Then groups that still meet on a shingle are compared with each
+other, within tasks and in blocks of bounded size: whether any pair between two
+groups is linked, where a pair is looked at once. So no table of all pairs of a
+group is made and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ SHINGLE, PERCENT = 5, 80
 #: Cells of the table of counts (4 MB while it is summed, 1 MB as broadcast), whatever the input, and cells in a row of it.
 CELL_BITS, BLOCK_CELLS = 20, 4096
 #: Parts that the suffix filter's pivots cut a set into.
-PARTS = 64
+PARTS = 128
 #: Rows of a shingle, and bytes of text of a pair of groups, in a block that one task compares with another block.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 4 << 20
 #: What names a comparison of two blocks of two groups.
@@ -166,12 +167,12 @@ def _parts(column: pa.Array) -> np.ndarray:
 
 
 def _passing(percent: int):
-    """Pairs (a, b) that pass the filters."""
+    """Pairs (a, b) that pass the filters of length and suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m, i, j = (batch.column(x).to_numpy() for x in ("n_a", "n_b", "pos_a", "pos_b"))
-            passed = may_link(n, m, i, j, _parts(batch.column("parts_a")), _parts(batch.column("parts_b")), percent)
+            n, m = (batch.column(x).to_numpy() for x in ("n_a", "n_b"))
+            passed = may_link(n, m, 0, 0, _parts(batch.column("parts_a")), _parts(batch.column("parts_b")), percent)
             yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(passed)))
 
     return run
@@ -310,21 +311,23 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     def verified(met: DataFrame) -> DataFrame:
         parts = lambda x: nodes.select(F.col("node").alias(x), F.col("parts").alias(f"parts_{x}"))
         passing = met.join(parts("a"), "a").join(parts("b"), "b").mapInArrow(_passing(percent), "a binary, b binary")
-        pairs = written(passing.distinct(), "pairs")
+        pairs = written(passing, "pairs")
         texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(k, percent), "a binary, b binary"), "links")
 
-    # of the shingles where a pair meets the first one has the least places in both
-    led = members.where("node <> leader.node").select(F.col("leader.node").alias("a"), F.col("node").alias("b"), F.col("leader.n").alias("n_a"), F.col("n").alias("n_b"), F.col("leader.pos").alias("pos_a"), F.col("pos").alias("pos_b"))
-    firsts = led.groupBy("a", "b").agg(F.min(F.struct("pos_a", "pos_b", "n_a", "n_b")).alias("at")).select("a", "b", "at.*")
-    links = verified(firsts)
+    # two likely partners of each node: the first nodes of its rarest and of its most frequent shared prefix shingle
+    leaders = members.where("node <> leader.node").groupBy("node", "n").agg(F.min_by("leader", "pos").alias("rare"), F.max_by("leader", "pos").alias("frequent"))
+    likely = leaders.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.explode(F.array("rare", "frequent")).alias("a")).distinct().where(f"100 * least(n_b, a.n) >= {percent} * greatest(n_b, a.n)")
+    links = verified(likely.select(F.col("a.node").alias("a"), "b", F.col("a.n").alias("n_a"), "n_b"))
     roots = components(links)
+    roots = small(roots, roots.count())
 
-    grouped = members.select("key", "node", "n", "pos", F.col("leader.node").alias("leader")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = members.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("groups"), F.sum("size").alias("rows"), (F.sum("size") - F.max("size")).alias("outside")).where("groups > 1 and rows > 2")
-    mixed = grouped.join(main, "key").where("node <> leader").join(nodes.select("node", "parts"), "node")
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("groups"), F.sum("size").alias("rows"), (F.sum("size") - F.max("size")).alias("outside")).where("groups > 1")
+    main = written(main, "main")
+    mixed = grouped.join(small(main, main.count()), "key").join(nodes.select("node", "parts"), "node")
 
     # rows outside of a key's largest group meet all rows of the key, in blocks; those within it are linked with each other
     inner, outer = (F.ceil(F.col(x) / BLOCK_ROWS).cast("int") for x in ("rows", "outside"))
