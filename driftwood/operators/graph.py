@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwood.operators.ordered import ranked
 from driftwood.sources.workspace import written
 
 
@@ -51,11 +52,8 @@ def neighbourhood_minus_self(edges: DataFrame, seeds: DataFrame, depth: int, dir
 
 
 def dependents_order(reached: DataFrame) -> DataFrame:
-    """(node, hop, place): direct dependents first, then by name; place from 1."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("seed").orderBy(F.col("hop") > 1, "node")
-    return reached.where("hop > 0").withColumn("place", F.row_number().over(order))
+    """(node, hop, place): direct dependents first, then by name; place from 1. A seed with very many dependents is many tasks."""
+    return ranked(reached.where("hop > 0"), ["seed"], [F.col("hop") > 1, F.col("node")], "place")
 
 
 def cold_nodes(candidates: DataFrame, nodes: DataFrame, col: str) -> DataFrame:

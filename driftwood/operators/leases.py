@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwood.functions.digests import comparable
-from driftwood.sources.workspace import shipped
+from driftwood.operators.ordered import last_before, ranked
+from driftwood.sources.workspace import shipped, written
 
 BASE_TTL, TTL_PER_LINE = 30, 2
 
@@ -50,9 +51,8 @@ def wait_for_edges(intents: DataFrame, leases: DataFrame) -> DataFrame:
 
 
 def queue_position(queue: DataFrame) -> DataFrame:
-    """(id, node, agent, priority) with a 0-based position by priority, then arrival."""
-    order = Window.partitionBy("node").orderBy(F.col("priority").desc(), "id")
-    return queue.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    """(id, node, agent, priority) with a 0-based position by priority, then arrival. A long queue is many tasks."""
+    return ranked(queue, ["node"], [F.col("priority").desc(), F.col("id")], "position").withColumn("position", (F.col("position") - 1).cast("long"))
 
 
 def best_position(requests: DataFrame, positions: DataFrame) -> DataFrame:
@@ -131,8 +131,49 @@ def lease_replay(log: DataFrame, ttl: int, evict: str = "eager") -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("outcome", T.StringType())]))
 
 
-def change_to_block_gap(log: DataFrame, key: str, change: str, blocked: str) -> DataFrame:
-    """For each blocked event the seconds since the last change of its key. log: (key, sec, event_id, kind)."""
-    order = Window.partitionBy(key).orderBy("sec", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("kind") == change, F.col("sec")), ignorenulls=True).over(order)
-    return log.withColumn("changed_at", last).where(F.col("kind") == blocked).select(key, "event_id", (F.col("sec") - F.col("changed_at")).alias("gap"))
+def lease_replay_split(log: DataFrame, ttl: int, evict: str = "eager", width: int | None = None) -> DataFrame:
+    """As ``lease_replay``, with the log of a resource in parts, so that a hot resource is many tasks.
+
+    An acquire more than the TTL after the last one before it meets no live
+    lease, whatever came before: with it a part begins, and the lease after it is
+    known. Parts are replayed on their own. Only the first outcome of a part asks
+    for the one before: whether an expired lease was still there. ``width``:
+    seconds to a piece of the as-of steps (16 TTLs). A resource whose lease is
+    asked for again and again within the TTL is one part, as each outcome then
+    depends on the one before.
+    """
+    width, order = width or 16 * max(1, ttl), ["sec", "event_id"]
+    names = ["resource", "sec", "event_id", "agent", "op"]
+    whole = F.expr("sec is not null and agent is not null and op is not null")
+    noop = log.select(*names).where(~whole).withColumn("outcome", F.lit("noop"))
+    rows = last_before(log.select(*names).where(whole), ["resource"], "sec", order, F.when(F.col("op") == "acquire", F.col("sec")), width, "acquired")
+    rows = rows.withColumn("begins", (F.col("op") == "acquire") & (F.col("acquired").isNull() | (F.col("sec") - F.col("acquired") > ttl)))
+    rows = last_before(rows, ["resource"], "sec", order, F.when(F.col("begins"), F.struct(*order)), width, "part", inclusive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, holder, expires = (), None, 0
+        for batch in batches:
+            out, held = [], []
+            for resource, part, sec, agent, op in zip(*(batch.column(x).to_pylist() for x in ("resource", "part", "sec", "agent", "op")), strict=True):
+                if (key := comparable((resource, *(part or {}).values()))) != now:
+                    now, holder, expires = key, None, 0
+                what, holder, expires = outcome(op, agent, sec, holder, expires, ttl, evict == "eager")
+                out.append(what)
+                held.append(holder is not None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in (*names, "begins")), pa.array(out, pa.string()), pa.array(held, pa.bool_())], [*names, "begins", "outcome", "held"])
+
+    dealt = shipped(rows).select(*names, "begins", "part").repartition("resource", "part").sortWithinPartitions("resource", "part", *order)
+    fields = [x for x in dealt.schema.fields if x.name != "part"]
+    replayed = dealt.mapInArrow(run, T.StructType([*fields, T.StructField("outcome", T.StringType()), T.StructField("held", T.BooleanType())]))
+    replayed = last_before(written(replayed, "replayed"), ["resource"], "sec", order, F.col("held"), width, "before")
+    fixed = F.when(F.col("begins") & F.coalesce("before", F.lit(False)), "grant_after_expiry").otherwise(F.col("outcome"))
+    return replayed.select(*names, fixed.alias("outcome")).unionAll(noop)
+
+
+def change_to_block_gap(log: DataFrame, key: str, change: str, blocked: str, width: int = 86_400) -> DataFrame:
+    """For each blocked event the seconds since the last change of its key. log: (key, sec, event_id, kind).
+
+    An as-of join in pieces of ``width`` seconds, so that a hot key is many tasks.
+    """
+    rows = last_before(log, [key], "sec", ["sec", "event_id"], F.when(F.col("kind") == change, F.col("sec")), width, "changed_at")
+    return rows.where(F.col("kind") == blocked).select(key, "event_id", (F.col("sec") - F.col("changed_at")).alias("gap"))

@@ -650,6 +650,11 @@ def lease_replay_lazy(s, d):
     return leases.lease_replay(_ops(s, d), TTL, "lazy").select("event_id", "outcome")
 
 
+@query(with_views(_OPS + _REPLAY.format(log="ops", lazy=_EAGER) + "SELECT event_id, outcome FROM run WHERE n > 0", "log", recursive=True))
+def lease_replay_split(s, d):
+    return leases.lease_replay_split(_ops(s, d), TTL).select("event_id", "outcome")
+
+
 _FAN = """, held AS (SELECT DISTINCT agent, resource FROM log WHERE op = 'acquire'), ops AS (SELECT resource, sec, event_id, agent, op FROM log WHERE op <> 'stop'
   UNION ALL SELECT h.resource, l.sec, l.event_id, l.agent, 'release' FROM log l JOIN held h USING (agent) WHERE l.op = 'stop')"""
 
