@@ -9,7 +9,8 @@ from driftwood.llm.chat_format import chat_digests, chat_segments
 from driftwood.llm.conversation_repair import STEP, WANTED, repaired
 from driftwood.llm.decontaminate import contamination
 from driftwood.llm.html_extract import main_text
-from driftwood.llm.license_scan import LICENSE_RULES, SENTENCES, license_scan
+from driftwood.llm import license_scan as licenses
+from driftwood.llm.license_scan import license_scan
 from driftwood.llm.line_dedup import line_dedup
 from driftwood.llm.near_dedup import near_duplicates
 from driftwood.llm.ngram_join import jaccard_components
@@ -163,26 +164,40 @@ def op6_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 
-_LEFT, _FOUND = "'|' || array_to_string(ids, '||') || '|'", []
-for _name, _run in LICENSE_RULES:
-    _mark = "|" + "||".join(_run) + "|"
-    _FOUND.append(f"CASE WHEN contains({_LEFT}, '{_mark}') THEN {LICENSE_RULES.index((_name, _run))} END")
-    _LEFT = f"replace({_LEFT}, '{_mark}', '-')"
+_PATTERN_IDS = " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{i}'" for p, i in licenses.PATTERNS)
+_SPDX_ID = f"list_transform(regexp_extract_all(regexp_extract(s, '^{licenses.SPDX_LINE}$', 1), '{licenses.SPDX_NAME}'), lambda x: 'spdx-' || replace(x, ' ', '-'))"
 OP6_SQL = f"""
-WITH known(sentence, id) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in SENTENCES.items())}),
-rules(pos, license) AS (VALUES {", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(LICENSE_RULES))}),
+WITH RECURSIVE sentences(s, id) AS (
+  SELECT p.p || n.n || e.e, n.id || '-ref' FROM (VALUES {", ".join(f"('{x}')" for x in licenses.PHRASES)}) p(p), (VALUES {", ".join(f"('{a}', '{b}')" for a, b in licenses.NAMES.items())}) n(n, id), (VALUES {", ".join(f"('{x}')" for x in licenses.ENDINGS)}) e(e)
+  WHERE p.p || n.n || e.e NOT IN ({", ".join(f"'{x}'" for x in licenses.SENTENCES)})
+  UNION ALL VALUES {", ".join(f"('{a}', '{b}')" for a, b in licenses.SENTENCES.items())}
+), rules(pos, license, run) AS (VALUES {", ".join(f"({i}, '{n}', '|{'||'.join(r)}|')" for i, (n, r) in enumerate(licenses.RULES))}),
+heads AS (SELECT DISTINCT string_split(s, ' ')[1] AS head FROM sentences),
 cut AS (
-  SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS pos
-  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)) AS s FROM documents)
-), hits AS (
-  SELECT doc_id, pos, id FROM cut JOIN known
-  ON trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) = sentence
-), seqs AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM hits GROUP BY doc_id),
-found AS (SELECT doc_id, ids, unnest([{", ".join(_FOUND)}]) AS pos FROM seqs),
-names AS (SELECT doc_id, license, min(pos) AS pos FROM found JOIN rules USING (pos) GROUP BY doc_id, license),
-lists AS (SELECT doc_id, string_agg(license, ',' ORDER BY pos) AS licenses FROM names GROUP BY doc_id)
-SELECT d.doc_id, coalesce(len(ids), 0)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
-FROM documents d LEFT JOIN seqs USING (doc_id) LEFT JOIN lists USING (doc_id)
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^[ \t]*(?:C|REM|rem|dnl|@c)([ \t]|$)', '\1', 'g'), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)),
+    lambda x: trim(regexp_replace(translate(x, '{_UP}', '{_LOW}'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS w
+  FROM documents
+), starts AS (
+  SELECT doc_id, w, i, regexp_matches(array_to_string(w[i:i + 1], ' '), '{licenses.START}') AS free FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM cut)
+  WHERE string_split(w[i], ' ')[1] IN (FROM heads) OR contains(w[i], 'copyright') OR regexp_matches(array_to_string(w[i:i + 1], ' '), '{licenses.START}')
+), candidates AS (
+  SELECT doc_id, i, e, free, array_to_string(w[i:e], ' ') AS s FROM (SELECT *, unnest(range(i, least(len(w), i + {licenses.WRAPPED} - 1) + 1)) AS e FROM starts)
+), named AS (
+  SELECT doc_id, i, e, coalesce(id, CASE WHEN e = i AND regexp_full_match(c.s, '{licenses.COPYRIGHT}') THEN 'copyright' END,
+    CASE WHEN free THEN (SELECT coalesce(CASE {_PATTERN_IDS} END, CASE WHEN regexp_full_match(s, '{licenses.SPDX_LINE}') THEN array_to_string({_SPDX_ID}, ',') END) FROM (SELECT c.s AS s)) END) AS ids
+  FROM candidates c LEFT JOIN sentences USING (s)
+), longest AS (SELECT doc_id, i, max(e) AS e, arg_max(ids, e) AS ids FROM named WHERE ids IS NOT NULL GROUP BY doc_id, i),
+linked AS (SELECT *, (SELECT min(b.i) FROM longest b WHERE b.doc_id = a.doc_id AND b.i > a.e) AS following FROM longest a),
+walk(doc_id, i, ids, following) AS (
+  SELECT doc_id, i, ids, following FROM linked WHERE (doc_id, i) IN (SELECT (doc_id, min(i)) FROM longest GROUP BY doc_id)
+  UNION ALL SELECT l.doc_id, l.i, l.ids, l.following FROM walk w JOIN linked l ON l.doc_id = w.doc_id AND l.i = w.following
+), seqs AS (SELECT doc_id, string_split(string_agg(ids, ',' ORDER BY i), ',') AS ids FROM walk GROUP BY doc_id),
+applied(doc_id, pos, rest, names) AS (
+  SELECT doc_id, 0, '|' || array_to_string(ids, '||') || '|', []::VARCHAR[] FROM seqs
+  UNION ALL SELECT doc_id, a.pos + 1, replace(rest, run, '-'), CASE WHEN contains(rest, run) AND NOT list_contains(names, license) THEN list_append(names, license) ELSE names END FROM applied a JOIN rules r ON r.pos = a.pos
+)
+SELECT d.doc_id, coalesce(len(ids), 0)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(names, ','), '') AS licenses
+FROM documents d LEFT JOIN seqs USING (doc_id) LEFT JOIN (SELECT doc_id, names FROM applied WHERE pos = {len(licenses.RULES)}) USING (doc_id)
 """
 
 
