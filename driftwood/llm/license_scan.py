@@ -1,6 +1,6 @@
 """License scans by sentence rules.
 
-A text is cut into pieces, at line ends and after . ! ? before white space, and
+A text is cut into pieces, at line ends and after . ! ? : ; before white space, and
 each piece is normalised: comment marks at its start go, A-Z is lower-cased, and
 every run of other characters than a-z and 0-9 is one blank. A sentence is a piece
 or several in a row, as lines are wrapped; pieces without words don't count. A
@@ -144,7 +144,7 @@ def table() -> dict[str, str]:
 
 
 _MARK = re.compile(r"(?m)^[ \t]*+(?:C|REM|rem|dnl|@c)(?=[ \t]|$)")
-_CUT = re.compile(r"\n|(?<=[.!?])[ \t\r]+")
+_CUT = re.compile(r"\n|(?<=[.!?:;])[ \t\r]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORDS = re.compile(r"[a-z0-9]+")
 _START, _COPYRIGHT, _SPDX_LINE, _SPDX_NAME = map(re.compile, (START, COPYRIGHT, SPDX_LINE, SPDX_NAME))

@@ -174,7 +174,7 @@ WITH RECURSIVE sentences(s, id) AS (
 ), rules(pos, license, run) AS (VALUES {", ".join(f"({i}, '{n}', '|{'||'.join(r)}|')" for i, (n, r) in enumerate(licenses.RULES))}),
 heads AS (SELECT DISTINCT string_split(s, ' ')[1] AS head FROM sentences),
 cut AS (
-  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^[ \t]*(?:C|REM|rem|dnl|@c)([ \t]|$)', '\1', 'g'), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)),
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^[ \t]*(?:C|REM|rem|dnl|@c)([ \t]|$)', '\1', 'g'), '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)),
     lambda x: trim(regexp_replace(translate(x, '{_UP}', '{_LOW}'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS w
   FROM documents
 ), starts AS (
