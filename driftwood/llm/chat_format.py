@@ -58,7 +58,8 @@ def chat_segments(conversations: DataFrame, template: Template | None = None) ->
     ignored. Returns conv_id, turn_no (from 1; by turn, then role, then text;
     nulls first), seg (1 header, 2 text, 3 footer), text, loss, and valid (its
     turn's role may follow the one before). A null role or text is ''; rows with
-    a null conv_id are one conversation. Repeated rows are turns of their own.
+    a null conv_id are one conversation. Repeated rows are turns of their own. An
+    empty table gives none, and a long conversation streams through one task.
     """
     t = template or Template()
     blank = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))

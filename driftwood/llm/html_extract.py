@@ -33,7 +33,7 @@ from driftwood.llm import bytes_
 from driftwood.sources.workspace import written
 
 #: Pages whose words are used, and training pages composed from each. The most that the fit sees.
-TRAIN_PAGES, LAYOUTS = 300, 4
+TRAIN_PAGES, LAYOUTS = 300, 3
 
 # What HTML defines about elements, and words that sites use for the parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -215,7 +215,8 @@ MAIN_NAMES = ["content", "post", "article-body", "entry-content", "story", "main
 PART_NAMES = {
     "nav": ["menu", "navbar", "main-nav", "breadcrumbs"], "header": ["header", "masthead", "topbar", "banner"], "footer": ["footer", "site-footer", "copyright", "colophon"],
     "aside": ["sidebar", "widget", "related", "trending"], "ad": ["ad", "ads", "advert", "sponsored", "promo-box"], "notice": ["cookie-notice", "consent", "notice", "popup", "newsletter", "alert"],
-    "comments": ["comments", "comment-list", "discussion", "replies"],
+    "comments": ["comments", "comment-list", "discussion", "replies", "disqus_thread", "reader-comments", "responses", "comment-thread"],
+    "end": ["entry-footer", "post-meta", "tags", "share", "social-share", "byline", "author-meta"], "hero": ["hero", "headline", "page-title", "title-box", "lead-header"],
 }
 
 
@@ -266,8 +267,10 @@ class Composer:
     def block(self) -> str:
         kind, say = self.rng.random(), self.say
         if kind < 0.6:
-            return self.paras(1, _MAIN)
-        if kind < 0.69:
+            return self.paras(1, _MAIN, self.rng.choice((1, 3, 3)))
+        if kind < 0.64:  # a line in bold, closed or not
+            return f"<p{_MAIN}><b>{say(1, 5)}" + self.one(lambda: "</b></p>", lambda: "<br>", lambda: "</b>")
+        if kind < 0.71:
             return f"<h{2 + int(kind * 100) % 3}{_MAIN}>{say(1, 6)}</h{2 + int(kind * 100) % 3}>"
         if kind < 0.81:
             return f"<ul{_MAIN}>" + "".join(f"<li>{say(2, 15)}</li>" for _ in range(self.rng.randint(1, 5))) + "</ul>"
@@ -279,6 +282,20 @@ class Composer:
             return f"<div{_MAIN}>{say(8, 90)}</div>"
         return f"<table{_MAIN}>" + "".join(f"<tr><td>{say(1, 4)}<td>{say(1, 9)}</tr>" for _ in range(self.rng.randint(1, 4))) + "</table>"
 
+    def comments(self) -> str:
+        """What readers say: a heading, then one box each, with a name and a text as long as an article's."""
+        rng, say = self.rng, self.say
+        who = lambda: self.one(lambda: "", lambda: f"<b>{say(1, 2)}</b>", lambda: f'<span class="author">{say(1, 2)}</span>', lambda: f"<h4>{say(1, 3)}</h4>")
+        each = [self.tag(rng.choice(("div", "li", "article", "section")), ["comment", "reply", "comment-body", "response"], who() + self.one(lambda: self.paras(1), lambda: say(3, 60)), 0.8) for _ in range(rng.randint(1, 6))]
+        title = f"<h{rng.choice('234')}>{say(1, 3)}</h3>" if rng.random() < 0.6 else ""
+        return self.part("comments", title + "".join(each), "section")
+
+    def ending(self) -> str:
+        """Where a text is filed, who wrote it, where to share it."""
+        say = self.say
+        inner = self.one(lambda: f"{say(1, 3)}: <a href='/t'>{say(1, 2)}</a>, <a href='/u'>{say(1, 2)}</a>", lambda: f"<p>{say(1, 6)}</p>", lambda: self.links(), lambda: f"<span>{say(1, 4)}</span> <time>{say(1, 2)}</time>")
+        return self.part("end", inner, self.rng.choice(("footer", "footer", "header", "")))
+
     def article(self) -> str:
         rng = self.rng
         title = f"<h1{_MAIN}>{self.say(2, 9)}</h1>" if rng.random() < 0.75 else ""
@@ -287,14 +304,22 @@ class Composer:
             blocks[0] = self.paras(1, _MAIN)
         if not self.plain and rng.random() < 0.25:
             blocks.insert(rng.randint(0, len(blocks)), self.part("ad", self.say(2, 15)))
+        outside = ""
+        if title and len(blocks) > 1 and rng.random() < 0.15:  # a headline in a box of its own
+            outside, title = self.part("hero", title, "header" if rng.random() < 0.3 else ""), ""
         inner = title + "".join(blocks)
         how = rng.random()
+        if not self.plain and len(blocks) > 1:
+            if rng.random() < 0.2:
+                inner = self.ending() + inner if rng.random() < 0.3 else inner + self.ending()
+            if how < 0.8 and rng.random() < 0.2:
+                inner += self.comments()
         if how < (0.15 if self.plain else 0.45):
             inner = self.tag(rng.choice(("article", "main")), MAIN_NAMES, inner, 0.3)
         elif how < 0.8:
             for _ in range(rng.choice((1, 1, 2, 4))):
                 inner = self.tag(rng.choice(("div", "div", "section", "td")), MAIN_NAMES, inner, 0.9)
-        return inner
+        return outside + inner
 
     def page(self) -> str:
         rng, say = self.rng, self.say
@@ -315,8 +340,7 @@ class Composer:
             if rng.random() < 0.4:
                 rng.choice((before, after)).append(self.part("notice", f"<p>{say(4, 25)}</p><button>{say(1, 2)}</button>"))
             if rng.random() < 0.35:
-                each = [self.tag(rng.choice(("div", "li")), ["comment", "reply"], self.paras(1)) for _ in range(rng.randint(1, 6))]
-                after.append(self.part("comments", f"<h3>{say(1, 3)}</h3>" + "".join(each), "section"))
+                after.append(self.comments())
         if rng.random() < 0.3:
             rng.choice((before, after)).append(f"<form {rng.choice(('', 'class=search', 'id=login'))}><label>{say(1, 4)}</label><input name=q><button>{say(1, 2)}</button></form>")
         if rng.random() < 0.8:
@@ -359,11 +383,11 @@ def fitted(pages: DataFrame, most: int = TRAIN_PAGES) -> list[tuple[np.ndarray,
 
     seed = F.xxhash64("page_id", "html")
     sample = pages.where("html is not null").select(seed.alias("seed"), "html").orderBy("seed").limit(most)
-    nodes = written(sample.mapInPandas(_composed, "features array<double>, label double"), "training-nodes").coalesce(4)
+    nodes = written(sample.mapInPandas(_composed, "features array<double>, label double"), "training-nodes").coalesce(8)
     nodes = nodes.select(array_to_vector("features").alias("features"), "label")
     if nodes.isEmpty():
         return []
-    model = GBTClassifier(maxIter=30, maxDepth=5, stepSize=0.2, seed=7, maxMemoryInMB=128).fit(nodes)
+    model = GBTClassifier(maxIter=20, maxDepth=5, stepSize=0.3, seed=7, maxMemoryInMB=128).fit(nodes)
 
     def flat(node) -> tuple[np.ndarray, ...]:
         rows: list[list[float]] = []
@@ -415,7 +439,9 @@ def main_text(pages: DataFrame, train: DataFrame | None = None) -> DataFrame:
     pages, TRAIN_PAGES of its rows at most. Returns page_id, url, text and
     n_chars. Character references are decoded, white space inside a block is
     one space, blocks are joined by \\n in page order. Null and empty html, and
-    pages without main text, give ''. Repeated rows are each returned.
+    pages without main text, give ''. Repeated rows are each returned; an empty
+    table gives no rows. A very long page is read once, and its nodes are held.
+    Where leaving a node out and keeping it are equally likely it is left out.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     trees = pages.sparkSession.sparkContext.broadcast(fitted(pages if train is None else train))

@@ -52,3 +52,40 @@ PAGES = [
     (f'<body><header><nav>{LIST}</nav></header><article><header><h1>{T}</h1></header>{p(A, B)}<h2>What is next</h2>{p(C)}</article><section id="discussion"><ol><li><p>First!</p></li><li><p>About time that somebody did something about it.</p></li></ol></section></body>', [T, A, B, "What is next", C]),
     (f'<html><body bgcolor=white><p>{A}<p>{B}<p>{C}</body></html>', [A, B, C]),
 ]
+
+D = "The survey, which ran for three months, found that most people drive less than they did ten years ago, and that few of them miss it."
+E = "Its authors warn that the figures for rural areas rest on a small number of answers; they plan to repeat it next year."
+F = "Buses have become more frequent on all main routes since the reform, and the number of passengers has grown by a fifth."
+H = "Fewer cars than ever"
+SAID = "I could not agree more with this, my own street has been so much quieter since the change came in."
+TOO = "Nobody asked us out here in the hills, where the last bus leaves at four in the afternoon."
+MENU = "<ul>" + "".join(f'<li><a href="/{x.lower()}">{x}</a></li>' for x in ("Start", "Politics", "Culture", "Travel", "Contact")) + "</ul>"
+
+#: Written at once, before any run over them, and not changed after.
+UNSEEN = [
+    (f'<body><nav>{MENU}</nav><main><h1>{H}</h1>{p(D, E, F)}<section id="disqus_thread"><div class="post"><p>{SAID}</p></div><div class="post"><p>{TOO}</p></div></section></main></body>', [H, D, E, F]),
+    (f'<body><div class="hero"><h1>{H}</h1></div><div class="content">{p(D, E, F)}</div><div class="footer">© 2021 The Courier</div></body>', [H, D, E, F]),
+    (f'<body><header>{MENU}</header><article><h1>{H}</h1>{p(D, E)}<footer>Filed under: <a href="/t">Traffic</a>, <a href="/s">Surveys</a></footer></article></body>', [H, D, E]),
+    (f'<body><header class="site"><a href="/">Courier</a></header><article><h1>{H}</h1>{p(D, E, F)}</article><section class="comments-area"><h2>Two replies</h2><ol class="comment-list"><li class="comment"><p>{SAID}</p></li><li class="comment"><p>{TOO}</p></li></ol></section></body>', [H, D, E, F]),
+    (f"<html><body><main>{p(D, E, F)}</main></body></html>", [D, E, F]),
+    (f'<body><div class="topbar">{MENU}</div><div class="story"><h2>{H}</h2>{p(D)}<div class="sponsored">Try our new shoes today</div>{p(E, F)}</div></body>', [H, D, E, F]),
+    (f'<body><div id="cookie-consent"><p>This site uses cookies, as all of them do.</p><button>Fine</button></div><div id="main-content"><h1>{H}</h1>{p(D, E)}</div></body>', [H, D, E]),
+    (f'<body><div class="layout"><div class="sidebar"><h3>Latest</h3>{MENU}</div><div class="article-text">{p(D, E, F)}</div></div></body>', [D, E, F]),
+    (f'<body><article><h1>{H}</h1><p class="lead">{D}</p><h2>Doubts</h2>{p(E)}<ol><li>More buses</li><li>Fewer lanes</li></ol></article><aside><p>Ten towns that you should see before you turn forty.</p></aside></body>', [H, D, "Doubts", E, "More buses", "Fewer lanes"]),
+    (f'<body><form action="/search"><input name="q"><button>Search</button></form><div class="entry">{p(D, E)}</div><div id="footer">Imprint and privacy</div></body>', [D, E]),
+    (f'<body><table class="page"><tr><td class="left">{MENU}</td><td class="text"><h1>{H}</h1>{p(D, E, F)}</td></tr></table></body>', [H, D, E, F]),
+    (f'<body><nav>{MENU}</nav><article><h1>{H}</h1>{p(D, F)}<blockquote><p>{E}</p></blockquote></article><footer><p>All content is ours.</p></footer></body>', [H, D, F, E]),
+    (f'<body><div class="share-buttons"><a href="/f">Share</a> <a href="/m">Mail</a></div><div class="post-body">{p(D, E, F)}</div></body>', [D, E, F]),
+    (f'<body><div class="wrapper"><div class="wrapper-inner"><header><h2>The Courier</h2></header><div class="body-text"><h1>{H}</h1>{p(D, E)}</div></div></div></body>', [H, D, E]),
+    (f'<body><article>{p(D, E)}<div class="newsletter-signup"><p>Get the best of the week by mail.</p><form><input><button>Join</button></form></div>{p(F)}</article></body>', [D, E, F]),
+    (f'<body><div class="breadcrumbs"><a href="/">Start</a> / <a href="/t">Traffic</a></div><h1>{H}</h1>{p(D, E, F)}<div class="copyright">© 2021</div></body>', [H, D, E, F]),
+    (f'<body class="single"><main class="site-main"><article class="post"><header class="entry-header"><h1>{H}</h1></header><div class="entry-content">{p(D, E, F)}</div></article><div id="comments" class="comments-area"><p>{SAID}</p></div></main></body>', [H, D, E, F]),
+    (f'<body><p>{D}</p><p>{E}</p><div class="promo"><p>Half price on all tickets until Sunday.</p></div><p>{F}</p></body>', [D, E, F]),
+    (f'<body><div class="nav">{MENU}</div><div class="kx"><div class="ky"><h1>{H}</h1>{p(D, E, F)}</div></div><div class="kz">© 2021 Courier</div></body>', [H, D, E, F]),
+    (f"<body>{MENU}<h1>{H}</h1>{p(D, E, F)}{MENU}</body>", [H, D, E, F]),
+    (f'<body><section class="intro"><h1>{H}</h1></section><section class="text">{p(D, E)}</section><section class="responses"><h3>What readers say</h3><p>{SAID}</p><p>{TOO}</p></section></body>', [H, D, E]),
+    (f'<body><article><h1>{H}</h1><table><tr><th>Year</th><th>Cars</th></tr><tr><td>2010</td><td>900</td></tr></table>{p(D, E)}</article></body>', [H, "Year", "Cars", "2010", "900", D, E]),
+    (f'<body><div class="alert"><p>We have new terms of use.</p></div><main><p>{D} <a href="/x">More</a>.</p>{p(E)}</main><footer>{MENU}</footer></body>', [f"{D} More.", E]),
+    (f'<body><header><nav>{MENU}</nav></header><div role="main">{p(D, E, F)}</div><footer role="contentinfo"><p>The Courier, Market Street 5</p></footer></body>', [D, E, F]),
+    (f'<body><div id="top"><a href="/">The Courier</a></div><div id="body"><h1>{H}</h1>{p(D)}<h3>Rural areas</h3>{p(E, F)}</div><div id="related"><h3>Read on</h3>{MENU}</div></body>', [H, D, "Rural areas", E, F]),
+]

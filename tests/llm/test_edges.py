@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from driftwood.llm import bytes_, html_extract, line_dedup, near_dedup, quality_rules, queries, sentence_pieces, token_counts, url_filters
 from driftwood.llm.decontaminate import contamination, decontaminated
 from driftwood.llm.license_scan import license_scan
-from tests.llm.pages import PAGES
+from tests.llm.pages import PAGES, UNSEEN
 from tests.llm.test_ops import FOLDER, shingles, words
 
 LABELLED = "/root/testdata/sf0.01"
@@ -168,10 +168,12 @@ def test_quality_on_labels(spark):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 def test_pages_by_hand(spark):
     train = spark.read.parquet(f"{LABELLED}/pages.parquet")
-    pages = spark.createDataFrame([(i, "u", x) for i, (x, _) in enumerate(PAGES)], "page_id long, url string, html string")
+    both = PAGES + UNSEEN
+    pages = spark.createDataFrame([(i, "u", x) for i, (x, _) in enumerate(both)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.main_text(pages, train).collect()}
-    wrong = [(i, got[i]) for i, (_, want) in enumerate(PAGES) if got[i] != "\n".join(want)]
-    assert len(wrong) <= len(PAGES) // 10, wrong
+    wrong = [(i, got[i]) for i, (_, want) in enumerate(both) if got[i] != "\n".join(want)]
+    assert sum(i < len(PAGES) for i, _ in wrong) <= len(PAGES) // 10, wrong
+    assert sum(i >= len(PAGES) for i, _ in wrong) <= len(UNSEEN) // 10, wrong
     assert got[0] and got[1]
 
 
