@@ -15,7 +15,8 @@ Three filters keep pairs from being verified:
   1 + min(n - i - 1, m - j - 1) shingles are common (at a later common shingle
   the pair may be dropped, as it also meets at the first);
 * suffix: both sets are cut by the same pivots of the hash range; the differences
-  of the parts' sizes add up to no more than the shingles that are not common.
+  of the parts' sizes add up to no more than the shingles that are not common. The
+  cut is coarse where many rows meet, and fine before texts are read.
 
 First each node is verified against at most two likely partners, the first nodes
 of its rarest and its most frequent shared prefix shingle, which joins large groups
@@ -46,7 +47,9 @@ SHINGLE, PERCENT = 5, 80
 #: Cells of the table of counts (4 MB while it is summed, 1 MB as broadcast), whatever the input, and cells in a row of it.
 CELL_BITS, BLOCK_CELLS = 20, 4096
 #: Parts that the suffix filter's pivots cut a set into.
-PARTS = 128
+PARTS = 64
+#: Most parts of a set that two groups are compared by before their texts are read; a set has about half as many as shingles.
+FINE_PARTS = 1 << 16
 #: Rows of a shingle, and bytes of text of a pair of groups, in a block that one task compares with another block.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 4 << 20
 #: What names a comparison of two blocks of two groups.
@@ -120,6 +123,17 @@ def frequencies(docs: DataFrame, k: int) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(np.minimum(np.where(total <= 128, total, steps), 255).astype(np.uint8).ravel())
 
 
+def _fine(h: np.ndarray) -> bytes:
+    """Sizes of as many parts as a power of two near half the set, at least PARTS."""
+    parts = min(FINE_PARTS, max(PARTS, 1 << max(0, len(h) // 2 - 1).bit_length()))
+    return np.minimum(np.bincount((h & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+def _folded(sizes: np.ndarray, parts: int) -> np.ndarray:
+    """Rows of part sizes as those of fewer parts."""
+    return np.minimum(sizes.reshape(len(sizes), -1, parts).sum(axis=1, dtype=np.int32), 255)
+
+
 def _signed(k: int, percent: int, rare: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in bytes_.slices(batches):
@@ -134,13 +148,14 @@ def _signed(k: int, percent: int, rare: Broadcast):
             size = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
             bounds = np.concatenate([[0], np.cumsum(size)])
             place = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - first[:-1], size)
+            fine = [_fine(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(n),
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(n), pa.array(fine, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h[order[place]].view(np.int64))),
                     pa.array([x.tobytes() for x in np.minimum(parts, 255).astype(np.uint8)], pa.binary()),
                 ],
-                ["doc_id", "text_hash", "node", "n", "prefix", "parts"],
+                ["doc_id", "text_hash", "node", "n", "fine", "prefix", "parts"],
             )
 
     return run
@@ -243,6 +258,33 @@ def _meeting(percent: int):
     return run
 
 
+def _closer(percent: int):
+    """(low, high, node) of the nodes that have a pair between their blocks which passes the suffix filter with fine parts."""
+    names = ["low", "high", "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, GROUPS):
+            is_left = rows.column("left").to_numpy()
+            n, fine = rows.column("n").to_numpy(), rows.column("fine").to_pylist()
+            size, close = np.array([len(x) for x in fine]), np.zeros(len(n), bool)
+            rights = {p: np.flatnonzero(~is_left & (size == p)) for p in np.unique(size[~is_left]).tolist()}
+            tables = {p: np.frombuffer(b"".join(fine[i] for i in at.tolist()), np.uint8).reshape(len(at), p) for p, at in rights.items()}
+            for x in np.flatnonzero(is_left).tolist():
+                own = np.frombuffer(fine[x], np.uint8)[None]
+                for p, at in rights.items():
+                    alike = 100 * np.minimum(n[at], n[x]) >= percent * np.maximum(n[at], n[x])
+                    if alike.any():
+                        some, parts = at[alike], min(p, len(fine[x]))
+                        apart = np.abs(_folded(tables[p][alike], parts) - _folded(own, parts)).sum(axis=1)
+                        hit = some[apart <= n[some] + n[x] - 2 * least_common(n[some], n[x], percent)]
+                        close[hit] = True
+                        close[x] |= len(hit) > 0
+            if close.any():
+                yield pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(pa.array(np.flatnonzero(close))) for c in names], names)
+
+    return run
+
+
 def _joined(k: int, percent: int):
     """One link between the blocks of two groups, if there is any."""
 
@@ -288,17 +330,20 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
     rare = frequencies(docs.select("text"), k)
-    signed = docs.mapInArrow(_signed(k, percent, rare), "doc_id long, text_hash long, node binary, n long, prefix array<long>, parts binary")
+    signed = docs.mapInArrow(_signed(k, percent, rare), "doc_id long, text_hash long, node binary, n long, fine binary, prefix array<long>, parts binary")
     signed = written(signed.withColumn("nth", F.monotonically_increasing_id()), "sets")  # nth tells equal rows apart
     firsts = signed.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "nth")).alias("row"))
     firsts = written(firsts.select("row.nth"), "firsts")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = written(signed.join(small(firsts, firsts.count()), "nth").select("node", row.alias("row"), "n", "prefix", "parts"), "nodes")
+    nodes = written(signed.join(small(firsts, firsts.count()), "nth").select("node", row.alias("row"), "n", "fine", "prefix", "parts"), "nodes")
 
     repeated = written(nodes.select(F.explode("prefix").alias("key")).groupBy("key").count().where("count > 1").select("key"), "repeated")
     held, bits = bloom.shared_filter(repeated, "key", repeated.count())
     members = written(nodes.select("node", "n", "prefix").mapInArrow(_members(held, bits), "key long, node binary, n long, pos long"), "members")
-    shared = members.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("leader"), F.count("*").alias("rows")).where("rows > 1")
+    # the shingles of a passage are on the same nodes: only the first of them is needed, as it is where any two of these meet first
+    same = [F.expr(f"bit_xor(xxhash64(node, {i}))").alias(f"on_{i}") for i in (1, 2)]
+    shared = members.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("leader"), F.count("*").alias("rows"), *same).where("rows > 1")
+    shared = shared.groupBy("rows", "on_1", "on_2").agg(F.min_by(F.struct("key", "leader"), "leader.pos").alias("first")).select("first.*")
     members = written(members.join(shared, "key"), "members")
 
     def texts_of(some: DataFrame) -> DataFrame:
@@ -338,16 +383,23 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     dealt = mixed.select("key", "node", "n", "pos", "root", "parts", F.explode(F.when(F.col("root") == F.col("main"), base).otherwise(F.concat(base, probes))).alias("cell"))
     dealt = dealt.select("key", "cell.*", "node", "n", "pos", "root", "parts").repartition(*CELL).sortWithinPartitions(*CELL)
     meeting = written(dealt.mapInArrow(_meeting(percent), "low binary, high binary, node binary").distinct(), "meeting")
-    if not meeting.isEmpty():
-        texts = texts_of(meeting.select("node").distinct())
-        sided = meeting.join(roots, "node", "left").join(texts, "node").withColumn("left", F.coalesce("root", "node") == F.col("low"))
-        size = F.octet_length("text")
+
+    def in_blocks(met: DataFrame, value: str) -> DataFrame:
+        """Rows (low, high, node, n, value) of two groups in blocks of bounded size, each block of one with each of the other."""
+        sided = met.join(roots, "node", "left").withColumn("left", F.coalesce("root", "node") == F.col("low"))
+        size = F.octet_length(value)
         total = sided.groupBy("low", "high").agg(*(F.greatest(F.ceil(F.sum(F.when(F.col("left") == side, size).otherwise(0)) / BLOCK_BYTES), F.lit(1)).cast("int").alias(x) for side, x in ((True, "lows"), (False, "highs"))))
         all_of = lambda x: F.sequence(F.lit(0), F.col(x) - 1)
         block = lambda low, high: F.struct(low.alias("low_block"), high.alias("high_block"))
         cells = F.when(F.col("left"), F.transform(all_of("highs"), lambda y: block(F.pmod(place, F.col("lows")), y))).otherwise(F.transform(all_of("lows"), lambda x: block(x, F.pmod(place, F.col("highs")))))
-        blocks = sided.join(total, ["low", "high"]).select("low", "high", F.explode(cells).alias("cell"), "left", "node", "text").select("low", "high", "cell.*", "left", "node", "text")
-        more = written(blocks.repartition(*GROUPS).sortWithinPartitions(*GROUPS).mapInArrow(_joined(k, percent), "a binary, b binary"), "links")
+        rows = sided.join(total, ["low", "high"]).select("low", "high", F.explode(cells).alias("cell"), "left", "node", "n", value)
+        return rows.select("low", "high", "cell.*", "left", "node", "n", value).repartition(*GROUPS).sortWithinPartitions(*GROUPS)
+
+    if not meeting.isEmpty():
+        fine = meeting.join(nodes.select("node", "n", "fine"), "node")
+        closer = written(in_blocks(fine, "fine").mapInArrow(_closer(percent), "low binary, high binary, node binary").distinct(), "closer")
+        texts = texts_of(closer.select("node").distinct()).withColumn("n", F.lit(None).cast("long"))
+        more = written(in_blocks(closer.join(texts, "node"), "text").mapInArrow(_joined(k, percent), "a binary, b binary"), "links")
         roots = components(links.unionAll(more))
 
     rooted = signed.select("doc_id", "text_hash", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
