@@ -11,6 +11,10 @@ from driftwood.operators.ordered import ranked
 from driftwood.sources.workspace import written
 
 
+#: Rounds after which the tables of a walk become one.
+MERGED = 6
+
+
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
     forward = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     reverse = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
@@ -23,7 +27,9 @@ def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, direction
     seeds has the columns ``on`` (what names a walk; the seed itself if none)
     and ``node``. Each round joins the frontier with the edges and takes off
     what the walk has seen; frontiers are written, so a lost executor repeats
-    one round. Only emptiness reaches the driver.
+    one round, and every few rounds what was seen is written as one table, so
+    that a round does not scan one for each round before it. Only emptiness
+    reaches the driver.
     """
     on = on or ["seed"]
     if on == ["seed"] and "seed" not in seeds.columns:
@@ -38,6 +44,8 @@ def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, direction
         if frontier.isEmpty():
             break
         seen = seen.unionAll(frontier)
+        if hop % MERGED == 0:
+            seen = written(seen, "seen")
     return seen
 
 

@@ -91,6 +91,20 @@ def session_release_fanout(log: DataFrame) -> DataFrame:
     return log.where("op <> 'end'").drop("session").unionByName(ends.select("resource", "sec", "event_id", "agent", F.lit("release").alias("op")))
 
 
+def victim_release_fanout(log: DataFrame, victims: DataFrame) -> DataFrame:
+    """Adds a release of every lease that a victim ever asked for when it is wounded, and its own ask again after that.
+
+    log: (resource, sec, event_id, agent, op); victims: (agent, sec, event_id),
+    when a cycle's victim was chosen. The asks ('intent') that it had before are
+    put at the end of their queues: each comes again with the wound's event.
+    """
+    wound = victims.select("agent", F.col("sec").alias("at"), F.col("event_id").alias("wound"))
+    before = F.expr("sec < at or (sec = at and event_id < wound)")
+    own = log.where("op in ('acquire', 'intent')").join(wound, "agent").where(before).select("resource", "agent", "op", "at", "wound").distinct()
+    op = F.when(F.col("op") == "acquire", "release").otherwise("intent")
+    return log.unionByName(own.select("resource", F.col("at").alias("sec"), F.col("wound").alias("event_id"), "agent", op.alias("op")))
+
+
 def outcome(op: str | None, agent, sec: int | None, holder, expires: int, ttl: int, eager: bool) -> tuple[str, object, int]:
     """What one event does to a lease: the outcome, then the holder and expiry. Events without agent, time or op do nothing."""
     if op is None or agent is None or sec is None:

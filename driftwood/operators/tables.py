@@ -107,9 +107,14 @@ def prefix_exists(names: DataFrame, prefixes: DataFrame, like_compat: bool = Fal
     heads = names.where(F.col("name").contains(".")).select(F.substring_index("name", ".", 1).alias("prefix")).distinct()
     if not like_compat:
         return prefixes.join(heads, "prefix", "left_semi")
-    heads = heads.select(F.lower("prefix").alias("head")).distinct()
-    alike = (F.length("prefix") == F.length("head")) & F.expr(r"head LIKE replace(lower(prefix), '%', '\\%')")
-    return prefixes.join(heads, alike, "left_semi")
+    # a '_' of a prefix stands for any character: heads meet prefixes of the same length and the same places of '_', without what stands there
+    low = prefixes.withColumn("low_", F.lower("prefix"))
+    holes = F.filter(F.transform(F.split("low_", ""), lambda x, i: F.when(x == "_", i)), lambda i: i.isNotNull())
+    low = low.withColumns({"holes_": holes, "size_": F.length("low_")})
+    shapes = low.select("size_", "holes_").distinct()
+    heads = heads.select(F.lower("prefix").alias("head")).distinct().withColumn("size_", F.length("head")).join(shapes, "size_")
+    open_ = F.array_join(F.transform(F.split("head", ""), lambda x, i: F.when(F.array_contains("holes_", i), "_").otherwise(x)), "")
+    return low.join(heads.select(open_.alias("low_")).distinct(), "low_", "left_semi").drop("low_", "holes_", "size_")
 
 
 def node_id_parts(nodes: DataFrame) -> DataFrame:

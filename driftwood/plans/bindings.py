@@ -263,9 +263,9 @@ def path_prefix_map(s, d):
     return spans.path_prefix_map(paths, roots)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)")
 def cold_nodes(s, d):
-    return graph.cold_nodes(table(s, d, "customer"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return graph.cold_nodes(table(s, d, "customer"), table(s, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query(with_views(", g AS (SELECT resource, event_id, op, sec, max(CASE WHEN op = 'release' THEN struct_pack(s := sec, e := event_id) END) OVER (PARTITION BY resource ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM log) SELECT resource, event_id, sec - last.s AS gap FROM g WHERE op = 'failure'", "log"))
@@ -676,6 +676,21 @@ def session_release_fanout(s, d):
     return leases.lease_replay(leases.session_release_fanout(ops), TTL).select("resource", "event_id", "outcome")
 
 
+_WOUND = _CYCLE + """, wounds AS (SELECT arg_min(node, struct_pack(p := node % 3, n := node)) AS agent, (SELECT max(sec) FROM log) AS sec, (SELECT max(event_id) + 1 FROM log) AS event_id FROM cycles GROUP BY cycle),
+  ops AS (SELECT resource, sec, event_id, agent, op FROM log WHERE op IN ('acquire', 'release', 'failure')
+    UNION ALL SELECT h.resource, w.sec, w.event_id, w.agent, 'release' FROM wounds w JOIN (SELECT DISTINCT agent, resource FROM log WHERE op = 'acquire') h USING (agent))"""
+
+
+@query(with_views(_WOUND + _REPLAY.format(log="ops", lazy=_EAGER) + "SELECT resource, event_id, outcome FROM run WHERE n > 0", "log", "wait_edges", recursive=True))
+def victim_release_fanout(s, d):
+    """The victims of all rings of waiting agents give back what they hold when the log ends."""
+    log = v.events(s, d)
+    end = log.agg(F.max("sec").alias("sec"), (F.max("event_id") + 1).alias("event_id")).first()
+    victims = cycle_victim(s, d).select(F.col("victim").alias("agent"), F.lit(end.sec).alias("sec"), F.lit(end.event_id).alias("event_id"))
+    ops = log.where("op in ('acquire', 'release', 'failure')")
+    return leases.lease_replay(leases.victim_release_fanout(ops, victims), TTL).select("resource", "event_id", "outcome")
+
+
 @query(with_views(_FIRST.replace("event_id FROM (SELECT *", "min(event_id) AS n_first FROM (SELECT *").replace(" WHERE n = 1", " GROUP BY ALL"), "log").replace("min(event_id) AS n_first", "true AS visited"))
 def traversal_dedupe(s, d):
     return streams.traversal_dedupe(v.events(s, d).select("agent", "resource"), ["agent", "resource"]).withColumn("visited", F.lit(True))

@@ -69,3 +69,17 @@ def test_long_queue_and_many_dependents(spark):
     reached = spark.createDataFrame([("s", f"n{i:04}", 1 + i % 3) for i in range(1_000)] + [("s", "s", 0)], "seed string, node string, hop int")
     places = [r.node for r in graph.dependents_order(reached).orderBy("place").collect()]
     assert places == sorted((f"n{i:04}" for i in range(1_000)), key=lambda n: (int(n[1:]) % 3 != 0, n))
+
+
+def test_victim_gives_back_and_asks_again(spark, rows):
+    log = spark.createDataFrame([(1, 5, 1, 7, "acquire"), (2, 6, 2, 7, "intent"), (2, 7, 3, 8, "acquire"), (1, 8, 4, 8, "intent"), (3, 30, 9, 7, "acquire")], LOG)
+    victims = spark.createDataFrame([(7, 10, 5)], "agent long, sec long, event_id long")
+    added = leases.victim_release_fanout(log, victims).exceptAll(log)
+    assert rows(added) == [(1, 10, 5, 7, "release"), (2, 10, 5, 7, "intent")]
+
+
+def test_walk_merges_what_it_has_seen(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MERGED", 2)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(7)] + [(3, 0)], "src long, dst long")
+    got = graph.bounded_bfs(edges, spark.createDataFrame([(0,), (5,)], "node long"), None)
+    assert {(r.seed, r.node): r.hop for r in got.collect()} == {(0, i): i for i in range(8)} | {(5, 5): 0, (5, 6): 1, (5, 7): 2}
