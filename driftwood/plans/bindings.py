@@ -724,6 +724,23 @@ def traversal_dedupe_stream(s, d):
     return streams.drained(streams.traversal_dedupe(live, ["agent", "resource"], "at", "365 days")).select("agent", "resource").withColumn("visited", F.lit(True))
 
 
+_LIVE = """WITH c AS (SELECT event_id, json_extract(props, '$.k')::BIGINT AS node, floor(value)::BIGINT % 3 AS h, ts FROM events WHERE event_type = 'click'),
+  x AS (SELECT event_id AS change_id, json_extract(props, '$.k')::BIGINT AS node, CASE WHEN event_id % 5 > 0 THEN floor(value)::BIGINT % 3 END AS h, ts FROM events WHERE event_type = 'error')"""
+
+
+@query(_LIVE + """ SELECT event_id, change_id, CASE WHEN change_id IS NULL THEN 'quiet' WHEN x.h IS NULL THEN 'gone' WHEN x.h = c.h THEN 'same' ELSE 'drifted' END AS status
+  FROM c LEFT JOIN x ON c.node = x.node AND x.ts >= c.ts AND x.ts <= c.ts + INTERVAL 6 HOUR""")
+def live_drift(s, d):
+    """Clicks capture a node, errors change it; both come as streams, and one last row each moves the watermarks past the end."""
+    e = table(s, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("node_id"), (F.floor("value") % 3).cast("string").alias("hash"), F.col("ts").cast("timestamp").alias("at"))
+    captures = e.where("event_type = 'click'").select("event_id", "node_id", F.col("hash").alias("baseline_hash"), F.col("at").alias("captured_at"))
+    changes = e.where("event_type = 'error'").select(F.col("event_id").alias("change_id"), "node_id", F.when(F.col("event_id") % 5 > 0, F.col("hash")).alias("content_hash"), F.col("at").alias("changed_at"))
+    last = lambda x: x.limit(1).withColumn(x.columns[-1], F.lit("2100-01-01").cast("timestamp"))
+    streams_ = [streams.staged([x.withColumn("node_id", F.col("node_id")), last(x)]) for x in (captures, changes)]
+    out = streams.drained(streams.live_drift(*streams_, within="6 hours"))
+    return out.where("captured_at < '2099-01-01'").select("event_id", "change_id", "status")
+
+
 @query(with_views("SELECT a.node_id, a.content_hash AS baseline_hash, b.content_hash FROM chunks a LEFT JOIN chunks2 b USING (node_id) WHERE a.content_hash IS DISTINCT FROM b.content_hash", "chunks", "chunks2"))
 def drift_monitor(s, d):
     """The second version arrives as a stream and is held against the first; every seventh document is deleted."""

@@ -105,6 +105,26 @@ def drift_monitor(changes: DataFrame, baseline: DataFrame) -> DataFrame:
     return rows.where(~F.col("content_hash").eqNullSafe(F.col("baseline_hash")))
 
 
+def live_drift(captures: DataFrame, changes: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """What became of nodes captured with a live lease, as two streams (or tables) meet.
+
+    captures: (node_id, baseline_hash, captured_at ...); changes: (node_id,
+    content_hash, changed_at ...), a null hash for a node that is gone. Each
+    capture meets the changes of its node in the time ``within`` from it on.
+    Returns the captures' columns, the changes' other columns, content_hash and
+    status: 'same', 'drifted', 'gone', or 'quiet' for a capture without a change,
+    which a stream tells when both watermarks, ``late`` behind, have passed that
+    time. Rows later than that are dropped by Spark. Null ids meet nothing.
+    """
+    if captures.isStreaming:
+        captures, changes = captures.withWatermark("captured_at", late), changes.withWatermark("changed_at", late)
+    new = changes.withColumnRenamed("node_id", "changed_id").withColumn("changed", F.lit(True))
+    in_time = (F.col("changed_at") >= F.col("captured_at")) & (F.col("changed_at") <= F.col("captured_at") + F.expr(f"interval {within}"))
+    both = captures.join(new, (F.col("node_id") == F.col("changed_id")) & in_time, "left_outer")
+    status = F.when(F.col("changed").isNull(), "quiet").when(F.col("content_hash").isNull(), "gone").when(F.col("content_hash").eqNullSafe(F.col("baseline_hash")), "same").otherwise("drifted")
+    return both.withColumn("status", status).drop("changed_id", "changed")
+
+
 def contention_rate(outcomes: DataFrame, time: str, every: str = "1 day", late: str = "1 day") -> DataFrame:
     """Blocked and all requests by window of event time."""
     rows = outcomes.withWatermark(time, late) if outcomes.isStreaming else outcomes

@@ -65,3 +65,19 @@ print([r.outcome for r in lease_replay(log, 30).collect()])
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_ENV_LOADED", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")} | {"PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
     out = subprocess.run([sys.executable, "-c", code % root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "['grant']" in out.stdout, out.stderr[-2000:]
+
+
+def test_live_drift_over_two_streams(spark):
+    def stream(schema, *parts):
+        to = lambda rows: spark.createDataFrame(rows, schema).withColumn(schema.split()[-2], F.timestamp_seconds(schema.split()[-2]))
+        return streams.staged([to(x) for x in parts], files=1)
+
+    hour = 3600
+    captures = stream("node_id string, baseline_hash string, captured_at long", [("a", "1", 1), ("b", "1", 10), ("c", "1", 20), ("d", "1", 30), (None, "1", 40)], [("e", "1", 5 * hour), ("late", "1", 0)], [("f", "1", 99 * hour)])
+    changes = stream("node_id string, content_hash string, changed_at long", [("a", "2", 60), ("b", "1", 60), ("c", None, 60), ("a", "1", hour + 2)], [("d", "2", 31), ("e", "3", 5 * hour)], [("x", "1", 99 * hour)])
+    got = streams.drained(streams.live_drift(captures, changes, "1 hour", "1 minute")).collect()
+    seen = {(r.node_id, r.content_hash, r.status) for r in got}
+    assert seen >= {("a", "2", "drifted"), ("b", "1", "same"), ("c", None, "gone"), ("d", "2", "drifted"), ("e", "3", "drifted"), (None, None, "quiet")}, seen
+    assert not any(r.node_id in ("x", "f") for r in got)
+    still = streams.live_drift(spark.createDataFrame([("a", "1")], "node_id string, baseline_hash string").withColumn("captured_at", F.timestamp_seconds(F.lit(0))), spark.createDataFrame([], "node_id string, content_hash string, changed_at timestamp"))
+    assert [r.status for r in still.collect()] == ["quiet"]
