@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from driftwood.llm import bloom, bytes_
 from driftwood.llm.near_dedup import CELL, _runs, components, shingle_counts
 from driftwood.llm.rows import small, text_hash
-from driftwood.sources.workspace import written
+from driftwood.sources.workspace import discard, written
 
 SHINGLE, PERCENT = 5, 80
 #: Cells of the table of counts (4 MB while it is summed, 1 MB as broadcast), whatever the input, and cells in a row of it.
@@ -331,11 +331,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
     rare = frequencies(docs.select("text"), k)
     signed = docs.mapInArrow(_signed(k, percent, rare), "doc_id long, text_hash long, node binary, n long, fine binary, prefix array<long>, parts binary")
-    signed = written(signed.withColumn("nth", F.monotonically_increasing_id()), "sets")  # nth tells equal rows apart
-    firsts = signed.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "nth")).alias("row"))
+    sets = written(signed.withColumn("nth", F.monotonically_increasing_id()), "sets")  # nth tells equal rows apart
+    firsts = sets.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "nth")).alias("row"))
     firsts = written(firsts.select("row.nth"), "firsts")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = written(signed.join(small(firsts, firsts.count()), "nth").select("node", row.alias("row"), "n", "fine", "prefix", "parts"), "nodes")
+    nodes = written(sets.join(small(firsts, firsts.count()), "nth").select("node", row.alias("row"), "n", "fine", "prefix", "parts"), "nodes")
+    signed = written(sets.select("doc_id", "text_hash", "node", "n"), "rows")
+    discard(sets)
 
     repeated = written(nodes.select(F.explode("prefix").alias("key")).groupBy("key").count().where("count > 1").select("key"), "repeated")
     held, bits = bloom.shared_filter(repeated, "key", repeated.count())
@@ -344,7 +346,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     same = [F.expr(f"bit_xor(xxhash64(node, {i}))").alias(f"on_{i}") for i in (1, 2)]
     shared = members.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("leader"), F.count("*").alias("rows"), *same).where("rows > 1")
     shared = shared.groupBy("rows", "on_1", "on_2").agg(F.min_by(F.struct("key", "leader"), "leader.pos").alias("first")).select("first.*")
-    members = written(members.join(shared, "key"), "members")
+    candidates, members = members, written(members.join(shared, "key"), "members")
+    discard(candidates)
 
     def texts_of(some: DataFrame) -> DataFrame:
         ends = written(some.join(nodes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash")), "pair-nodes")
