@@ -288,7 +288,7 @@ class Composer:
         who = lambda: self.one(lambda: "", lambda: f"<b>{say(1, 2)}</b>", lambda: f'<span class="author">{say(1, 2)}</span>', lambda: f"<h4>{say(1, 3)}</h4>")
         each = [self.tag(rng.choice(("div", "li", "article", "section")), ["comment", "reply", "comment-body", "response"], who() + self.one(lambda: self.paras(1), lambda: say(3, 60)), 0.8) for _ in range(rng.randint(1, 6))]
         title = f"<h{rng.choice('234')}>{say(1, 3)}</h3>" if rng.random() < 0.6 else ""
-        return self.part("comments", title + "".join(each), "section")
+        return self.tag(rng.choice(("div", "section", "section", "aside")), PART_NAMES["comments"], title + "".join(each))
 
     def ending(self) -> str:
         """Where a text is filed, who wrote it, where to share it."""
