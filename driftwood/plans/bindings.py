@@ -737,7 +737,7 @@ def live_drift(s, d):
     changes = e.where("event_type = 'error'").select(F.col("event_id").alias("change_id"), "node_id", F.when(F.col("event_id") % 5 > 0, F.col("hash")).alias("content_hash"), F.col("at").alias("changed_at"))
     last = lambda x: x.limit(1).withColumn(x.columns[-1], F.lit("2100-01-01").cast("timestamp"))
     streams_ = [streams.staged([x.withColumn("node_id", F.col("node_id")), last(x)]) for x in (captures, changes)]
-    out = streams.drained(streams.live_drift(*streams_, within="6 hours"))
+    out = streams.drained(streams.live_drift(*streams_, within="6 hours").select("captured_at", "event_id", "change_id", "status"))
     return out.where("captured_at < '2099-01-01'").select("event_id", "change_id", "status")
 
 

@@ -115,14 +115,23 @@ def live_drift(captures: DataFrame, changes: DataFrame, within: str = "1 hour",
     status: 'same', 'drifted', 'gone', or 'quiet' for a capture without a change,
     which a stream tells when both watermarks, ``late`` behind, have passed that
     time. Rows later than that are dropped by Spark. Null ids meet nothing.
+
+    Time is cut into pieces no shorter than ``within``. A capture stands in its
+    own piece, a change in its own and in the one before, so that a node's
+    captures are held against the changes around them and each pair meets once.
     """
     if captures.isStreaming:
         captures, changes = captures.withWatermark("captured_at", late), changes.withWatermark("changed_at", late)
-    new = changes.withColumnRenamed("node_id", "changed_id").withColumn("changed", F.lit(True))
+    start = "timestamp'2001-01-01 00:00:00'"
+    span = captures.sparkSession.sql(f"SELECT unix_micros({start} + interval {within}) - unix_micros({start})").first()[0]
+    width = max(1, span + span // 6)  # days and months are of unequal length
+    piece = lambda at: F.expr(f"unix_micros(cast({at} as timestamp)) div {width}")
+    captures = captures.withColumn("piece", piece("captured_at"))
+    new = changes.withColumnRenamed("node_id", "changed_id").withColumn("changed", F.explode(F.array(piece("changed_at") - 1, piece("changed_at"))))
     in_time = (F.col("changed_at") >= F.col("captured_at")) & (F.col("changed_at") <= F.col("captured_at") + F.expr(f"interval {within}"))
-    both = captures.join(new, (F.col("node_id") == F.col("changed_id")) & in_time, "left_outer")
+    both = captures.join(new, (F.col("node_id") == F.col("changed_id")) & (F.col("piece") == F.col("changed")) & in_time, "left_outer")
     status = F.when(F.col("changed").isNull(), "quiet").when(F.col("content_hash").isNull(), "gone").when(F.col("content_hash").eqNullSafe(F.col("baseline_hash")), "same").otherwise("drifted")
-    return both.withColumn("status", status).drop("changed_id", "changed")
+    return both.withColumn("status", status).drop("changed_id", "changed", "piece")
 
 
 def contention_rate(outcomes: DataFrame, time: str, every: str = "1 day", late: str = "1 day") -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwood.operators import leases
+from driftwood.streaming import streams
 
 
 @pytest.mark.parametrize(("seed", "evict", "block"), [(1, "eager", 1024), (2, "lazy", 2)])
@@ -33,3 +34,24 @@ def test_shuffled_ends(spark, rows, monkeypatch):
     monkeypatch.setattr(leases, "BROADCAST_ENDS", 0)
     log = spark.createDataFrame([(i % 7, i % 3, i, i, i % 7, "stop" if i % 5 == 0 else "acquire") for i in range(200)], "session long, resource long, sec long, event_id long, agent long, op string")
     assert rows(leases.lease_replay_fanout(log, 30, "stop")) == rows(leases.lease_replay(leases.agent_release_fanout(log.drop("session")), 30).select("resource", "sec", "event_id", "agent", "op", "outcome"))
+
+
+def test_live_drift_meets_changes_of_the_time_only(spark, rows):
+    rng = random.Random(3)
+    hour = 3600
+    at = lambda n: [rng.choice([rng.randint(-50 * hour, 50 * hour), hour * rng.randint(-50, 50)]) for _ in range(n)]
+    old = [(i, rng.choice("ab"), "1", x) for i, x in enumerate([*at(300), None])]
+    new = [(i, rng.choice("ab"), rng.choice(["1", "2", None]), x) for i, x in enumerate([*at(300), None])]
+    time = lambda df, x: df.withColumn(x, F.timestamp_seconds(x))
+    captures = time(spark.createDataFrame(old, "i long, node_id string, baseline_hash string, captured_at long"), "captured_at")
+    changes = time(spark.createDataFrame(new, "j long, node_id string, content_hash string, changed_at long"), "changed_at")
+    got = streams.live_drift(captures, changes, "3 hours")
+    pairs = {(a[0], b[0]) for a in old for b in new if a[1] == b[1] and a[3] is not None and b[3] is not None and a[3] <= b[3] <= a[3] + 3 * hour}
+    quiet = {(a[0], None) for a in old} - {(i, None) for i, _ in pairs}
+    assert rows(got.select("i", "j")) == sorted(pairs | quiet, key=str) and len(pairs) > 300
+    assert {r.i for r in got.where("status = 'quiet'").collect()} == {i for i, _ in quiet}
+    keys = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert len(keys) == 1 and "piece" in keys[0].split("[")[1]  # the join has the time among its keys
+    for within in ("1 month", "1 day", "0 seconds"):
+        want = captures.alias("c").join(changes.alias("x"), F.expr(f"c.node_id = x.node_id and changed_at >= captured_at and changed_at <= captured_at + interval {within}")).select("i", "j")
+        assert rows(streams.live_drift(captures, changes, within).where("j is not null").select("i", "j")) == rows(want)
