@@ -42,6 +42,24 @@ def _opened() -> Column:
     return F.when(v.isNull(), own).when(kind == "OBJECT", F.concat(own, items)).otherwise(F.concat(own, element))
 
 
+def alike(json: Column) -> Column:
+    """Valid JSON with one value for all of a type: equal texts, equal structure. Keys, nulls, odd numbers and white space stay.
+
+    Strings become "", whole numbers of up to 18 digits 1, other plain numbers
+    1.5, booleans true; of a list of such values the first stays. Control
+    characters, which no valid JSON holds, stand for them in between, so that
+    only keys have quotes.
+    """
+    text = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    free = r"(?<![\d.eE+-])-?"
+    for mark, found in (("\x03", r'"[^"]*+"'), ("\x04", free + r"\d{1,18}+(?![\d.eE])"), ("\x05", free + r"\d{1,15}+\.\d{1,15}+(?![\d.eE])"), ("\x06", "true|false"), ("\x07", r'(\[[^\[\]{}",]++),[^\[\]{}"]*+\]')):
+        text = F.regexp_replace(text, r'("[^"]*+"\s*+:)|' + found, f"$1{'$2' if mark == chr(7) else ''}{mark}")
+        text = F.replace(text, F.lit(f":{mark}"), F.lit(":"))  # a key is followed by the mark, too
+    for mark, value in zip("\x07\x06\x05\x04\x03\x02\x01", ("]", "true", "1.5", "1", '""', '\\"', "\\\\"), strict=True):
+        text = F.replace(text, F.lit(mark), F.lit(value))
+    return text
+
+
 def infer_structure(rows: DataFrame, entity: str, json_col: str, depth: int | None = None) -> DataFrame:
     """(entity, path, type, n_records) of JSON values down to ``depth`` levels (None: all).
 
@@ -51,15 +69,17 @@ def infer_structure(rows: DataFrame, entity: str, json_col: str, depth: int | No
     that type there; null and unreadable values are no records. ``entity`` may be
     a column of any type that can be grouped, a struct too.
 
-    LEVELS levels are opened in one pass over the values; only what lies deeper
-    takes another one. Only emptiness reaches the driver.
+    Values that differ in nothing but strings and numbers (``alike``) are counted
+    first and opened once. LEVELS levels are opened in one pass over them; only
+    what lies deeper takes another one. Only emptiness reaches the driver.
     """
     v = F.col("v")
-    now = rows.select(F.col(entity).alias("entity"), F.try_parse_json(json_col).alias("v")).where("v is not null").select("entity", F.inline(F.array(_found(F.lit("$"), _type(v), v))))
+    valid = rows.where(F.try_parse_json(json_col).isNotNull()).select(F.col(entity).alias("entity"), alike(F.col(json_col)).alias("json"))
+    now = valid.groupBy("entity", "json").agg(F.count("*").alias("n")).select("entity", "n", F.parse_json("json").alias("v")).select("entity", "n", F.inline(F.array(_found(F.lit("$"), _type(v), v))))
     done, left = [], depth
     while True:
         for _ in range(LEVELS if left is None else min(LEVELS, left)):
-            now = now.select("entity", F.inline(_opened()))
+            now = now.select("entity", "n", F.inline(_opened()))
         now = written(now, "structure")
         left = None if left is None else max(0, left - LEVELS)
         if left == 0 or now.where("v is not null").isEmpty():
@@ -68,7 +88,7 @@ def infer_structure(rows: DataFrame, entity: str, json_col: str, depth: int | No
         now = now.where("v is not null")
     for x in done:
         now = now.unionAll(x)
-    return now.groupBy("entity", "path", "type").agg(F.count("*").alias("n_records"))
+    return now.groupBy("entity", "path", "type").agg(F.sum("n").alias("n_records"))
 
 
 def required_paths(structure: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from driftwood.operators import leases
+from driftwood.operators import contracts, leases
 from driftwood.streaming import streams
 
 
@@ -55,3 +56,25 @@ def test_live_drift_meets_changes_of_the_time_only(spark, rows):
     for within in ("1 month", "1 day", "0 seconds"):
         want = captures.alias("c").join(changes.alias("x"), F.expr(f"c.node_id = x.node_id and changed_at >= captured_at and changed_at <= captured_at + interval {within}")).select("i", "j")
         assert rows(streams.live_drift(captures, changes, within).where("j is not null").select("i", "j")) == rows(want)
+
+
+def test_alike_values_are_opened_once(spark, rows, monkeypatch):
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice('a1:,"\\\\[]{}.e-\\n true false é') for _ in range(rng.randint(0, 6)))
+    odd = lambda: rng.choice(["1", "-0", "0", "1.0", "-1.25", "1e5", "1E-5", "2.5e+3", "123456789012345678", "9223372036854775807", "12345678901234567890", "1" * 39, "1" * 60, "12345678901234567890.0", "0." + "1" * 40, "true", "false", "null"])
+
+    def value(depth):
+        kind = rng.random()
+        if depth and kind < 0.35:
+            return "{" + ", ".join(f"{x}: {value(depth - 1)}" for x in {json.dumps(text()) for _ in range(rng.randint(0, 3))}) + "}"
+        if depth and kind < 0.6:
+            return "[" + rng.choice([",", " , "]).join(value(depth - 1) for _ in range(rng.randint(0, 3))) + "]"
+        return json.dumps(text(), ensure_ascii=rng.random() < 0.5) if kind < 0.8 else odd()
+
+    table = [("e", value(3)) for _ in range(1500)] + [("e", x) for x in ("{", '{"a": }', "01", "[1, 2", "", None, '{"a": "x"', ' {"k" : "v" , "w":[ "a" , 1 ]} ', '"', "\x04")]
+    table = spark.createDataFrame(table, "e string, j string")
+    got = rows(contracts.infer_structure(table, "e", "j"))
+    repeated = spark.createDataFrame([("e", f'{{"a{i % 2}": {i}, "b": "{i}", "c": {i}.5, "d": [{i}, {i}]}}') for i in range(500)], "e string, j string")
+    assert repeated.select(contracts.alike(F.col("j"))).distinct().count() == 2  # 500 values, two of them opened
+    monkeypatch.setattr(contracts, "alike", lambda x: x)
+    assert got == rows(contracts.infer_structure(table, "e", "j")) and len(got) > 500
