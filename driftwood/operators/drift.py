@@ -65,6 +65,11 @@ def file_fresh(stored: DataFrame, current: DataFrame, file: str = "file") -> Dat
 
 def index_change_flags(old: DataFrame, new: DataFrame, file: str = "file") -> DataFrame:
     """Per file: did the set of node ids change, did a kind change, is it gone, did any hash change. Nodes have a kind."""
+    return index_states(old, new, file).drop("fresh")
+
+
+def index_states(old: DataFrame, new: DataFrame, file: str = "file") -> DataFrame:
+    """As ``index_change_flags``, with what ``file_fresh`` tells, from one join."""
     a = old.select(file, "node_id", F.col("content_hash").alias("h0"), F.col("kind").alias("k0"))
     b = new.select(file, "node_id", F.col("content_hash").alias("h1"), F.col("kind").alias("k1"))
     known, left = F.bool_or(F.col("h0").isNotNull()), F.bool_or(F.col("h1").isNotNull())
@@ -73,6 +78,7 @@ def index_change_flags(old: DataFrame, new: DataFrame, file: str = "file") -> Da
         (known & F.bool_or(F.coalesce(F.col("k0") != F.col("k1"), F.lit(False)))).alias("kinds_changed"),
         (~left).alias("deleted"),
         F.bool_or(~F.col("h0").eqNullSafe(F.col("h1"))).alias("changed"),
+        F.bool_and(F.col("h0").eqNullSafe(F.col("h1")) & F.col("h0").isNotNull()).alias("fresh"),
     )
 
 

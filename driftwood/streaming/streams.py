@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftwood.operators.drift import file_fresh, index_change_flags
+from driftwood.operators.drift import index_states
 from driftwood.operators.graph import reindex_set
 from driftwood.operators.leases import outcome
 from driftwood.operators.tables import event_router, upsert_last_wins
@@ -171,10 +171,9 @@ class Index:
         return rows.where(f"{rows.columns[0]} is not null")
 
     def replace(self, name: str, rows: DataFrame, touched: DataFrame) -> None:
-        """The touched buckets hold these rows from now on. A row of nulls keeps an empty one from being skipped."""
+        """The touched buckets hold these rows from now on; they must not be read from the table itself. A row of nulls keeps an empty one from being skipped."""
         none = [F.lit(None).cast("string").alias(x) for x in rows.columns if x != "bucket"]
-        rows = written(rows.unionByName(touched.select(*none, "bucket")), name)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        rows.unionByName(touched.select(*none, "bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
 
 def index_stream(changes: DataFrame, index: Index, segment: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
@@ -190,26 +189,32 @@ def index_stream(changes: DataFrame, index: Index, segment: Callable[[DataFrame]
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        last = written(upsert_last_wins(batch.select("file", "seq", "event", "text"), ["file"], ["seq"]).withColumn("bucket", index.bucket("file")), "changes")
-        there = last.where("event <> 'unlink'").select("file", "text")
+        events = batch.select("file", "seq", "event", "text")
+        if not events.groupBy("file").count().where("count > 1").isEmpty():
+            events = written(upsert_last_wins(events, ["file"], ["seq"]), "changes")
+        # texts of files that come once are read where they are, neither shuffled nor written
+        last = written(events.select("file", "event", index.bucket("file").alias("bucket")), "changes")
+        there = events.where("event <> 'unlink'").select("file", "text")
         new = written(segment(there).select("file", "node_id", "content_hash", "kind").withColumn("bucket", index.bucket("file")), "segments")
         touched = [r.bucket for r in last.select("bucket").distinct().collect()]  # ``buckets`` values at most
-        stored = index.read("nodes").where(F.col("bucket").isin(touched))
-        old = written(stored.join(last.select("file"), "file", "left_semi"), "stored")
-        stale = written(last.select("file", "event").join(file_fresh(old, new).where("fresh"), "file", "left_anti"), "stale").select("file")
+        stored = written(index.read("nodes").where(F.col("bucket").isin(touched)), "stored")
+        first = stored.isEmpty()  # then no file is known, and there is nothing to compare
+        states = None if first else written(index_states(stored.join(last.select("file"), "file", "left_semi"), new), "states")
+        stale = last.select("file") if first else written(last.select("file", "event").join(states.where("fresh"), "file", "left_anti"), "stale").select("file")
         if stale.isEmpty():
             return
-        flags = written(index_change_flags(old, new), "flags")
+        of_stale = lambda x: x if first else x.join(stale, "file", "left_semi")
         edges = index.read("edges")
-        refresh = reindex_set(flags.where("ids_changed or kinds_changed or deleted").withColumn("changed", F.lit(False)), edges.select("src", "dst"))
+        moved = last.limit(0).select("file") if first else states.where("ids_changed or kinds_changed or deleted").select("file")
+        refresh = reindex_set(moved.select("file", *(F.lit(x == "deleted").alias(x) for x in ("ids_changed", "kinds_changed", "deleted", "changed"))), edges.select("src", "dst"))
         refresh.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{index.path}/refresh")
         gone = last.where("event = 'unlink'").select(F.col("file").alias("dst"))
-        added = links(there.join(stale, "file", "left_semi")).select("src", "dst").distinct().join(gone, "dst", "left_anti").select("src", "dst").withColumn("bucket", index.bucket("src"))
-        lost = edges.join(gone, "dst", "left_semi").select("bucket").union(last.join(stale, "file", "left_semi").select("bucket")).distinct()
-        kept = edges.join(lost, "bucket", "left_semi").join(stale.select(F.col("file").alias("src")), "src", "left_anti").join(gone, "dst", "left_anti")
+        added = links(of_stale(there)).select("src", "dst").distinct().join(gone, "dst", "left_anti").select("src", "dst").withColumn("bucket", index.bucket("src"))
+        lost = written(edges.join(gone, "dst", "left_semi").select("bucket").union(of_stale(last).select("bucket")).distinct(), "lost")
+        kept = written(edges.join(lost, "bucket", "left_semi"), "edges").join(stale.select(F.col("file").alias("src")), "src", "left_anti").join(gone, "dst", "left_anti")
         index.replace("edges", kept.select("src", "dst", "bucket").unionByName(added), lost)
-        kept = stored.join(stale, "file", "left_anti").select("file", "node_id", "content_hash", "kind", "bucket")
-        index.replace("nodes", kept.unionByName(new.join(stale, "file", "left_semi")), last.select("bucket").distinct())
+        kept = stored if first else stored.join(stale, "file", "left_anti")
+        index.replace("nodes", kept.select("file", "node_id", "content_hash", "kind", "bucket").unionByName(of_stale(new)), last.select("bucket").distinct())
 
     index.create()
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

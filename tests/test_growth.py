@@ -78,3 +78,18 @@ def test_alike_values_are_opened_once(spark, rows, monkeypatch):
     assert repeated.select(contracts.alike(F.col("j"))).distinct().count() == 2  # 500 values, two of them opened
     monkeypatch.setattr(contracts, "alike", lambda x: x)
     assert got == rows(contracts.infer_structure(table, "e", "j")) and len(got) > 500
+
+
+def test_a_batch_without_repeats_writes_no_texts(spark, rows, tmp_path, monkeypatch):
+    names, write = [], streams.written
+    monkeypatch.setattr(streams, "written", lambda df, name: (names.append((name, tuple(df.columns))), write(df, name))[1])
+    segment = lambda x: x.select("file", F.concat("file", F.lit("::1")).alias("node_id"), F.sha2("text", 256).alias("content_hash"), F.lit("benign").alias("kind"))
+    links = lambda x: x.where("text like '-> %'").select(F.col("file").alias("src"), F.substring("text", 4, 9).alias("dst"))
+    parts = [[("a", 1, "change", "x"), ("b", 1, "change", "-> a"), ("c", 1, "change", "-> b")], [("a", 2, "unlink", None), ("c", 3, "change", "z"), ("c", 2, "change", "-> a")], [("b", 4, "change", "-> a")]]
+    index = streams.Index(spark, str(tmp_path / "index"), 2)
+    live = streams.staged([spark.createDataFrame(x, "file string, seq long, event string, text string") for x in parts], 1)
+    streams.index_stream(live, index, segment, links, str(tmp_path / "state")).awaitTermination()
+    assert rows(index.read("nodes").select("file")) == [("b",), ("c",)] and index.read("nodes").where("file = 'c'").first().content_hash == rows(spark.sql("select sha2('z', 256)"))[0][0]
+    assert rows(index.read("edges").select("src", "dst")) == [] and rows(index.read("refresh").select("file", "batch")) == [("b", 1)]
+    assert [i for i, (_, cols) in enumerate(names) if "text" in cols] == [next(i for i, x in enumerate(names) if x[0] == "changes" and "text" in x[1])]  # only the batch that repeats a file
+    assert sum(x[0] == "states" for x in names) == 2  # the first batch meets no known file; later ones are compared once each
