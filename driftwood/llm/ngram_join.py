@@ -20,10 +20,12 @@ Three filters keep pairs from being verified:
 
 First each node is verified against at most two likely partners, the first nodes
 of its rarest and its most frequent shared prefix shingle, which joins large groups
-of near copies. Then groups that still meet on a shingle are compared with each
-other, within tasks and in blocks of bounded size: whether any pair between two
-groups is linked, where a pair is looked at once. So no table of all pairs of a
-group is made and no link between groups is lost.
+of near copies. Then the groups that still meet on a shingle are compared with each
+other, within tasks and in blocks of bounded size, by the filters and at last by
+their texts. What passes from one comparison to the next are a shingle's nodes with
+any partner in another group, and what comes out are as many links as join the
+groups. So no table of all pairs of nodes or groups is made and no link between
+groups is lost.
 """
 
 from __future__ import annotations
@@ -50,10 +52,8 @@ CELL_BITS, BLOCK_CELLS = 20, 4096
 PARTS = 64
 #: Most parts of a set that two groups are compared by before their texts are read; a set has about half as many as shingles.
 FINE_PARTS = 1 << 16
-#: Rows of a shingle, and bytes of text of a pair of groups, in a block that one task compares with another block.
+#: Rows of a shingle, and their bytes of parts or text, in a block that one task compares with another block.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 4 << 20
-#: What names a comparison of two blocks of two groups.
-GROUPS = ["low", "high", "low_block", "high_block"]
 
 
 def space_words(data: np.ndarray, off: np.ndarray) -> bytes_.Spans:
@@ -229,85 +229,97 @@ def _verified(k: int, percent: int):
     return run
 
 
-def _meeting(percent: int):
-    """(low, high, node): nodes with a pair between the groups low and high that passes the filters."""
-    names = ["low", "high", "node"]
+def _comparisons(rows: pa.Table) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Rows that others are compared with, (row, with how many of them it is compared), and the group of each row as a number.
+
+    Of two rows that are on both sides, only the later is compared with the earlier.
+    """
+    probe, base = (rows.column(x).to_numpy() for x in ("probe", "base"))
+    only, both = np.flatnonzero(base & ~probe), np.flatnonzero(base & probe)
+    others = np.concatenate([only, both])
+    pairs = [*zip(both.tolist(), range(len(only), len(others)), strict=True), *((x, len(others)) for x in np.flatnonzero(probe & ~base).tolist())]
+    return others, pairs, rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+
+
+def _kept(close):
+    """(key, node) of the rows of a cell that ``close`` marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[bytes, bytes, bytes], None] = {}
         for rows in _runs(batches, CELL):
-            probe = rows.column("probe").to_numpy()
-            probes, base = np.flatnonzero(probe), np.flatnonzero(~probe)
-            coded = rows.column("root").combine_chunks().dictionary_encode()
-            group, names_of = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            node = rows.column("node").to_pylist()
-            n, pos = rows.column("n").to_numpy(), rows.column("pos").to_numpy()
-            parts = _parts(rows.column("parts").combine_chunks())
-            others = n[base], pos[base], parts[base], group[base]
-            for x in probes.tolist():
-                hit = np.flatnonzero(may_link(n[x], others[0], pos[x], others[1], parts[x], others[2], percent) & (others[3] != group[x]))
-                for y in base[hit].tolist():
-                    pair = sorted((names_of[group[x]], names_of[group[y]]))
-                    found[pair[0], pair[1], node[x]] = found[pair[0], pair[1], node[y]] = None
-                if len(found) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.binary()) for i in range(3)], names)
-                    found = {}
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.binary()) for i in range(3)], names)
+            at = np.flatnonzero(close(rows))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([rows.column(x).combine_chunks().take(pa.array(at)) for x in ("key", "node")], ["key", "node"])
 
     return run
 
 
-def _closer(percent: int):
-    """(low, high, node) of the nodes that have a pair between their blocks which passes the suffix filter with fine parts."""
-    names = ["low", "high", "node"]
+def _meeting(percent: int):
+    """Marks the rows that pass the filters with a row of another group."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, GROUPS):
-            is_left = rows.column("left").to_numpy()
-            n, fine = rows.column("n").to_numpy(), rows.column("fine").to_pylist()
-            size, close = np.array([len(x) for x in fine]), np.zeros(len(n), bool)
-            rights = {p: np.flatnonzero(~is_left & (size == p)) for p in np.unique(size[~is_left]).tolist()}
-            tables = {p: np.frombuffer(b"".join(fine[i] for i in at.tolist()), np.uint8).reshape(len(at), p) for p, at in rights.items()}
-            for x in np.flatnonzero(is_left).tolist():
-                own = np.frombuffer(fine[x], np.uint8)[None]
-                for p, at in rights.items():
-                    alike = 100 * np.minimum(n[at], n[x]) >= percent * np.maximum(n[at], n[x])
-                    if alike.any():
-                        some, parts = at[alike], min(p, len(fine[x]))
-                        apart = np.abs(_folded(tables[p][alike], parts) - _folded(own, parts)).sum(axis=1)
-                        hit = some[apart <= n[some] + n[x] - 2 * least_common(n[some], n[x], percent)]
-                        close[hit] = True
-                        close[x] |= len(hit) > 0
-            if close.any():
-                yield pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(pa.array(np.flatnonzero(close))) for c in names], names)
+    def close(rows: pa.Table) -> np.ndarray:
+        others, pairs, group = _comparisons(rows)
+        n, pos = rows.column("n").to_numpy(), rows.column("pos").to_numpy()
+        parts, marked = _parts(rows.column("parts").combine_chunks()), np.zeros(len(n), bool)
+        m, j, m_parts, their = n[others], pos[others], parts[others], group[others]
+        for x, k in pairs:
+            hit = others[:k][may_link(n[x], m[:k], pos[x], j[:k], parts[x], m_parts[:k], percent) & (their[:k] != group[x])]
+            marked[hit] = True
+            marked[x] |= len(hit) > 0
+        return marked
 
-    return run
+    return _kept(close)
+
+
+def _closer(percent: int):
+    """Marks the rows that pass the suffix filter with fine parts with a row of another group."""
+
+    def close(rows: pa.Table) -> np.ndarray:
+        others, pairs, group = _comparisons(rows)
+        n, fine = rows.column("n").to_numpy(), rows.column("fine").to_pylist()
+        size, marked = np.array([len(x) for x in fine]), np.zeros(len(n), bool)
+        places = {p: np.flatnonzero(size[others] == p) for p in np.unique(size[others]).tolist()}
+        tables = {p: np.frombuffer(b"".join(fine[i] for i in others[at].tolist()), np.uint8).reshape(len(at), p) for p, at in places.items()}
+        for x, k in pairs:
+            own = np.frombuffer(fine[x], np.uint8)[None]
+            for p, at in places.items():
+                y = others[at]
+                alike = np.flatnonzero((at < k) & (group[y] != group[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])))
+                if len(alike):
+                    some, parts = y[alike], min(p, len(fine[x]))
+                    apart = np.abs(_folded(tables[p][alike], parts) - _folded(own, parts)).sum(axis=1)
+                    hit = some[apart <= n[some] + n[x] - 2 * least_common(n[some], n[x], percent)]
+                    marked[hit] = True
+                    marked[x] |= len(hit) > 0
+        return marked
+
+    return _kept(close)
 
 
 def _joined(k: int, percent: int):
-    """One link between the blocks of two groups, if there is any."""
+    """Links between rows of different groups in their cell, as many as join these groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, GROUPS):
-            left = np.flatnonzero(rows.column("left").to_numpy())
+        for rows in _runs(batches, CELL):
+            others, pairs, group = _comparisons(rows)
             row, element, n = _overlaps([rows.column("text").combine_chunks()], k)
-            is_left = np.zeros(len(n), bool)
-            is_left[left] = True
-            inner = ~is_left[row]
+            inner = np.isin(row, others)
             holders = row[inner][np.argsort(element[inner], kind="stable")]
             many = np.bincount(element[inner], minlength=int(element.max(initial=-1)) + 1)
             start, own = np.cumsum(many) - many, np.searchsorted(row, np.arange(len(n) + 1))
-            for x in left.tolist():
+            node, links = rows.column("node").to_pylist(), []
+            for x, upto in pairs:
+                y = others[:upto][group[others[:upto]] != group[x]]
+                if not len(y):
+                    continue
                 e = element[own[x] : own[x + 1]]
                 at = np.repeat(start[e] - (np.cumsum(many[e]) - many[e]), many[e]) + np.arange(many[e].sum())
-                common = np.bincount(holders[at], minlength=len(n))
-                hit = np.flatnonzero((common > 0) & (100 * common >= percent * (n + n[x] - common)))
-                if len(hit):
-                    node = rows.column("node")
-                    pair = sorted((node[x].as_py(), node[int(hit[0])].as_py()))
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in pair], ["a", "b"])
-                    break
+                common = np.bincount(holders[at], minlength=len(n))[y]
+                for z in y[(common > 0) & (100 * common >= percent * (n[y] + n[x] - common))].tolist():
+                    if group[z] != group[x]:
+                        links.append(sorted((node[x], node[z])))
+                        group[group == group[z]] = group[x]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in links], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     return run
 
@@ -371,38 +383,39 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     roots = components(links)
     roots = small(roots, roots.count())
 
-    grouped = members.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("groups"), F.sum("size").alias("rows"), (F.sum("size") - F.max("size")).alias("outside")).where("groups > 1")
-    main = written(main, "main")
-    mixed = grouped.join(small(main, main.count()), "key").join(nodes.select("node", "parts"), "node")
-
-    # rows outside of a key's largest group meet all rows of the key, in blocks; those within it are linked with each other
-    inner, outer = (F.ceil(F.col(x) / BLOCK_ROWS).cast("int") for x in ("rows", "outside"))
-    place = F.hash("node")
-    cell = lambda block, outer_block, probe: F.struct(block.alias("block"), outer_block.alias("outer"), F.lit(probe).alias("probe"))
-    base = F.transform(F.sequence(F.lit(0), outer - 1), lambda y: cell(F.pmod(place, inner), y, False))
-    probes = F.transform(F.sequence(F.lit(0), inner - 1), lambda x: cell(x, F.pmod(place, outer), True))
-    dealt = mixed.select("key", "node", "n", "pos", "root", "parts", F.explode(F.when(F.col("root") == F.col("main"), base).otherwise(F.concat(base, probes))).alias("cell"))
-    dealt = dealt.select("key", "cell.*", "node", "n", "pos", "root", "parts").repartition(*CELL).sortWithinPartitions(*CELL)
-    meeting = written(dealt.mapInArrow(_meeting(percent), "low binary, high binary, node binary").distinct(), "meeting")
-
-    def in_blocks(met: DataFrame, value: str) -> DataFrame:
-        """Rows (low, high, node, n, value) of two groups in blocks of bounded size, each block of one with each of the other."""
-        sided = met.join(roots, "node", "left").withColumn("left", F.coalesce("root", "node") == F.col("low"))
-        size = F.octet_length(value)
-        total = sided.groupBy("low", "high").agg(*(F.greatest(F.ceil(F.sum(F.when(F.col("left") == side, size).otherwise(0)) / BLOCK_BYTES), F.lit(1)).cast("int").alias(x) for side, x in ((True, "lows"), (False, "highs"))))
-        all_of = lambda x: F.sequence(F.lit(0), F.col(x) - 1)
-        block = lambda low, high: F.struct(low.alias("low_block"), high.alias("high_block"))
-        cells = F.when(F.col("left"), F.transform(all_of("highs"), lambda y: block(F.pmod(place, F.col("lows")), y))).otherwise(F.transform(all_of("lows"), lambda x: block(x, F.pmod(place, F.col("highs")))))
-        rows = sided.join(total, ["low", "high"]).select("low", "high", F.explode(cells).alias("cell"), "left", "node", "n", value)
-        return rows.select("low", "high", "cell.*", "left", "node", "n", value).repartition(*GROUPS).sortWithinPartitions(*GROUPS)
-
+    def in_cells(some: DataFrame, size, most: int, *values: str) -> DataFrame:
+        """Rows (key, node, values) of keys with several groups, in blocks of bounded size, each with every block of rows outside of the key's largest group.
+
+        Rows of that group are linked with each other. A row outside of it is on both sides where its own blocks meet.
+        """
+        grouped = some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = grouped.groupBy("key", "root").agg(F.sum(size).alias("size"))
+        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("groups"), F.sum("size").alias("all"), (F.sum("size") - F.max("size")).alias("outside")).where("groups > 1")
+        main = written(main.select("key", "main", *(F.ceil(F.col(x) / most).cast("int").alias(y) for x, y in (("all", "inners"), ("outside", "outers")))), "main")
+        own, outer, outside = F.pmod(F.hash("node"), "inners"), F.pmod(F.hash("node"), "outers"), F.col("root") != F.col("main")
+        cell = lambda x, y, probe, base: F.struct(x.alias("block"), y.alias("outer"), probe.alias("probe"), F.lit(base).alias("base"))
+        bases = F.transform(F.sequence(F.lit(0), F.col("outers") - 1), lambda y: cell(own, y, outside & (y == outer), True))
+        probes = F.transform(F.filter(F.sequence(F.lit(0), F.col("inners") - 1), lambda x: outside & (x != own)), lambda x: cell(x, outer, F.lit(True), False))
+        dealt = grouped.join(small(main, main.count()), "key").select("key", "node", "root", *values, F.explode(F.concat(bases, probes)).alias("cell"))
+        return dealt.select("key", "cell.*", "node", "root", *values)
+
+    def by_cell(dealt: DataFrame) -> DataFrame:
+        return dealt.repartition(*CELL).sortWithinPartitions(*CELL)
+
+    def passing(cells: DataFrame, marked, name: str) -> DataFrame:
+        """(key, node) of the rows that pass; of keys with the same nodes, all pairs of which are compared next, the first is enough."""
+        met = written(by_cell(cells).mapInArrow(marked, "key long, node binary").distinct(), name)
+        first = met.groupBy("key").agg(F.count("*").alias("rows"), *same).groupBy("rows", "on_1", "on_2").agg(F.min("key").alias("key"))
+        return met.join(first.select("key"), "key")
+
+    met = in_cells(members.select("key", "node", "n", "pos"), F.lit(1), BLOCK_ROWS, "n", "pos")
+    meeting = written(passing(met.join(nodes.select("node", "parts"), "node"), _meeting(percent), "meeting"), "meeting-once")
     if not meeting.isEmpty():
         fine = meeting.join(nodes.select("node", "n", "fine"), "node")
-        closer = written(in_blocks(fine, "fine").mapInArrow(_closer(percent), "low binary, high binary, node binary").distinct(), "closer")
-        texts = texts_of(closer.select("node").distinct()).withColumn("n", F.lit(None).cast("long"))
-        more = written(in_blocks(closer.join(texts, "node"), "text").mapInArrow(_joined(k, percent), "a binary, b binary"), "links")
+        closer = written(passing(in_cells(fine, F.octet_length("fine"), BLOCK_BYTES, "n", "fine"), _closer(percent), "closer"), "closer-once")
+        texts = texts_of(closer.select("node").distinct())
+        close = by_cell(in_cells(closer.join(texts, "node"), F.octet_length("text"), BLOCK_BYTES, "text"))
+        more = written(close.mapInArrow(_joined(k, percent), "a binary, b binary"), "links")
         roots = components(links.unionAll(more))
 
     rooted = signed.select("doc_id", "text_hash", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

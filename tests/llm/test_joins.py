@@ -69,6 +69,19 @@ def test_jaccard_components_are_those_of_all_pairs(spark, rows, monkeypatch, blo
     assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got.collect()) == classes(data)
 
 
+def test_groups_that_meet_make_no_rows_for_their_pairs(spark, monkeypatch):
+    made, real = {}, ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: made.setdefault(name, []).append(real(df, name)) or made[name][-1])
+    words = lambda name, n: " ".join(f"{name}w{i}" for i in range(n))
+    # a passage and five of 55 pieces: two texts share one piece at most, which 11 texts have, and are just not linked
+    texts = [" ".join([words("p", 370), *(words(f"{j}v{(a * j + b) % 11}", 12) for j in range(5))]) for a in range(11) for b in range(11)]
+    texts += [" ".join([words("p", 370), *(words(f"{j}v{j % 11}", 12) for j in range(4)), words("z", 11)])]
+    got = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got.collect()) == classes(list(enumerate(texts)))
+    members, met, closer = (made[x][-1].count() for x in ("members", "meeting", "closer"))
+    assert 100 < closer <= met <= members
+
+
 def test_filters_never_drop_a_link():
     r = np.random.default_rng(5)
     for _ in range(400):
