@@ -20,7 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +128,23 @@ class Memory:
         self.counts = array("q")  # of each stretch: tokens of both, groups, 1 if its bytes are not its tokens'
         self.links = array("q")  # of all stretches
         self.ends = array("q")  # where each one's links end
+        self.uses = np.zeros(0, np.int64)  # how often each one came
+
+    def keep_repeated(self) -> None:
+        """Forgets the stretches that came once, or all if those that came again fill half of the bound."""
+        at = np.flatnonzero(self.uses > 1)
+        if len(at) > REMEMBERED // 2:
+            self.forget()
+            return
+        names, groups = list(self.number), self.groups
+        size, ends, links = (np.array(x, np.int64) for x in (self.counts, self.ends, self.links))
+        many = np.diff(ends, prepend=0)[at]
+        links = links[np.repeat(ends[at] - np.cumsum(many), many) + np.arange(many.sum())]
+        self.forget()
+        self.number = {names[i]: n for n, i in enumerate(at.tolist())}
+        self.groups = [groups[i] for i in at.tolist()]
+        self.counts, self.links, self.ends = (array("q", x.tobytes()) for x in (size.reshape(-1, 4)[at], links, np.cumsum(many)))
+        self.uses = np.zeros(len(at), np.int64)
 
     def learn(self, stretches: list[str]) -> None:
         own, shown, radix = self.encoders, self.shown.__getitem__, self.radix
@@ -156,14 +173,16 @@ class Memory:
         size, begins = size.reshape(-1, 4), np.append(0, ends)[:-1]
 
         doc = np.repeat(np.arange(len(texts)), [len(x) for x in split])
-        at = np.fromiter((self.number[x] for stretches in split for x in stretches), np.int64, len(doc))
+        places = [[self.number[x] for x in stretches] for stretches in split]
+        at = np.fromiter(chain.from_iterable(places), np.int64, len(doc))
+        self.uses = np.pad(self.uses, (0, kept - len(self.uses))) + np.bincount(at, minlength=len(self.groups))[:kept]
         total = np.zeros((len(texts), 4), np.int64)
         for i in range(4):
             total[:, i] = np.bincount(doc, size[at, i], len(texts))
         sound = total[:, 3] == 0
         doc, at = doc[sound[doc]], at[sound[doc]]
         total[~sound] = 0
-        groups = [";".join([self.groups[self.number[x]] for x in stretches]) if ok else "" for stretches, ok in zip(split, sound.tolist(), strict=True)]
+        groups = [";".join(map(self.groups.__getitem__, own)) if ok else "" for own, ok in zip(places, sound.tolist(), strict=True)]
 
         many = ends[at] - begins[at]
         pair = links[np.repeat(begins[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
@@ -171,13 +190,12 @@ class Memory:
         key, times = np.unique(np.repeat(doc, many) * span + pair, return_counts=True)
         total[:, 3] = np.bincount(np.repeat(doc, many), minlength=len(texts))
 
+        for x in new:
+            if len(x) > LONGEST:
+                del self.number[x]
+        del self.groups[kept:], self.counts[4 * kept :], self.ends[kept:], self.links[kept_links:]
         if kept > REMEMBERED:
-            self.forget()
-        else:
-            for x in new:
-                if len(x) > LONGEST:
-                    del self.number[x]
-            del self.groups[kept:], self.counts[4 * kept :], self.ends[kept:], self.links[kept_links:]
+            self.keep_repeated()
         return total, groups, key // span, key % span, times
 
 

@@ -160,6 +160,22 @@ def test_alignment_is_brute_force(spark, limit):
     assert sum(x[1] > 0 for x in want) > 100
 
 
+def test_stretches_that_come_again_are_aligned_once(monkeypatch):
+    monkeypatch.setattr(token_align, "REMEMBERED", 60)
+    memory, whole = (token_align.Memory(token_align.BYTE_BPE, token_align.PIECES) for _ in range(2))
+    learned, real = Counter(), memory.learn
+    memory.learn = lambda stretches: (learned.update(stretches), real(stretches))
+    for i in range(15):
+        texts = ["common words of all texts " + " ".join(f"w{i}x{j}" for j in range(20)), "y" * 100 + f" common {i}", None]
+        texts += odd_texts(40) if i == 9 else []  # more that come again than are kept
+        whole.forget()
+        for got, want in zip(memory.aligned(texts), whole.aligned(texts), strict=True):
+            assert np.array_equal(got, want)
+        assert i == 9 or len(memory.groups) <= 90
+        if i == 8:
+            assert learned[" common"] == learned[" texts"] == 1 and learned[" w0x0"] == 1
+
+
 def test_alignment_of_long_texts(spark, rows):
     texts = [" " * 300_000 + "x", "\n" * 300_000 + "x", "a" * 300_000, "漢" * 50_000, "ab " * 300_000]
     got = token_align.token_alignment(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
