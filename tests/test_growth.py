@@ -37,6 +37,33 @@ def test_shuffled_ends(spark, rows, monkeypatch):
     assert rows(leases.lease_replay_fanout(log, 30, "stop")) == rows(leases.lease_replay(leases.agent_release_fanout(log.drop("session")), 30).select("resource", "sec", "event_id", "agent", "op", "outcome"))
 
 
+def shuffled(df):
+    """Rows that the shuffles of a collected DataFrame wrote."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        inner = node.children()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [inner.apply(i) for i in range(inner.size())]
+        return (node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0) + sum(map(walk, below))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize(("broadcast", "evict", "pieces"), [(200_000, "eager", 4), (200_000, "lazy", 1000), (0, "eager", 4), (0, "lazy", 1000)])
+def test_a_product_of_leases_and_ends_is_not_shuffled(spark, rows, monkeypatch, broadcast, evict, pieces):
+    for name, value in {"END_BLOCK": 4, "BROADCAST_ENDS": broadcast, "RELEASES": 500, "AGENTS": pieces, "SPREAD": 8, "END_SLICE": 200}.items():
+        monkeypatch.setattr(leases, name, value, raising=False)
+    rng = random.Random(8)
+    log = [("st"[i % 2], rng.choice([10, 11, None]), 10 * i + rng.randint(0, 9), i, rng.choice([i % 2 + 2 * k for k in range(20)]), "acquire") for i in range(600)]
+    log += [("st"[i % 3 == 0], None, 10 * i + 3, 1000 + i, None, "end") for i in range(600)] + [("s", 10, 7, 3000, None, "acquire"), ("u", None, 9, 3001, None, "end"), ("w", 10, 9, 3002, 77, "acquire")]
+    table = spark.createDataFrame(log, "session string, resource long, sec long, event_id long, agent long, op string")
+    want = leases.lease_replay(leases.session_release_fanout(table), 25, evict)
+    got = leases.lease_replay_fanout(table, 25, "end", evict)
+    assert rows(got) == rows(want) and got.where("op = 'release' and outcome = 'release'").count() > 100
+    assert got.count() > 30_000 and len(got.where("outcome = 'noop'").select("agent").distinct().collect()) == 41
+    assert shuffled(got) < 3_000  # some 120 leases and 600 ends, in slices of 200 beyond the broadcast
+
+
 def test_live_drift_meets_changes_of_the_time_only(spark, rows):
     rng = random.Random(3)
     hour = 3600
